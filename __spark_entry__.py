@@ -74,14 +74,22 @@ class Session:
         t = self.tables
         return masters.sprint_results(t.sprint_results, t.races, t.drivers, t.constructors)
 
-    def pits(self) -> DataFrame:
+    def pits_plan(self) -> DataFrame:
         t = self.tables
         return masters.pit_stops(t.pit_stops, t.races, t.drivers, t.constructors)
 
-    def laps(self) -> DataFrame:
+    def laps_plan(self) -> DataFrame:
         t = self.tables
         return masters.lap_times(t.lap_times, t.races, t.drivers, t.circuits)
 
+    @cached_property
+    def pits(self) -> DataFrame:
+        return keep(self.pits_plan().select("raceId", "driverId", "duration"))
+
+    @cached_property
+    def laps(self) -> DataFrame:
+        return keep(self.laps_plan().select("raceId", "driverId", "circuitId", "milliseconds"))
+
     def cleaned(self, name: str) -> DataFrame:
         return clean(self.tables.as_text(name), name)
 
@@ -167,8 +175,8 @@ PLANS: dict[str, Callable[[Session], DataFrame]] = {
     "master_race_results": lambda s: s.master_plan(),
     "master_qualifying": lambda s: s.qualifying(),
     "master_sprint_results": lambda s: s.sprints(),
-    "master_pit_stops": lambda s: s.pits(),
-    "master_lap_times": lambda s: s.laps(),
+    "master_pit_stops": lambda s: s.pits_plan(),
+    "master_lap_times": lambda s: s.laps_plan(),
     # A1, A2, A3
     "a01_driver_win_ratio": lambda s: performance.driver_win_ratio(s.master),
     "a01_driver_win_ratio_order": lambda s: performance.driver_win_ratio(
@@ -179,13 +187,13 @@ PLANS: dict[str, Callable[[Session], DataFrame]] = {
     "a01_constructor_podiums": lambda s: performance.constructor_podiums(s.master),
     "a02_position_gain": lambda s: performance.position_gain(s.master),
     "a02_grid_points": lambda s: performance.grid_points(s.master, DRIVER),
-    "a03_pit_counts": lambda s: performance.pit_counts(s.pits()),
-    "a03_pit_corr_filled": lambda s: performance.pit_corr_filled(s.master, s.pits()),
-    "a03_pit_corr": lambda s: performance.pit_corr(s.master, s.pits(), 1, 20),
-    "a03_pits_by_position": lambda s: performance.pits_by_position(s.master, s.pits()),
-    "a03_pits_by_position_filled": lambda s: performance.pits_by_position_filled(s.master, s.pits()),
-    "a03_pit_trend": lambda s: performance.pit_trend(s.master, s.pits()),
-    "a03_pit_duration": lambda s: performance.pit_duration(s.master, s.pits()),
+    "a03_pit_counts": lambda s: performance.pit_counts(s.pits),
+    "a03_pit_corr_filled": lambda s: performance.pit_corr_filled(s.master, s.pits),
+    "a03_pit_corr": lambda s: performance.pit_corr(s.master, s.pits, 1, 20),
+    "a03_pits_by_position": lambda s: performance.pits_by_position(s.master, s.pits),
+    "a03_pits_by_position_filled": lambda s: performance.pits_by_position_filled(s.master, s.pits),
+    "a03_pit_trend": lambda s: performance.pit_trend(s.master, s.pits),
+    "a03_pit_duration": lambda s: performance.pit_duration(s.master, s.pits),
     # A4, A5
     "a04_driver_race_pos": lambda s: rivalry.race_positions(s.master),
     "a04_pair_table": lambda s: rivalry.pair_table(s.master),
@@ -214,13 +222,13 @@ PLANS: dict[str, Callable[[Session], DataFrame]] = {
     "a08_consistent": lambda s: teams.consistent_drivers(s.master, below=100),
     "a08_fluctuating": lambda s: teams.fluctuating_drivers(s.master),
     # A9
-    "a09_avg_laps": lambda s: laps.average_laps(s.master, s.laps()),
-    "a09_efficiency": lambda s: laps.efficiency(s.master, s.laps()),
-    "a09_team_eff": lambda s: laps.team_efficiency(s.master, s.laps()),
-    "a09_driver_eff": lambda s: laps.driver_efficiency(s.master, s.laps()),
-    "a09_team_circuit": lambda s: laps.team_circuit_efficiency(s.master, s.laps()),
-    "a09_team_circuit_display": lambda s: laps.team_circuit_display(s.master, s.laps()),
-    "a09_lap_box": lambda s: laps.lap_box(s.master, s.laps()),
+    "a09_avg_laps": lambda s: laps.average_laps(s.master, s.laps),
+    "a09_efficiency": lambda s: laps.efficiency(s.master, s.laps),
+    "a09_team_eff": lambda s: laps.team_efficiency(s.master, s.laps),
+    "a09_driver_eff": lambda s: laps.driver_efficiency(s.master, s.laps),
+    "a09_team_circuit": lambda s: laps.team_circuit_efficiency(s.master, s.laps),
+    "a09_team_circuit_display": lambda s: laps.team_circuit_display(s.master, s.laps),
+    "a09_lap_box": lambda s: laps.lap_box(s.master, s.laps),
     # A10, A11, A12
     "a10_driver_scores": lambda s: scoring.driver_scores(s.master),
     "a10_lineup": lambda s: scoring.lineup(s.master),

@@ -5,6 +5,7 @@ from gridstats.functions.exprs import (
     count_where,
     decade,
     fastest_lap_time,
+    half_even,
     is_true,
     lap_time,
     linear_weight,
@@ -27,6 +28,7 @@ __all__ = [
     "count_where",
     "decade",
     "fastest_lap_time",
+    "half_even",
     "is_true",
     "lap_time",
     "linear_weight",

@@ -125,6 +125,12 @@ def count_where(condition: Column) -> Column:
     return F.count_if(is_true(condition))
 
 
+def half_even(value: Column, digits: int) -> Column:
+    """Round the way the reports do: scaled, halves to the even neighbour, scaled back."""
+    scale = 10.0**digits
+    return F.rint(value * scale) / scale
+
+
 def clip(value: Column, lower: float | None = None, upper: float | None = None) -> Column:
     """Clamp a value; NULL stays NULL."""
     bounded = value

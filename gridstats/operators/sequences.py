@@ -13,14 +13,21 @@ from pyspark.sql import functions as F
 
 
 def numbered(
-    df: DataFrame, group: list[str], stretch: str, order: list[Column], out: str
+    df: DataFrame,
+    group: list[str],
+    stretch: str,
+    order: list[Column],
+    out: str,
+    sizes_of: DataFrame | None = None,
 ) -> DataFrame:
     """Exact 1-based row number in ``group`` by ``(stretch, *order)``.
 
     ``stretch`` must grow along the order. Row numbers are taken per stretch
-    and shifted by the number of rows in earlier stretches.
+    and shifted by the number of rows in earlier stretches. ``sizes_of`` is a
+    cheaper frame with the same rows to count, where ``df`` is a long plan.
     """
-    sizes = df.groupBy(*group, stretch).agg(F.count(F.lit(1)).alias("_size"))
+    rows = df if sizes_of is None else sizes_of
+    sizes = rows.groupBy(*group, stretch).agg(F.count(F.lit(1)).alias("_size"))
     earlier = W.partitionBy(*group).orderBy(stretch).rowsBetween(W.unboundedPreceding, -1)
     offsets = sizes.select(
         *group, stretch, F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_before")
@@ -60,9 +67,6 @@ def shifted(
         return [F.col(k).desc() if ahead else F.col(k).asc() for k in keys]
 
     inside = W.partitionBy(entity, stretch).orderBy(*along(*order))
-    backwards = W.partitionBy(entity, stretch).orderBy(
-        *[F.col(k).asc() if ahead else F.col(k).desc() for k in order]
-    )
     across = W.partitionBy(entity).orderBy(*along(stretch, *order))
 
     def moved(frame: DataFrame, window) -> DataFrame:
@@ -71,10 +75,11 @@ def shifted(
     marked = df.withColumns(
         {
             "_from_start": F.row_number().over(inside),
-            "_from_end": F.row_number().over(backwards),
+            "_rows": F.count(F.lit(1)).over(W.partitionBy(entity, stretch)),
         }
     )
+    near_end = F.col("_rows") - F.col("_from_start") < reach
     settled = moved(marked, inside).where(F.col("_from_start") > reach)
-    edges = marked.where((F.col("_from_start") <= reach) | (F.col("_from_end") <= reach))
+    edges = marked.where((F.col("_from_start") <= reach) | near_end)
     at_start = moved(edges, across).where(F.col("_from_start") <= reach)
-    return settled.unionByName(at_start).drop("_from_start", "_from_end")
+    return settled.unionByName(at_start).drop("_from_start", "_rows")

@@ -127,7 +127,8 @@ def forecast_rows(df: DataFrame, start: int = 2015, lagged_flags: bool = False)
             "recent_form": (F.col(form[0]) + F.col(form[1]) + F.col(form[2])) / 3,
         }
     ).drop(*[c for c in run.columns if c.startswith("_")])
-    counted = numbered(run, ["driverId"], "year", [F.col(c) for c in order], "_number")
+    places = [F.col(c) for c in order]
+    counted = numbered(run, ["driverId"], "year", places, "_number", sizes_of=recent)
     return (
         counted.withColumn("career_experience", F.col("_number") - 1)
         .drop("_number")

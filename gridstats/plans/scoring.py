@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gridstats.functions import clip, count_where, linear_weight, ratio, top_k
+from gridstats.functions import clip, count_where, half_even, linear_weight, ratio, top_k
 from gridstats.plans.performance import on_podium, won
 
 
@@ -40,13 +40,13 @@ def driver_scores(df: DataFrame, recent_years: int = 3, min_races: int = 10) ->
         recent.groupBy("driverId")
         .agg(
             F.min("driverRef").alias("driver_name"),
-            F.round(F.coalesce(F.sum("points"), F.lit(0.0)), 2).alias("total_points"),
-            F.round(F.avg("points"), 2).alias("avg_points"),
-            F.round(F.avg("position"), 2).alias("avg_position"),
-            F.round(F.stddev_samp("position"), 2).alias("position_std"),
+            half_even(F.coalesce(F.sum("points"), F.lit(0.0)), 2).alias("total_points"),
+            half_even(F.avg("points"), 2).alias("avg_points"),
+            half_even(F.avg("position"), 2).alias("avg_position"),
+            half_even(F.stddev_samp("position"), 2).alias("position_std"),
             races.alias("races"),
-            F.round(F.coalesce(ratio(count_where(on_podium()), races), F.lit(0.0)), 3).alias("podium_ratio"),
-            F.round(F.coalesce(ratio(count_where(won()), races), F.lit(0.0)), 3).alias("win_ratio"),
+            half_even(F.coalesce(ratio(count_where(on_podium()), races), F.lit(0.0)), 3).alias("podium_ratio"),
+            half_even(F.coalesce(ratio(count_where(won()), races), F.lit(0.0)), 3).alias("win_ratio"),
         )
         .where(F.col("races") >= min_races)
     )
@@ -179,11 +179,11 @@ def risk_linear(df: DataFrame, growth: bool = True) -> DataFrame:
     )
     teams = recent.groupBy("constructorId").agg(
         F.min("constructorRef").alias("constructor_name"),
-        F.round(F.coalesce(F.sum("weighted"), F.lit(0.0)), 2).alias("weighted_points"),
-        F.round(F.avg("points"), 2).alias("avg_points"),
-        F.round(F.stddev_samp("points"), 2).alias("points_std"),
-        F.round(F.avg("position"), 2).alias("avg_position"),
-        F.round(F.stddev_samp("position"), 2).alias("position_std"),
+        half_even(F.coalesce(F.sum("weighted"), F.lit(0.0)), 2).alias("weighted_points"),
+        half_even(F.avg("points"), 2).alias("avg_points"),
+        half_even(F.stddev_samp("points"), 2).alias("points_std"),
+        half_even(F.avg("position"), 2).alias("avg_position"),
+        half_even(F.stddev_samp("position"), 2).alias("position_std"),
     )
     best = teams.agg(F.max("weighted_points")).scalar()
     if growth:
@@ -214,12 +214,12 @@ def risk_exponential(df: DataFrame) -> DataFrame:
     recent = _recent(df, back).withColumn("weighted", F.col("points") * weight)
     teams = recent.groupBy("constructorId").agg(
         F.min("constructorRef").alias("constructor_name"),
-        F.round(F.coalesce(F.sum("weighted"), F.lit(0.0)), 2).alias("weighted_points"),
-        F.round(F.avg("points"), 2).alias("avg_points"),
-        F.round(F.stddev_samp("points"), 2).alias("points_std"),
+        half_even(F.coalesce(F.sum("weighted"), F.lit(0.0)), 2).alias("weighted_points"),
+        half_even(F.avg("points"), 2).alias("avg_points"),
+        half_even(F.stddev_samp("points"), 2).alias("points_std"),
         F.count("points").alias("race_count"),
-        F.round(F.avg("position"), 2).alias("avg_position"),
-        F.round(F.stddev_samp("position"), 2).alias("position_std"),
+        half_even(F.avg("position"), 2).alias("avg_position"),
+        half_even(F.stddev_samp("position"), 2).alias("position_std"),
         F.count_distinct("year").alias("years_active"),
     )
     best = F.greatest(teams.agg(F.max("weighted_points")).scalar(), F.lit(1.0))

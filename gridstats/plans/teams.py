@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridstats.functions import count_where, ratio, top_k
+from gridstats.functions import count_where, half_even, ratio, top_k
 from gridstats.operators.grids import dense_grid
 from gridstats.operators.pairs import pair_sums
 from gridstats.operators.quantiles import median_of
@@ -154,7 +154,7 @@ def consistency(df: DataFrame, min_races: int = 10) -> DataFrame:
             F.round(F.stddev_samp("position"), 9).alias("position_std"),
             F.avg("position").alias("avg_position"),
             F.count("position").alias("races"),
-            F.round(ratio(top_10, F.count(F.lit(1))) * 100, 2).alias("top_10_ratio"),
+            half_even(ratio(top_10, F.count(F.lit(1))) * 100, 2).alias("top_10_ratio"),
         )
     )
     return stats.where(F.col("races") >= min_races)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W, WindowSpec
 from pyspark.sql import functions as F
 
-from gridstats.functions import age_at_year_end, decade, top_k
+from gridstats.functions import age_at_year_end, decade, half_even, top_k
 from gridstats.operators.quantiles import quantiles, value_counts
 from gridstats.plans.eda import histogram
 from gridstats.plans.performance import regression, won
@@ -161,9 +161,9 @@ def age_decades(df: DataFrame) -> DataFrame:
         ages_by_days(df)
         .groupBy(decade("year").alias("decade"))
         .agg(
-            F.round(F.avg("age"), 1).alias("average"),
-            F.round(F.min("age"), 1).alias("youngest"),
-            F.round(F.max("age"), 1).alias("oldest"),
+            half_even(F.avg("age"), 1).alias("average"),
+            half_even(F.min("age"), 1).alias("youngest"),
+            half_even(F.max("age"), 1).alias("oldest"),
             F.count("age").alias("champions"),
         )
     )

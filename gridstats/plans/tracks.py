@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridstats.functions import clip, top_k
+from gridstats.functions import clip, half_even, top_k
 from gridstats.operators.quantiles import box_stats
 
 
@@ -18,10 +18,10 @@ def driver_circuits(df: DataFrame, min_races: int = 3) -> DataFrame:
     stats = (
         keyed.groupBy("driverId", "circuitId")
         .agg(
-            F.round(F.avg("position"), 2).alias("avg_position"),
-            F.round(F.stddev_samp("position"), 2).alias("position_std"),
+            half_even(F.avg("position"), 2).alias("avg_position"),
+            half_even(F.stddev_samp("position"), 2).alias("position_std"),
             F.count("position").alias("races"),
-            F.round(F.avg("points"), 2).alias("avg_points"),
+            half_even(F.avg("points"), 2).alias("avg_points"),
         )
         .where(F.col("races") >= min_races)
     )
@@ -53,14 +53,14 @@ def driver_profile(df: DataFrame, driver: str) -> DataFrame:
     rows = df.where((F.col("driverRef") == driver) & F.col("circuitId").isNotNull())
     stats = rows.groupBy("circuitId").agg(
         F.min("circuitRef").alias("circuit_name"),
-        F.round(F.avg("position"), 2).alias("avg_position"),
-        F.round(F.coalesce(F.stddev_samp("position"), F.lit(0.0)), 2).alias("position_std"),
+        half_even(F.avg("position"), 2).alias("avg_position"),
+        half_even(F.coalesce(F.stddev_samp("position"), F.lit(0.0)), 2).alias("position_std"),
         F.count("position").alias("races"),
         F.min("position").alias("best_finish"),
         F.max("position").alias("worst_finish"),
-        F.round(F.coalesce(F.avg("points"), F.lit(0.0)), 2).alias("avg_points"),
-        F.round(F.coalesce(F.sum("points"), F.lit(0.0)), 2).alias("total_points"),
-        F.round(F.avg("grid"), 2).alias("avg_grid"),
+        half_even(F.coalesce(F.avg("points"), F.lit(0.0)), 2).alias("avg_points"),
+        half_even(F.coalesce(F.sum("points"), F.lit(0.0)), 2).alias("total_points"),
+        half_even(F.avg("grid"), 2).alias("avg_grid"),
         F.min("grid").alias("best_grid"),
     )
     score = (

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,14 +49,19 @@ def save(df: DataFrame, root: str, name: str, fmt: str = "parquet") -> None:
 
 
 def keep(df: DataFrame) -> DataFrame:
-    """Hold a frame that several operators read, spilling to disk.
+    """Hold a frame that several operators read.
 
     Where the session names a shared checkpoint folder the frame is written
-    there, so a lost executor costs a re-read and not a re-computation.
+    there as a table: readers prune its columns, and a lost executor costs a
+    re-read and not a re-computation. Otherwise it is cached, spilling to disk.
     """
-    if df.sparkSession.conf.get("spark.checkpoint.dir", None):
-        return df.checkpoint()
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        return df.persist(StorageLevel.MEMORY_AND_DISK)
+    path = f"{folder}/{spark.sparkContext.applicationId}/{uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def table_paths(spark: SparkSession, folder: str) -> DataFrame:

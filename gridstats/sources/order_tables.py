@@ -122,15 +122,16 @@ class RaceTables:
             "_by_revenue",
             [F.col("revenue").desc(), F.col("driverId")],
             "positionOrder",
-        ).select(*ENTRY, "positionOrder")
+        )
         started = numbered(
-            staged,
+            placed,
             ["raceId"],
             "_by_quantity",
             [F.col("quantity").desc(), F.col("driverId")],
             "grid",
+            sizes_of=staged,
         )
-        return started.join(placed, ENTRY).drop("_by_revenue", "_by_quantity")
+        return started.drop("_by_revenue", "_by_quantity")
 
     @property
     def results(self) -> DataFrame:

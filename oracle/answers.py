@@ -401,7 +401,7 @@ answer(
 _CONSISTENCY = {
     "cons": """SELECT driverId, driverRef AS driver_name, round(stddev_samp(position), 9) AS position_std,
       avg(position) AS avg_position, count(position) AS races,
-      round(nullif(count(*) FILTER (WHERE position <= 10), 0) / count(*) * 100, 2) AS top_10_ratio
+      round_even((nullif(count(*) FILTER (WHERE position <= 10), 0) / count(*) * 100) * 100, 0) / 100 AS top_10_ratio
       FROM m GROUP BY ALL HAVING count(position) >= 10"""
 }
 _cons = """SELECT * REPLACE (round(position_std, 6) AS position_std, round(avg_position, 6) AS avg_position) FROM cons"""
@@ -471,11 +471,11 @@ answer(
 # --- A10, A11, A12 ---------------------------------------------------------
 
 _SCORES = {
-    "stats": """SELECT driverId, driverRef AS driver_name, round(sum(points), 2) AS total_points,
-      round(avg(points), 2) AS avg_points, round(avg(position), 2) AS avg_position,
-      round(stddev_samp(position), 2) AS position_std, count(raceId) AS races,
-      round(count(*) FILTER (WHERE position <= 3) / count(raceId), 3) AS podium_ratio,
-      round(count(*) FILTER (WHERE position = 1) / count(raceId), 3) AS win_ratio
+    "stats": """SELECT driverId, driverRef AS driver_name, round_even(sum(points) * 100, 0) / 100 AS total_points,
+      round_even(avg(points) * 100, 0) / 100 AS avg_points, round_even(avg(position) * 100, 0) / 100 AS avg_position,
+      round_even(stddev_samp(position) * 100, 0) / 100 AS position_std, count(raceId) AS races,
+      round_even(count(*) FILTER (WHERE position <= 3) / count(raceId) * 1000, 0) / 1000 AS podium_ratio,
+      round_even(count(*) FILTER (WHERE position = 1) / count(raceId) * 1000, 0) / 1000 AS win_ratio
       FROM m WHERE year >= (SELECT max(year) FROM m) - 3 GROUP BY ALL HAVING count(raceId) >= 10""",
     "bounds": """SELECT min(avg_points) AS a0, max(avg_points) AS a1, min(podium_ratio) AS p0, max(podium_ratio) AS p1,
       min(win_ratio) AS w0, max(win_ratio) AS w1, max(position_std) AS s1 FROM stats""",
@@ -578,9 +578,9 @@ answer(
 _LINEAR = {
     **_growth(2),
     "near": "SELECT *, points * ((year - ((SELECT max(year) FROM m) - 3)) / 3) AS w FROM near2",
-    "teams2": """SELECT constructorId, constructorRef AS constructor_name, round(sum(w), 2) AS weighted_points,
-      round(avg(points), 2) AS avg_points, round(stddev_samp(points), 2) AS points_std,
-      round(avg(position), 2) AS avg_position, round(stddev_samp(position), 2) AS position_std
+    "teams2": """SELECT constructorId, constructorRef AS constructor_name, round_even(sum(w) * 100, 0) / 100 AS weighted_points,
+      round_even(avg(points) * 100, 0) / 100 AS avg_points, round_even(stddev_samp(points) * 100, 0) / 100 AS points_std,
+      round_even(avg(position) * 100, 0) / 100 AS avg_position, round_even(stddev_samp(position) * 100, 0) / 100 AS position_std
       FROM near GROUP BY ALL""",
 }
 for _name, _dev, _flag in [
@@ -599,9 +599,9 @@ for _name, _dev, _flag in [
 _EXP = {
     **_growth(4),
     "near": "SELECT *, points * pow(1.5, year - ((SELECT max(year) FROM m) - 4)) / pow(1.5, 4) AS w FROM near4",
-    "teams4": """SELECT constructorId, constructorRef AS constructor_name, round(sum(w), 2) AS weighted_points,
-      round(avg(points), 2) AS avg_points, round(stddev_samp(points), 2) AS points_std, count(points) AS race_count,
-      round(avg(position), 2) AS avg_position, round(stddev_samp(position), 2) AS position_std,
+    "teams4": """SELECT constructorId, constructorRef AS constructor_name, round_even(sum(w) * 100, 0) / 100 AS weighted_points,
+      round_even(avg(points) * 100, 0) / 100 AS avg_points, round_even(stddev_samp(points) * 100, 0) / 100 AS points_std, count(points) AS race_count,
+      round_even(avg(position) * 100, 0) / 100 AS avg_position, round_even(stddev_samp(position) * 100, 0) / 100 AS position_std,
       count(DISTINCT year) AS years_active FROM near GROUP BY ALL""",
     "parts": """SELECT t.*, point_growth, volatility, point_growth AS development_score,
       1 / (greatest(volatility, 0.001) + 1) AS stability_score, years_active / 4 AS participation_score,
@@ -641,15 +641,15 @@ answer(
 # --- A13 -------------------------------------------------------------------
 
 _TRACKS = {
-    "dc": """SELECT driverId, circuitId, round(avg(position), 2) AS avg_position,
-      round(stddev_samp(position), 2) AS position_std, count(position) AS races, round(avg(points), 2) AS avg_points,
-      round(avg(position), 2) * 0.6 + round(stddev_samp(position), 2) * 0.4 AS score
+    "dc": """SELECT driverId, circuitId, round_even(avg(position) * 100, 0) / 100 AS avg_position,
+      round_even(stddev_samp(position) * 100, 0) / 100 AS position_std, count(position) AS races, round_even(avg(points) * 100, 0) / 100 AS avg_points,
+      round_even(avg(position) * 100, 0) / 100 * 0.6 + round_even(stddev_samp(position) * 100, 0) / 100 * 0.4 AS score
       FROM m GROUP BY ALL HAVING count(position) >= 3""",
     "one": f"SELECT * FROM m WHERE driverRef = '{DRIVER}'",
-    "agg": """SELECT circuitId, circuitRef AS circuit_name, round(avg(position), 2) AS avg_position,
-      round(coalesce(stddev_samp(position), 0), 2) AS position_std, count(position) AS races,
-      min(position) AS best_finish, max(position) AS worst_finish, round(avg(points), 2) AS avg_points,
-      round(sum(points), 2) AS total_points, round(avg(grid), 2) AS avg_grid, min(grid) AS best_grid
+    "agg": """SELECT circuitId, circuitRef AS circuit_name, round_even(avg(position) * 100, 0) / 100 AS avg_position,
+      round_even(coalesce(stddev_samp(position), 0) * 100, 0) / 100 AS position_std, count(position) AS races,
+      min(position) AS best_finish, max(position) AS worst_finish, round_even(avg(points) * 100, 0) / 100 AS avg_points,
+      round_even(sum(points) * 100, 0) / 100 AS total_points, round_even(avg(grid) * 100, 0) / 100 AS avg_grid, min(grid) AS best_grid
       FROM one GROUP BY ALL""",
     "profile": """SELECT *, CASE WHEN avg_position IS NOT NULL THEN greatest(avg_position * 0.4 + position_std * 0.2
       + (20 - avg_points) * 0.3 + avg_grid * 0.1, 0) END AS performance_score FROM agg""",
@@ -763,8 +763,8 @@ answer(
 )
 answer(
     "a15_decades",
-    """SELECT year // 10 * 10 AS decade, round(avg(age), 1) AS average, round(min(age), 1) AS youngest,
-    round(max(age), 1) AS oldest, count(*) AS champions FROM by_days GROUP BY 1""",
+    """SELECT year // 10 * 10 AS decade, round_even(avg(age) * 10, 0) / 10 AS average, round_even(min(age) * 10, 0) / 10 AS youngest,
+    round_even(max(age) * 10, 0) / 10 AS oldest, count(*) AS champions FROM by_days GROUP BY 1""",
     **_AGES,
 )
 for _name, _source in [("a15_trend", "by_days"), ("a15_trend_year", "by_year")]:
