@@ -18,6 +18,7 @@ from pyspark.sql import functions as F  # noqa: E402
 
 from gridstats.functions import seconds_of  # noqa: E402
 from gridstats.operators.cleaning import clean, removed_rows  # noqa: E402
+from gridstats.operators.grids import wide  # noqa: E402
 from gridstats.plans import (  # noqa: E402
     eda,
     features,
@@ -38,6 +39,7 @@ from oracle import ORACLE  # noqa: E402
 DRIVER, OTHER = "Supplier#000000001", "Supplier#000000002"
 DRIVER_ID, OTHER_ID = 1, 2
 START = 1997
+CIRCUITS = 25
 
 
 class Session:
@@ -228,6 +230,13 @@ PLANS: dict[str, Callable[[Session], DataFrame]] = {
     "a09_driver_eff": lambda s: laps.driver_efficiency(s.master, s.laps),
     "a09_team_circuit": lambda s: laps.team_circuit_efficiency(s.master, s.laps),
     "a09_team_circuit_display": lambda s: laps.team_circuit_display(s.master, s.laps),
+    "rs_pivot_agg": lambda s: wide(
+        laps.efficiency(s.master, s.laps),
+        "constructorId",
+        "circuitId",
+        "efficiency_ratio",
+        list(range(CIRCUITS)),
+    ),
     "a09_lap_box": lambda s: laps.lap_box(s.master, s.laps),
     # A10, A11, A12
     "a10_driver_scores": lambda s: scoring.driver_scores(s.master),

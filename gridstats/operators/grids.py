@@ -19,3 +19,12 @@ def dense_grid(
     held = columns.distinct().withColumn("_shard", shard)
     grid = spread.join(held, "_shard").drop("_shard")
     return grid.join(cells, [*rows.columns, *columns.columns], "left").fillna(fill)
+
+
+def wide(cells: DataFrame, row: str, column: str, value: str, columns: list) -> DataFrame:
+    """A matrix for display: one column per given key, 0 where there is no cell.
+
+    The keys are named by the caller, so their number is bounded.
+    """
+    mean = cells.groupBy(row).pivot(column, columns).agg(F.avg(value))
+    return mean.fillna(0.0).withColumnsRenamed({str(c): f"{column}_{c}" for c in columns})

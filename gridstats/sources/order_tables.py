@@ -21,6 +21,7 @@ POINTS = [25.0, 18.0, 15.0, 12.0, 10.0, 8.0, 6.0, 4.0, 2.0, 1.0]
 STATUS = {1: "Finished", 2: "Did not finish", 3: "+1 Lap"}
 
 LAPPED_FROM = 21
+TIE_RANGE = 1 << 20
 ENTRY = ["raceId", "driverId"]
 
 
@@ -110,11 +111,11 @@ class RaceTables:
 
     @property
     def _ranked(self) -> DataFrame:
+        # Revenues differ, so ranges of revenue split a race. Quantities are small
+        # whole numbers with many ties, which are split by ranges of the driver id.
+        tied = F.struct((-F.col("quantity")).alias("q"), F.floor(F.col("driverId") / TIE_RANGE).alias("d"))
         staged = self.entries.withColumns(
-            {
-                "_by_revenue": value_stretch(F.col("revenue")),
-                "_by_quantity": value_stretch(F.col("quantity")),
-            }
+            {"_by_revenue": value_stretch(self.entries, "revenue"), "_by_quantity": tied}
         )
         placed = numbered(
             staged,
@@ -172,9 +173,12 @@ class RaceTables:
             )
         )
 
-    @property
+    @cached_property
     def races(self) -> DataFrame:
-        """One row per race, with practice and sprint days in the race month."""
+        """One row per race, with practice and sprint days in the race month.
+
+        Kept, so that joins know how small the table is.
+        """
         race = self.entries.select("raceId", "year", "round", "circuitId").distinct()
         day = F.make_date("year", "round", F.lit(21))
         days = {
@@ -186,7 +190,7 @@ class RaceTables:
             for session, at in [("fp1", "11:30:00"), ("fp2", "15:00:00"), ("fp3", "10:30:00"), ("quali", "14:00:00")]
         }
         sprint = F.col("round") % 4 == 0
-        return race.select(
+        table = race.select(
             F.col("raceId").cast("bigint").alias("raceId"),
             "year",
             "round",
@@ -199,6 +203,7 @@ class RaceTables:
             F.when(sprint, F.date_sub(day, 1)).alias("sprint_date"),
             F.when(sprint, F.lit("09:30:00")).alias("sprint_time"),
         )
+        return keep(table)
 
     @property
     def drivers(self) -> DataFrame:
@@ -216,17 +221,19 @@ class RaceTables:
             F.concat(F.lit("/driver/"), key).alias("url"),
         )
 
-    @property
+    @cached_property
     def constructors(self) -> DataFrame:
+        """One row per brand; kept for the same reason."""
         number = F.replace("p_brand", F.lit("Brand#"), F.lit("")).cast("bigint")
         brands = self._read("part").select("p_brand").distinct()
-        return brands.select(
+        table = brands.select(
             number.alias("constructorId"),
             F.col("p_brand").alias("constructorRef"),
             F.concat(F.lit("Team "), number).alias("name"),
             F.concat(F.lit("N"), number % 5).alias("nationality"),
             F.concat(F.lit("/team/"), number).alias("url"),
         )
+        return keep(table)
 
     @property
     def circuits(self) -> DataFrame:
@@ -245,7 +252,7 @@ class RaceTables:
 
     @property
     def seasons(self) -> DataFrame:
-        return self.entries.select("year").distinct().withColumn("url", F.concat(F.lit("/season/"), "year"))
+        return self.races.select("year").distinct().withColumn("url", F.concat(F.lit("/season/"), "year"))
 
     @property
     def status(self) -> DataFrame:

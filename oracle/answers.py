@@ -459,6 +459,15 @@ answer(
     WHERE constructorId IN (SELECT DISTINCT constructorId FROM cells ORDER BY 1 LIMIT 5)""",
     **_LAPS,
 )
+answer(
+    "rs_pivot_agg",
+    "SELECT constructorId, "
+    + ", ".join(
+        f"round(coalesce(avg(e) FILTER (WHERE circuitId = {c}), 0), 6) AS circuitId_{c}" for c in range(25)
+    )
+    + " FROM eff GROUP BY constructorId",
+    **_LAPS,
+)
 _BOX = """SELECT b.{key}, n, round(q1, 6) AS q1, round(median, 6) AS median, round(q3, 6) AS q3,
   CAST(min(v) FILTER (WHERE v >= q1 - 1.5 * (q3 - q1)) AS DOUBLE) AS whisker_low,
   CAST(max(v) FILTER (WHERE v <= q3 + 1.5 * (q3 - q1)) AS DOUBLE) AS whisker_high,
