@@ -63,7 +63,7 @@ class RaceTables:
             "l_partkey",
             F.col("l_suppkey").alias("driverId"),
             F.col("l_linenumber").alias("line"),
-            F.col("l_extendedprice").cast("decimal(18,2)").alias("price"),
+            F.rint(F.col("l_extendedprice") * 100).cast("bigint").alias("cents"),
             F.col("l_quantity").cast("bigint").alias("quantity"),
         )
         orders = self._read("orders").select(
@@ -96,7 +96,7 @@ class RaceTables:
         """
         parts = self.lines.groupBy(
             "raceId", "year", "round", "circuitId", "driverId", "constructorId"
-        ).agg(F.sum("price").alias("revenue"), F.sum("quantity").alias("quantity"))
+        ).agg(F.sum("cents").alias("revenue"), F.sum("quantity").alias("quantity"))
         best = F.max(F.struct("revenue", (-F.col("constructorId")).alias("_minus_id")))
         teams = (
             parts.groupBy("driverId", "year", "constructorId")
@@ -287,7 +287,7 @@ class RaceTables:
     @property
     def lap_times(self) -> DataFrame:
         """One lap per line item; the price in cents is the time."""
-        ms = (F.col("price") * 100).cast("bigint")
+        ms = F.col("cents")
         return self.lines.select(
             F.col("raceId").cast("bigint").alias("raceId"),
             "driverId",
