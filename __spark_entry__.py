@@ -60,7 +60,7 @@ class Session:
 
     @cached_property
     def master(self) -> DataFrame:
-        return keep(self.master_plan())
+        return keep(self.master_plan(), by="year")
 
     def master_plan(self) -> DataFrame:
         t = self.tables

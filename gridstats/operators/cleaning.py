@@ -11,27 +11,32 @@ from gridstats.sources.schemas import KINDS, SPECS, TableSpec
 
 def coerce(raw: DataFrame, spec: TableSpec) -> DataFrame:
     """Typed columns; a value that cannot be read becomes NULL."""
-    spans = {name: parse(source) for name, (parse, source) in spec.spans.items()}
-    typed = raw.select(
-        *[KINDS[kind](name).alias(name) for name, kind in spec.columns.items()],
-        *[span.alias(name) for name, span in spans.items()],
-    )
-    return typed.withColumns({name: seconds_of(span) for name, span in spec.seconds.items()})
+    return raw.select(*[KINDS[kind](name).alias(name) for name, kind in spec.columns.items()])
+
+
+def with_durations(df: DataFrame, spec: TableSpec) -> DataFrame:
+    """Add the intervals read from time text, and their length in seconds."""
+    spans = df.withColumns({name: parse(source) for name, (parse, source) in spec.spans.items()})
+    return spans.withColumns({name: seconds_of(span) for name, span in spec.seconds.items()})
 
 
 def clean(raw: DataFrame, name: str) -> DataFrame:
-    """Cleaned table ``name``. Nulls are filled after duplicates are removed, so
-    a row with no status and a row with the fill text both stay."""
+    """Cleaned table ``name``.
+
+    Durations follow from the text, so they are added to the rows that remain
+    and not carried through the shuffle. Nulls are filled after duplicates are
+    removed: a row with no status and a row with the fill text both stay.
+    """
     spec = SPECS[name]
-    unique = coerce(raw, spec).dropDuplicates()
+    unique = with_durations(coerce(raw, spec).dropDuplicates(), spec)
     return unique.fillna(spec.fill_after) if spec.fill_after else unique
 
 
 def removed_rows(raw: DataFrame, name: str) -> DataFrame:
     """How many rows cleaning drops as duplicates."""
     typed = coerce(raw, SPECS[name])
-    before = typed.agg(F.count(F.lit(1)).alias("rows_before"))
-    after = typed.dropDuplicates().agg(F.count(F.lit(1))).scalar()
-    return before.withColumn("rows_after", after).withColumn(
-        "removed", F.col("rows_before") - F.col("rows_after")
-    )
+    copies = typed.groupBy(*typed.columns).agg(F.count(F.lit(1)).alias("copies"))
+    return copies.agg(
+        F.coalesce(F.sum("copies"), F.lit(0)).alias("rows_before"),
+        F.count(F.lit(1)).alias("rows_after"),
+    ).withColumn("removed", F.col("rows_before") - F.col("rows_after"))

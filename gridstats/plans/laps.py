@@ -49,7 +49,7 @@ def efficiency(df: DataFrame, laps: DataFrame) -> DataFrame:
 
 def _mean_efficiency(df: DataFrame, laps: DataFrame, key: str, name: str, n: int | None) -> DataFrame:
     means = efficiency(df, laps).groupBy(key).agg(F.avg("efficiency_ratio").alias("efficiency_ratio"))
-    names = df.groupBy(key).agg(F.min(name).alias(name))
+    names = df.select(key, name).distinct()
     return top_k(means.join(names, key, "left"), n, "efficiency_ratio", key)
 
 

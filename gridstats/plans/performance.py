@@ -1,7 +1,9 @@
 """A1 driver and constructor performance, A2 grid against finish, A3 pit stops.
 
 Every function takes the race-results master (one row per race and driver) and
-returns a lazy frame. ``position`` is NULL for an entry that did not finish.
+returns a lazy frame. ``position`` is NULL for an entry that did not finish. An
+id has one name, so names are grouping keys: a minimum over text would sort all
+rows before the aggregate.
 """
 
 from __future__ import annotations
@@ -24,9 +26,8 @@ def driver_win_ratio(df: DataFrame, n: int | None = 5, by: str = "position") ->
     """Share of a driver's entries won, 0 if none."""
     shares = (
         df.where(F.col("driverId").isNotNull())
-        .groupBy("driverId")
+        .groupBy("driverId", "driverRef")
         .agg(
-            F.min("driverRef").alias("driverRef"),
             ratio(count_where(F.col(by) == 1), F.count(F.lit(1))).alias("win_ratio"),
         )
     )
@@ -37,8 +38,8 @@ def constructor_wins(df: DataFrame, n: int | None = 5) -> DataFrame:
     """Wins per constructor; constructors without a win are absent."""
     wins = (
         df.where(won() & F.col("constructorId").isNotNull())
-        .groupBy("constructorId")
-        .agg(F.min("constructorRef").alias("constructorRef"), F.count(F.lit(1)).alias("wins"))
+        .groupBy("constructorId", "constructorRef")
+        .agg(F.count(F.lit(1)).alias("wins"))
     )
     return top_k(wins, n, "wins", "constructorId")
 
@@ -68,9 +69,8 @@ def position_gain(df: DataFrame, n: int | None = 5) -> DataFrame:
     """Mean of grid minus finish per driver; entries without a finish are skipped."""
     gains = (
         df.where(F.col("driverId").isNotNull())
-        .groupBy("driverId")
+        .groupBy("driverId", "driverRef")
         .agg(
-            F.min("driverRef").alias("driverRef"),
             F.avg(F.col("grid") - F.col("position")).alias("position_gain"),
         )
     )

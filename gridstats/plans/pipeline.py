@@ -31,9 +31,9 @@ def clean_tables(spark: SparkSession, raw_root: str, clean_root: str, fmt: str =
 
 
 def build_masters(spark: SparkSession, clean_root: str, master_root: str) -> None:
-    """Join the cleaned tables into the five masters and write them."""
+    """Join the cleaned tables into the five masters and write them by season."""
     for name, (build, inputs) in MASTERS.items():
-        save(build(*[load(spark, clean_root, t) for t in inputs]), master_root, name)
+        save(build(*[load(spark, clean_root, t) for t in inputs]), master_root, name, by="year")
 
 
 def master(spark: SparkSession, master_root: str, name: str = "master_race_results") -> DataFrame:

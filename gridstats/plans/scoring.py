@@ -37,9 +37,8 @@ def driver_scores(df: DataFrame, recent_years: int = 3, min_races: int = 10) ->
     )
     races = F.count("raceId")
     stats = (
-        recent.groupBy("driverId")
+        recent.groupBy("driverId", F.col("driverRef").alias("driver_name"))
         .agg(
-            F.min("driverRef").alias("driver_name"),
             half_even(F.coalesce(F.sum("points"), F.lit(0.0)), 2).alias("total_points"),
             half_even(F.avg("points"), 2).alias("avg_points"),
             half_even(F.avg("position"), 2).alias("avg_position"),
@@ -103,9 +102,8 @@ def weighted_drivers(df: DataFrame, start: int = 2020, n: int | None = 3) -> Dat
     table = (
         _weighted_points(df, start)
         .where(F.col("driverId").isNotNull())
-        .groupBy("driverId")
+        .groupBy("driverId", "driverRef")
         .agg(
-            F.min("driverRef").alias("driverRef"),
             F.coalesce(F.sum("weighted_points"), F.lit(0.0)).alias("weighted_points"),
             F.coalesce(F.sum("points"), F.lit(0.0)).alias("points"),
             F.avg("position").alias("avg_position"),
@@ -118,9 +116,8 @@ def weighted_constructors(df: DataFrame, start: int = 2020, n: int | None = 3) -
     table = (
         _weighted_points(df, start)
         .where(F.col("constructorId").isNotNull())
-        .groupBy("constructorId")
+        .groupBy("constructorId", "constructorRef")
         .agg(
-            F.min("constructorRef").alias("constructorRef"),
             F.coalesce(F.sum("weighted_points"), F.lit(0.0)).alias("weighted_points"),
             F.coalesce(F.sum("points"), F.lit(0.0)).alias("points"),
         )
@@ -177,8 +174,7 @@ def risk_linear(df: DataFrame, growth: bool = True) -> DataFrame:
     recent = _recent(df, 2).withColumn(
         "weighted", F.col("points") * linear_weight("year", last - 3, last)
     )
-    teams = recent.groupBy("constructorId").agg(
-        F.min("constructorRef").alias("constructor_name"),
+    teams = recent.groupBy("constructorId", F.col("constructorRef").alias("constructor_name")).agg(
         half_even(F.coalesce(F.sum("weighted"), F.lit(0.0)), 2).alias("weighted_points"),
         half_even(F.avg("points"), 2).alias("avg_points"),
         half_even(F.stddev_samp("points"), 2).alias("points_std"),
@@ -212,8 +208,7 @@ def risk_exponential(df: DataFrame) -> DataFrame:
     back, base = 4, 1.5
     weight = F.pow(F.lit(base), F.col("year") - (last - back)) / base**back
     recent = _recent(df, back).withColumn("weighted", F.col("points") * weight)
-    teams = recent.groupBy("constructorId").agg(
-        F.min("constructorRef").alias("constructor_name"),
+    teams = recent.groupBy("constructorId", F.col("constructorRef").alias("constructor_name")).agg(
         half_even(F.coalesce(F.sum("weighted"), F.lit(0.0)), 2).alias("weighted_points"),
         half_even(F.avg("points"), 2).alias("avg_points"),
         half_even(F.stddev_samp("points"), 2).alias("points_std"),
@@ -270,6 +265,6 @@ def risk_trend(df: DataFrame, n: int = 5) -> DataFrame:
     return (
         _recent(df, 4)
         .join(risky, "constructorId", "left_semi")
-        .groupBy("constructorId", "year")
-        .agg(F.min("constructorRef").alias("constructor_name"), F.avg("points").alias("points"))
+        .groupBy("constructorId", F.col("constructorRef").alias("constructor_name"), "year")
+        .agg(F.avg("points").alias("points"))
     )

@@ -31,9 +31,7 @@ def _steps(df: DataFrame) -> DataFrame:
 
 
 def _edges(steps: DataFrame) -> DataFrame:
-    return steps.groupBy("from_id", "to_id").agg(
-        F.min("from_team").alias("from_team"),
-        F.min("to_team").alias("to_team"),
+    return steps.groupBy("from_id", "to_id", "from_team", "to_team").agg(
         F.count(F.lit(1)).alias("steps"),
         F.min("year").alias("first_year"),
         F.max("year").alias("last_year"),
@@ -66,9 +64,8 @@ def podium_rate(df: DataFrame, n: int | None = 10) -> DataFrame:
     """Podiums over entries per team; NULL for a team without a podium."""
     rates = (
         df.where(F.col("constructorId").isNotNull())
-        .groupBy("constructorId")
+        .groupBy("constructorId", "constructorRef")
         .agg(
-            F.min("constructorRef").alias("constructorRef"),
             ratio(F.nullif(count_where(on_podium()), F.lit(0)), F.count(F.lit(1))).alias("podium_rate"),
         )
     )
@@ -148,9 +145,8 @@ def consistency(df: DataFrame, min_races: int = 10) -> DataFrame:
     top_10 = F.nullif(count_where(F.col("position") <= 10), F.lit(0))
     stats = (
         df.where(F.col("driverId").isNotNull())
-        .groupBy("driverId")
+        .groupBy("driverId", F.col("driverRef").alias("driver_name"))
         .agg(
-            F.min("driverRef").alias("driver_name"),
             F.round(F.stddev_samp("position"), 9).alias("position_std"),
             F.avg("position").alias("avg_position"),
             F.count("position").alias("races"),

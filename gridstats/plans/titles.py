@@ -25,8 +25,8 @@ def champions(df: DataFrame) -> DataFrame:
     """The driver with most race points per season; the lower id on a tie."""
     points = (
         df.where(F.col("year").isNotNull() & F.col("driverId").isNotNull())
-        .groupBy("year", "driverId")
-        .agg(F.min("driverRef").alias("driverRef"), F.coalesce(F.sum("points"), F.lit(0.0)).alias("points"))
+        .groupBy("year", "driverId", "driverRef")
+        .agg(F.coalesce(F.sum("points"), F.lit(0.0)).alias("points"))
     )
     leader = F.max(F.struct("points", (-F.col("driverId")).alias("minus_id"), "driverRef"))
     return (

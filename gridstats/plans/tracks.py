@@ -51,8 +51,7 @@ def circuit_difficulty(df: DataFrame, n: int | None = 3) -> DataFrame:
 def driver_profile(df: DataFrame, driver: str) -> DataFrame:
     """One driver at every circuit: nine figures and a score; lower is better."""
     rows = df.where((F.col("driverRef") == driver) & F.col("circuitId").isNotNull())
-    stats = rows.groupBy("circuitId").agg(
-        F.min("circuitRef").alias("circuit_name"),
+    stats = rows.groupBy("circuitId", F.col("circuitRef").alias("circuit_name")).agg(
         half_even(F.avg("position"), 2).alias("avg_position"),
         half_even(F.coalesce(F.stddev_samp("position"), F.lit(0.0)), 2).alias("position_std"),
         F.count("position").alias("races"),

@@ -38,17 +38,28 @@ def load(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{root}/{name}")
 
 
-def save(df: DataFrame, root: str, name: str, fmt: str = "parquet") -> None:
+def by_column(df: DataFrame, column: str | None):
+    """A writer that lays the table out by a column, one folder per value.
+
+    Readers then skip whole values. The rebalance hint gathers a value's rows
+    into few files and splits the files of a large one.
+    """
+    if column is None:
+        return df.write
+    return df.hint("rebalance", column).write.partitionBy(column)
+
+
+def save(df: DataFrame, root: str, name: str, fmt: str = "parquet", by: str | None = None) -> None:
     """Write a table. Parquet keeps dates and intervals; CSV gets intervals as text."""
     if fmt == "csv":
         spans = [c for c, kind in df.dtypes if kind.startswith("interval")]
         df = df.withColumns({c: F.col(c).cast("string") for c in spans})
         df.write.mode("overwrite").csv(f"{root}/{name}", header=True, escape='"')
     else:
-        df.write.mode("overwrite").format(fmt).save(f"{root}/{name}")
+        by_column(df, by).mode("overwrite").format(fmt).save(f"{root}/{name}")
 
 
-def keep(df: DataFrame) -> DataFrame:
+def keep(df: DataFrame, by: str | None = None) -> DataFrame:
     """Hold a frame that several operators read.
 
     Where the session names a shared checkpoint folder the frame is written
@@ -60,7 +71,7 @@ def keep(df: DataFrame) -> DataFrame:
     if not folder:
         return df.persist(StorageLevel.MEMORY_AND_DISK)
     path = f"{folder}/{spark.sparkContext.applicationId}/{uuid4().hex}"
-    df.write.parquet(path)
+    by_column(df, by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

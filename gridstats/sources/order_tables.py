@@ -256,7 +256,8 @@ class RaceTables:
 
     @property
     def status(self) -> DataFrame:
-        return self.spark.createDataFrame(list(STATUS.items()), "statusId bigint, status string")
+        known = ", ".join(f"({key}L, '{text}')" for key, text in STATUS.items())
+        return self.spark.sql(f"SELECT * FROM VALUES {known} AS t(statusId, status)")
 
     @property
     def qualifying(self) -> DataFrame:
