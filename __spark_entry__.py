@@ -8,8 +8,10 @@ from __future__ import annotations
 
 import os
 import sys
+import tempfile
 from collections.abc import Callable
 from functools import cached_property
+from uuid import uuid4
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
@@ -33,7 +35,16 @@ from gridstats.plans import (  # noqa: E402
     titles,
     tracks,
 )
-from gridstats.sources import SPECS, RaceTables, first_two_columns, keep  # noqa: E402
+from gridstats.sources import (  # noqa: E402
+    SPECS,
+    RaceTables,
+    first_two_columns,
+    keep,
+    load,
+    raw,
+    save,
+    shared_folder,
+)
 from oracle import ORACLE  # noqa: E402
 
 DRIVER, OTHER = "Supplier#000000001", "Supplier#000000002"
@@ -95,6 +106,23 @@ class Session:
     def cleaned(self, name: str) -> DataFrame:
         return clean(self.tables.as_text(name), name)
 
+    def new_folder(self) -> str:
+        """A fresh folder for files: shared if the session names one, else local."""
+        root = shared_folder(self.spark) or tempfile.mkdtemp(prefix="gridstats-")
+        return f"{root}/files-{uuid4().hex}"
+
+    def from_csv(self, name: str) -> DataFrame:
+        """A table written as a raw CSV file, read back and cleaned."""
+        folder = self.new_folder()
+        self.tables.as_text(name).write.csv(f"{folder}/{name}.csv", header=True, escape='"')
+        return clean(raw(self.spark, folder, name), name)
+
+    def through_parquet(self, name: str) -> DataFrame:
+        """A cleaned table written and loaded by name."""
+        folder = self.new_folder()
+        save(self.cleaned(name), folder, f"{name}_clean")
+        return load(self.spark, folder, f"{name}_clean")
+
     def engineered(self) -> DataFrame:
         return features.engineered(self.master, self.qualifying())
 
@@ -154,6 +182,10 @@ def comparable(df: DataFrame) -> DataFrame:
 
 
 PLANS: dict[str, Callable[[Session], DataFrame]] = {
+    # files
+    "src_csv": lambda s: s.from_csv("circuits"),
+    "src_csv_nulls": lambda s: s.from_csv("qualifying"),
+    "src_named": lambda s: s.through_parquet("lap_times"),
     # cleaning
     **{f"clean_{name}": lambda s, name=name: s.cleaned(name) for name in SPECS},
     "dst_rows": lambda s: removed_rows(s.tables.as_text("lap_times"), "lap_times"),

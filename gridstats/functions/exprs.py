@@ -38,7 +38,7 @@ def to_whole(text: ColumnLike) -> Column:
 
 
 def to_day(text: ColumnLike) -> Column:
-    return F.try_to_timestamp(trimmed(text), F.lit("yyyy-MM-dd")).cast("date")
+    return F.try_to_date(trimmed(text), "yyyy-MM-dd")
 
 
 def clock_time(text: ColumnLike) -> Column:
@@ -53,14 +53,13 @@ def _span(hours: Column, minutes: Column, seconds: Column) -> Column:
 
 
 def _clock_span(text: Column, pattern: str, *, hours: int | None, minutes: int, seconds: int) -> Column:
+    """Interval from the groups of a pattern; text that does not match has no minutes."""
     hour_part = F.lit("0") if hours is None else F.regexp_extract(text, pattern, hours)
-    hour_part = F.when(hour_part == "", "0").otherwise(hour_part)
-    span = _span(
-        hour_part,
+    return _span(
+        F.when(hour_part == "", "0").otherwise(hour_part),
         F.regexp_extract(text, pattern, minutes),
         F.regexp_extract(text, pattern, seconds),
     )
-    return F.when(text.rlike(pattern), span)
 
 
 MINUTES_SECONDS = r"^(\d{1,6}):(\d{1,6}(?:\.\d+)?)$"

@@ -12,6 +12,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+def earlier_rows(df: DataFrame, group: list[str], stretch: str) -> DataFrame:
+    """Per stretch, how many rows of the group lie in earlier stretches."""
+    sizes = df.groupBy(*group, stretch).agg(F.count(F.lit(1)).alias("_size"))
+    before = W.partitionBy(*group).orderBy(stretch).rowsBetween(W.unboundedPreceding, -1)
+    return sizes.select(
+        *group, stretch, F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before")
+    )
+
+
 def numbered(
     df: DataFrame,
     group: list[str],
@@ -27,15 +36,10 @@ def numbered(
     cheaper frame with the same rows to count, where ``df`` is a long plan.
     """
     rows = df if sizes_of is None else sizes_of
-    sizes = rows.groupBy(*group, stretch).agg(F.count(F.lit(1)).alias("_size"))
-    earlier = W.partitionBy(*group).orderBy(stretch).rowsBetween(W.unboundedPreceding, -1)
-    offsets = sizes.select(
-        *group, stretch, F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_before")
-    )
     inside = W.partitionBy(*group, stretch).orderBy(*order)
     return (
         df.withColumn("_row", F.row_number().over(inside))
-        .join(offsets, [*group, stretch])
+        .join(earlier_rows(rows, group, stretch), [*group, stretch])
         .withColumn(out, F.col("_row") + F.col("_before"))
         .drop("_row", "_before")
     )
@@ -61,9 +65,12 @@ def shifted(
     shifts: dict[str, tuple[str, int]],
     *,
     ahead: bool = False,
+    row: str | None = None,
 ) -> DataFrame:
     """Add ``{out: (column, k)}``: the column k rows back (or ahead) per entity.
 
+    ``row`` names a column for the row's number inside its stretch, if wanted.
+
     The sequence of an entity runs by ``(stretch, *order)``. Rows far enough
     from the edge of their stretch find the other row inside it. The others are
     settled among the edge rows alone: 2 * k rows per stretch.
@@ -89,4 +96,5 @@ def shifted(
     settled = moved(marked, inside).where(F.col("_from_start") > reach)
     edges = marked.where((F.col("_from_start") <= reach) | near_end)
     at_start = moved(edges, across).where(F.col("_from_start") <= reach)
-    return settled.unionByName(at_start).drop("_from_start", "_rows")
+    both = settled.unionByName(at_start).drop("_rows")
+    return both.withColumnRenamed("_from_start", row) if row else both.drop("_from_start")

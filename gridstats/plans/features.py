@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridstats.functions import is_true, ratio
-from gridstats.operators.sequences import numbered, shifted
+from gridstats.operators.sequences import earlier_rows, shifted
 from gridstats.plans.performance import on_podium, won
 
 
@@ -117,7 +117,7 @@ def forecast_rows(df: DataFrame, start: int = 2015, lagged_flags: bool = False)
     back = {f"_p{k}": ("points", k) for k in (1, 2, 3)}
     if lagged_flags:
         back |= {f"_{c}": (c, 1) for c in ("podium_finishes", "race_wins", "did_not_finish")}
-    run = shifted(flags, "driverId", "year", order, back)
+    run = shifted(flags, "driverId", "year", order, back, row="row")
     if lagged_flags:
         run = run.withColumns({c: F.col(f"_{c}") for c in ("podium_finishes", "race_wins", "did_not_finish")})
     form = ["_p1", "_p2", "_p3"] if lagged_flags else ["points", "_p1", "_p2"]
@@ -127,11 +127,10 @@ def forecast_rows(df: DataFrame, start: int = 2015, lagged_flags: bool = False)
             "recent_form": (F.col(form[0]) + F.col(form[1]) + F.col(form[2])) / 3,
         }
     ).drop(*[c for c in run.columns if c.startswith("_")])
-    places = [F.col(c) for c in order]
-    counted = numbered(run, ["driverId"], "year", places, "_number", sizes_of=recent)
     return (
-        counted.withColumn("career_experience", F.col("_number") - 1)
-        .drop("_number")
+        run.join(earlier_rows(recent, ["driverId"], "year"), ["driverId", "year"])
+        .withColumn("career_experience", F.col("row") + F.col("_before") - 1)
+        .drop("row", "_before")
         .join(strength, ["year", "constructorId"])
     )
 

@@ -4,6 +4,8 @@ from gridstats.sources.files import (
     load,
     raw,
     save,
+    scatter_tables,
+    shared_folder,
     strip_column_names,
     table_paths,
 )
@@ -19,6 +21,8 @@ __all__ = [
     "load",
     "raw",
     "save",
+    "scatter_tables",
+    "shared_folder",
     "strip_column_names",
     "table_paths",
 ]

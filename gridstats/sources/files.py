@@ -59,6 +59,12 @@ def save(df: DataFrame, root: str, name: str, fmt: str = "parquet", by: str | No
         by_column(df, by).mode("overwrite").format(fmt).save(f"{root}/{name}")
 
 
+def shared_folder(spark: SparkSession) -> str | None:
+    """This application's part of the shared folder that the session names, if it does."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    return f"{folder}/{spark.sparkContext.applicationId}" if folder else None
+
+
 def keep(df: DataFrame, by: str | None = None) -> DataFrame:
     """Hold a frame that several operators read.
 
@@ -67,10 +73,10 @@ def keep(df: DataFrame, by: str | None = None) -> DataFrame:
     re-read and not a re-computation. Otherwise it is cached, spilling to disk.
     """
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    folder = shared_folder(spark)
     if not folder:
         return df.persist(StorageLevel.MEMORY_AND_DISK)
-    path = f"{folder}/{spark.sparkContext.applicationId}/{uuid4().hex}"
+    path = f"{folder}/{uuid4().hex}"
     by_column(df, by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -82,6 +88,16 @@ def table_paths(spark: SparkSession, folder: str) -> DataFrame:
     return files.select("path", name.alias("name"))
 
 
+def scatter_tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """First two columns of every CSV file of a folder; narrower files are skipped.
+
+    Only the list of files, one row per table, comes to the driver.
+    """
+    tables = {r["name"]: read_csv(spark, r["path"]) for r in table_paths(spark, folder).collect()}
+    pairs = {name: first_two_columns(df) for name, df in tables.items()}
+    return {name: df for name, df in pairs.items() if df is not None}
+
+
 def first_two_columns(df: DataFrame) -> DataFrame | None:
     """The first two columns (the data of a scatter chart); None if there are fewer."""
     if len(df.columns) < 2:

@@ -73,6 +73,13 @@ answer(
       (SELECT count(*) AS rows_after FROM (SELECT DISTINCT * FROM lap_times))""",
 )
 
+for _name, _same in [
+    ("src_csv", "clean_circuits"),
+    ("src_csv_nulls", "clean_qualifying"),
+    ("src_named", "clean_lap_times"),
+]:
+    ORACLE[_name] = ORACLE[_same]
+
 # --- profiles and charts ---------------------------------------------------
 
 _RESULT_TYPES = {

@@ -90,9 +90,8 @@ def test_a03_stops(df, pits, rows):
 
 def test_a04_pairs(df, rows):
     assert rows(rivalry.race_positions(df).where("driverId = 1")) == [(1, 1, 1.0), (1, 3, 1.0), (1, 4, 2.0), (1, 5, 1.0)]
-    assert rows(rivalry.corr_pairs(df)) == [(1, 2, -1.0), (2, 1, -1.0)] or rows(
-        rivalry.corr_pairs(df), "driver_1", "driver_2", "correlation"
-    ) == [(1, 2, -1.0), (2, 1, -1.0)]
+    pairs = rows(rivalry.corr_pairs(df), "driver_1", "driver_2", "correlation")
+    assert pairs == [(1, 2, -1.0), (2, 1, -1.0)], "a correlation of exactly 1 is left out"
     closest = [tuple(r) for r in rivalry.rivalries(df).collect()]
     assert [(a, b, name_b, round(c, 9), d) for a, _, b, name_b, c, d in closest] == [
         (1, 2, "beta", -1.0, 1.0),

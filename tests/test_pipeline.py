@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from gridstats.functions import seconds_of
 from gridstats.operators.cleaning import clean, removed_rows
 from gridstats.plans import eda, masters, pipeline
-from gridstats.sources import SPECS, first_two_columns, load, raw, save, table_paths
+from gridstats.sources import SPECS, first_two_columns, load, raw, save, scatter_tables, table_paths
 from tests import raw_tables
 
 
@@ -104,8 +104,13 @@ def test_intervals_survive_parquet_and_become_text_in_csv(spark, root, tmp_path)
     assert text.columns == frame.columns and text.count() == frame.count()
 
 
-def test_folder_listing(spark, root):
+def test_folder_listing(spark, root, tmp_path):
     assert {r["name"] for r in table_paths(spark, root).collect()} == set(SPECS)
+    (tmp_path / "two.csv").write_text("a, b,c\n1,2,3\n")
+    (tmp_path / "one.csv").write_text("a\n1\n")
+    (tmp_path / "notes.txt").write_text("no table")
+    pairs = scatter_tables(spark, str(tmp_path))
+    assert {name: df.columns for name, df in pairs.items()} == {"two": ["a", "b"]}
 
 
 def test_race_results_master(spark, built, rows):
