@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import os
 import sys
-import tempfile
 from collections.abc import Callable
 from functools import cached_property
 from uuid import uuid4
@@ -47,6 +46,14 @@ from gridstats.sources import (  # noqa: E402
 )
 from oracle import ORACLE  # noqa: E402
 
+try:  # the corpus operators may be absent
+    import corpus_pipeline
+    from gridstats.llm import queries as corpus
+except ModuleNotFoundError as missing:
+    if missing.name not in ("corpus_pipeline", "gridstats.llm"):
+        raise
+    corpus = corpus_pipeline = None
+
 DRIVER, OTHER = "Supplier#000000001", "Supplier#000000002"
 DRIVER_ID, OTHER_ID = 1, 2
 START = 1997
@@ -107,9 +114,8 @@ class Session:
         return clean(self.tables.as_text(name), name)
 
     def new_folder(self) -> str:
-        """A fresh folder for files: shared if the session names one, else local."""
-        root = shared_folder(self.spark) or tempfile.mkdtemp(prefix="gridstats-")
-        return f"{root}/files-{uuid4().hex}"
+        """A fresh folder for files that driver and executors share."""
+        return f"{shared_folder(self.spark)}/files-{uuid4().hex}"
 
     def from_csv(self, name: str) -> DataFrame:
         """A table written as a raw CSV file, read back and cleaned."""
@@ -356,8 +362,16 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def runner(plan: Callable[[Session], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
         return lambda spark, sf_dir: comparable(plan(Session.of(spark, str(sf_dir).rstrip("/"))))
 
-    return {name: runner(plan) for name, plan in PLANS.items()}
+    found = {name: runner(plan) for name, plan in PLANS.items()}
+    if corpus:
+        found |= corpus.QUERIES | {"pipeline": corpus_pipeline.run}
+    return found
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLE)
+    found = dict(ORACLE)
+    if corpus:
+        found |= corpus.ORACLE
+        if corpus_pipeline.ORACLE_SQL:
+            found["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return found

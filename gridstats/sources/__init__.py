@@ -1,5 +1,6 @@
 from gridstats.sources.files import (
     first_two_columns,
+    forget,
     keep,
     load,
     raw,
@@ -17,6 +18,7 @@ __all__ = [
     "SPECS",
     "TableSpec",
     "first_two_columns",
+    "forget",
     "keep",
     "load",
     "raw",

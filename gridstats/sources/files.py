@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
 from uuid import uuid4
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,28 +59,41 @@ def save(df: DataFrame, root: str, name: str, fmt: str = "parquet", by: str | No
         by_column(df, by).mode("overwrite").format(fmt).save(f"{root}/{name}")
 
 
-def shared_folder(spark: SparkSession) -> str | None:
-    """This application's part of the shared folder that the session names, if it does."""
+def shared_folder(spark: SparkSession) -> str:
+    """This application's part of the folder that driver and executors share.
+
+    It is the session's ``spark.checkpoint.dir``. A local master, whose
+    executors run on the driver's machine, gets a temporary folder where that
+    setting is missing; a cluster must name one.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{folder}/{spark.sparkContext.applicationId}" if folder else None
+    if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="gridstats-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return f"{folder}/{spark.sparkContext.applicationId}"
 
 
 def keep(df: DataFrame, by: str | None = None) -> DataFrame:
-    """Hold a frame that several operators read.
+    """Write a frame that several operators read, and return the written table.
 
-    Where the session names a shared checkpoint folder the frame is written
-    there as a table: readers prune its columns, and a lost executor costs a
-    re-read and not a re-computation. Otherwise it is cached, spilling to disk.
+    This runs a job. The table lies in the shared folder: readers prune its
+    columns, the lineage ends there, and a lost executor costs a re-read and
+    not a re-computation. ``forget`` removes all tables of the application.
     """
     spark = df.sparkSession
-    folder = shared_folder(spark)
-    if not folder:
-        return df.persist(StorageLevel.MEMORY_AND_DISK)
-    path = f"{folder}/{uuid4().hex}"
+    path = f"{shared_folder(spark)}/{uuid4().hex}"
     by_column(df, by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget(spark: SparkSession) -> None:
+    """Remove every table that ``keep`` wrote for this application."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def table_paths(spark: SparkSession, folder: str) -> DataFrame:
     """The CSV files of a folder: one row of ``path`` and ``name`` per file."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(folder)
