@@ -7,7 +7,18 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridstats.llm import minhash, mixing, packing, planes, tokens
+from gridstats.llm import (
+    licenses,
+    minhash,
+    mixing,
+    packing,
+    pages,
+    planes,
+    tokens,
+    topk,
+    toxicity,
+    vectors,
+)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +53,27 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(docs, vocabulary("byte_bpe_50k.json"), capacity=1024, end_id=2)
 
 
+def op4_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_vectors(table(spark, sf_dir, "embeddings"), threshold=0.95)
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return toxicity.scored(docs, toxicity.fit(docs, labels))
+
+
+def op6_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents")).drop("spans")
+
+
+def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.main_text(table(spark, sf_dir, "pages"))
+
+
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -57,6 +89,11 @@ QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_token_counts": op2_token_counts,
     "op3_packing": op3_packing,
+    "op4_near_vectors": op4_near_vectors,
+    "op5_toxicity": op5_toxicity,
+    "op6_top_k": op6_top_k,
+    "op7_licenses": op7_licenses,
+    "op8_main_text": op8_main_text,
     "op9_minhash": op9_minhash,
     "op10_token_planes": op10_token_planes,
 }
