@@ -8,16 +8,20 @@ each worker process remembers the chunks it has met lately.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterable
 
-import numpy as np
-
 #: Chunks that a cache remembers before its older half is dropped.
 REMEMBERED = 300_000
 #: Longer chunks are encoded anew each time.
 LONGEST_REMEMBERED = 64
 #: Characters of text that are looked up at once.
 SLICE = 1 << 20
+_LATIN = "A-Za-zÀ-ÖØ-öø-ÿ"
+_UNSAFE = re.compile(r"[^\x00-&(-~À-ÖØ-öø-ÿ]")
+_WHITE = re.compile(r"\s\s")
+_LETTERS = re.compile(rf"[{_LATIN}]+|[^{_LATIN} ]+")
+_SPACED = re.compile(rf" ?[{_LATIN}]+|[^{_LATIN}]+?(?= ?[{_LATIN}]|\Z)")
 _LOOSE_SPACE = re.compile(r" (?=\s|$)")
 _encoders: dict[tuple, object] = {}
 
@@ -28,18 +32,21 @@ class Remembered:
     def __init__(self, make):
         self.make, self.new, self.old = make, {}, {}
 
-    def get(self, wanted: set[str]) -> dict[str, bytes]:
-        """A mapping that has every wanted key."""
+    def lists(self, wanted: list[list[str]]) -> list[list[bytes]]:
+        """What was made of every string of every list."""
         if len(self.new) > REMEMBERED:
             self.old, self.new = self.new, {}
-        missing = wanted - self.new.keys()
-        known = missing & self.old.keys()
-        for key in known:
-            self.new[key] = self.old[key]
-        fresh = list(missing - known)
-        made = dict(zip(fresh, self.make(fresh), strict=True))
-        self.new.update((k, v) for k, v in made.items() if len(k) <= LONGEST_REMEMBERED)
-        return self.new if made.keys() <= self.new.keys() else {**self.new, **made}
+        found = [list(map(self.new.get, keys)) for keys in wanted]
+        gaps = [[at for at, value in enumerate(values) if value is None] for values in found]
+        missing = {keys[at] for keys, where in zip(wanted, gaps, strict=True) for at in where}
+        known = {key: self.old[key] for key in missing if key in self.old}
+        fresh = [key for key in missing if key not in known]
+        known.update(zip(fresh, self.make(fresh), strict=True))
+        for keys, values, where in zip(wanted, found, gaps, strict=True):
+            for at in where:
+                values[at] = known[keys[at]]
+        self.new.update((k, v) for k, v in known.items() if len(k) <= LONGEST_REMEMBERED)
+        return found
 
 
 def spaced_chunks(text: str) -> list[str]:
@@ -65,36 +72,49 @@ def word_chunks(text: str) -> list[str]:
     return [word for word in text.split(" ") if word]
 
 
+def spaced_pieces(text: str) -> list[str]:
+    """A text cut between letters and other signs, where no token lies across.
+
+    Letters keep a space before them. With apostrophes, letters beyond Latin-1
+    or neighbouring white space the rules differ: then it is cut into chunks.
+    """
+    if _UNSAFE.search(text) or _WHITE.search(text):
+        return spaced_chunks(text)
+    return _SPACED.findall(text)
+
+
+def word_pieces(text: str) -> list[str]:
+    """As ``spaced_pieces`` for a vocabulary of lower case words without white space."""
+    return word_chunks(text) if _UNSAFE.search(text) else _LETTERS.findall(text.lower())
+
+
 class TokenIds:
     """Ids as little-endian unsigned 32-bit integers, by a tokenizers file.
 
-    ``chunks`` cuts a text where its ids fall apart. A text that might hold a
+    ``pieces`` cuts a text where its ids fall apart. A text that might hold a
     special string is encoded whole, so that the library finds it.
     """
 
-    def __init__(self, path: str, chunks):
+    def __init__(self, path: str, pieces):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.chunks = chunks
+        self.pieces = pieces
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.cache = Remembered(self._encode)
 
     def _encode(self, pieces: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch(pieces, add_special_tokens=False)
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
+        found = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
+        return [array("I", e.ids).tobytes() for e in found]
 
     def encode(self, texts: Iterable[str | None]) -> Iterable[bytes]:
         for part in slices(texts):
-            cut = [
-                [text] if any(s in text for s in self.specials) else self.chunks(text)
-                for text in part
-            ]
-            known = self.cache.get(set().union(*cut))
-            for pieces in cut:
-                yield b"".join(map(known.__getitem__, pieces))
+            special = [any(s in text for s in self.specials) for text in part]
+            cut = [[] if odd else self.pieces(text) for text, odd in zip(part, special, strict=True)]
+            for text, odd, found in zip(part, special, self.cache.lists(cut), strict=True):
+                yield self._encode([text])[0] if odd else b"".join(found)
 
 
 def slices(texts: Iterable[str | None]) -> Iterable[list[str]]:
@@ -112,12 +132,12 @@ def slices(texts: Iterable[str | None]) -> Iterable[list[str]]:
 
 def spaced_ids(path: str) -> TokenIds:
     """This process's encoder for a byte-level vocabulary that keeps white space."""
-    return held(("spaced", path), lambda: TokenIds(path, spaced_chunks))
+    return held(("spaced", path), lambda: TokenIds(path, spaced_pieces))
 
 
 def word_ids(path: str) -> TokenIds:
     """This process's encoder for a vocabulary that ignores white space."""
-    return held(("word", path), lambda: TokenIds(path, word_chunks))
+    return held(("word", path), lambda: TokenIds(path, word_pieces))
 
 
 def held(key: tuple, make):

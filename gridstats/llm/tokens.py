@@ -93,13 +93,11 @@ class PrefixCounts:
     def tables(self, texts) -> Iterator[bytes]:
         """Per text, the change of the token count at each of its characters."""
         for part in slices(texts):
-            cut = [self.chunks(text) for text in part]
-            known = self.cache.get(set().union(*cut))
-            for pieces in cut:
-                if not pieces:
+            for found in self.cache.lists([self.chunks(text) for text in part]):
+                if not found:
                     yield b""
                     continue
-                first, *rest = map(known.__getitem__, pieces)
+                first, *rest = found
                 # The library's own leading space is no character of the text.
                 both = np.frombuffer(first[:2], dtype=np.int8).sum(dtype=np.int8)
                 yield b"".join([both.tobytes(), first[2:], *rest])
