@@ -4,11 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridstats.llm import minhash, mixing, packing
+from gridstats.llm import minhash, mixing, packing, toxicity
 from gridstats.llm.queries import table, vocabulary
 from gridstats.sources import keep
 
 
+def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the lexicon, fitted on the labels, calls toxic go."""
+    return toxicity.without_toxic(docs, table(spark, sf_dir, "labels"))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays."""
     return minhash.one_of_each(docs)
@@ -25,6 +30,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
+    ("toxic", toxic),
     ("near_duplicates", near_duplicates),
     ("mix", mix),
     ("pack", pack),

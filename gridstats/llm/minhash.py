@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridstats.llm.components import components
+from gridstats.llm.names import fresh
 from gridstats.shipping import ship
 from gridstats.sources import keep
 
@@ -335,13 +336,14 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = SHINGLE) ->
         "doc_id",
         "n_shingles",
         F.coalesce("component", "doc_id").alias("component_id"),
-        F.coalesce(F.col("component").isNull() | (F.col("component") == F.col("doc_id"))).alias("kept"),
+        F.coalesce(F.col("component") == F.col("doc_id"), F.lit(True)).alias("kept"),
     )
 
 
 def one_of_each(docs: DataFrame, percent: int = 75, width: int = SHINGLE) -> DataFrame:
     """``docs`` with one document of each group, all columns; a repeated row counts as a copy."""
+    name = fresh(docs, "_kept")
     kept = near_duplicates(docs, percent, width).where("kept and doc_id is not null")
-    ids = kept.select(F.col("doc_id").alias("_kept")).distinct()
-    rows = docs.join(ids, F.col("doc_id").cast("bigint") == F.col("_kept"), "left_semi")
+    ids = kept.select(F.col("doc_id").alias(name)).distinct()
+    rows = docs.join(ids, F.col("doc_id").cast("bigint") == F.col(name), "left_semi")
     return rows.dropDuplicates(["doc_id"]).unionAll(docs.where("doc_id is null"))

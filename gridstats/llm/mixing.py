@@ -17,6 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridstats.llm.names import fresh
 from gridstats.operators.sequences import numbered
 from gridstats.shipping import ship
 from gridstats.sources import keep
@@ -199,11 +200,13 @@ def chance(seed: int) -> Column:
 
 def mixed(docs: DataFrame, **how) -> DataFrame:
     """The documents of the mix: each row as often as ``copies`` says, with all its columns."""
+    own, key, times, copy = (fresh(docs, n) for n in ("_own", "_ident", "_times", "_copy"))
     taken = (
         copies(docs, **how)
         .where("copies > 0")
-        .groupBy(F.col("ident").alias("_ident"))
-        .agg(F.first("copies").alias("_times"))
+        .groupBy(F.col("ident").alias(key))
+        .agg(F.first("copies").alias(times))
     )
-    rows = docs.withColumn("_own", identity()).join(taken, F.col("_own") == F.col("_ident"))
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_times"))).select(docs.columns)
+    rows = docs.withColumn(own, identity()).join(taken, F.col(own) == F.col(key))
+    rows = rows.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times))))
+    return rows.select([F.col(f"`{c}`") for c in docs.columns])

@@ -21,7 +21,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
+from gridstats.llm.names import fresh
 from gridstats.shipping import ship
 from gridstats.sources import keep
 
@@ -261,15 +263,16 @@ def scored(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     Label, language, source and id play no part in the score. Null and empty
     texts have the score of a text without hits. A row without id is not held out.
     """
-    return _with_scores(docs.select("doc_id", "text"), lexicon).select(
+    rows = _with_scores(docs.select("doc_id", "text"), lexicon, "score")
+    return rows.select(
         "doc_id",
         F.coalesce(held_out(), F.lit(False)).alias("held_out"),
-        F.col("_score").alias("score"),
-        (F.col("_score") >= 0.5).cast("int").alias("predicted"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
     )
 
 
-def _with_scores(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
+def _with_scores(docs: DataFrame, lexicon: Lexicon, name: str) -> DataFrame:
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -277,13 +280,13 @@ def _with_scores(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
         for batch in batches:
             texts = (t.as_py() for t in batch.column("text"))
             found = np.array([features(folded(t), automaton) for t in texts]).reshape(-1, 2)
-            yield batch.append_column("_score", pa.array(lexicon.score(found), pa.float64()))
+            yield batch.append_column(name, pa.array(lexicon.score(found), pa.float64()))
 
-    shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{shape}, _score double")
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, DoubleType())]))
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
     """The documents that the fitted lexicon does not call toxic, with all their columns."""
-    lexicon = fit(docs, labels, fit_rows)
-    return _with_scores(docs, lexicon).where("_score < 0.5").drop("_score")
+    name = fresh(docs, "_score")
+    rows = _with_scores(docs, fit(docs, labels, fit_rows), name)
+    return rows.where(F.col(name) < 0.5).drop(name)
