@@ -38,6 +38,7 @@ from gridstats.sources import (  # noqa: E402
     SPECS,
     RaceTables,
     first_two_columns,
+    forget,
     keep,
     load,
     raw,
@@ -57,7 +58,6 @@ except ModuleNotFoundError as missing:
 DRIVER, OTHER = "Supplier#000000001", "Supplier#000000002"
 DRIVER_ID, OTHER_ID = 1, 2
 START = 1997
-CIRCUITS = 25
 
 
 class Session:
@@ -102,6 +102,12 @@ class Session:
         t = self.tables
         return masters.lap_times(t.lap_times, t.races, t.drivers, t.circuits)
 
+    @cached_property
+    def circuit_ids(self) -> list[int]:
+        """Keys of the circuits table, one per column of a matrix for display."""
+        keys = self.tables.circuits.select("circuitId").orderBy("circuitId").collect()
+        return [r["circuitId"] for r in keys]
+
     @cached_property
     def pits(self) -> DataFrame:
         return keep(self.pits_plan().select("raceId", "driverId", "duration"))
@@ -120,9 +126,26 @@ class Session:
     def from_csv(self, name: str) -> DataFrame:
         """A table written as a raw CSV file, read back and cleaned."""
         folder = self.new_folder()
-        self.tables.as_text(name).write.csv(f"{folder}/{name}.csv", header=True, escape='"')
+        write_text(self.tables.as_text(name), f"{folder}/{name}.csv")
+        return clean(raw(self.spark, folder, name), name)
+
+    def through_csv(self, name: str) -> DataFrame:
+        """A cleaned table saved as CSV and read and cleaned again."""
+        folder = self.new_folder()
+        save(self.cleaned(name), folder, f"{name}.csv", fmt="csv")
         return clean(raw(self.spark, folder, name), name)
 
+    def padded_names(self, name: str) -> DataFrame:
+        """A table from a CSV file whose column names have blanks around them."""
+        folder, text = self.new_folder(), self.tables.as_text(name)
+        write_text(text.toDF(*[f"  {c} " for c in text.columns]), f"{folder}/{name}.csv")
+        return clean(raw(self.spark, folder, name), name)
+
+    def close(self) -> None:
+        """Remove what was kept for this session."""
+        forget(self.spark)
+        Session._held = {k: s for k, s in Session._held.items() if s.spark is not self.spark}
+
     def through_parquet(self, name: str) -> DataFrame:
         """A cleaned table written and loaded by name."""
         folder = self.new_folder()
@@ -172,6 +195,12 @@ class Session:
         return models.fit_podium(self.podiums, models.GRID_AND_MEANS, min_rows=100)
 
 
+def write_text(df: DataFrame, path: str) -> None:
+    """A CSV folder with the blanks that the values have."""
+    blanks = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    df.write.options(**blanks).csv(path, header=True, escape='"')
+
+
 def comparable(df: DataFrame) -> DataFrame:
     """Doubles at six digits, days as text, intervals in seconds."""
     shown = []
@@ -190,6 +219,8 @@ def comparable(df: DataFrame) -> DataFrame:
 PLANS: dict[str, Callable[[Session], DataFrame]] = {
     # files
     "src_csv": lambda s: s.from_csv("circuits"),
+    "snk_csv": lambda s: s.through_csv("circuits"),
+    "cols_strip": lambda s: s.padded_names("circuits"),
     "src_csv_nulls": lambda s: s.from_csv("qualifying"),
     "src_named": lambda s: s.through_parquet("lap_times"),
     # cleaning
@@ -241,6 +272,7 @@ PLANS: dict[str, Callable[[Session], DataFrame]] = {
     "a04_rivalries": lambda s: rivalry.rivalries(s.master),
     "a04_rivalry_drivers": lambda s: rivalry.rivalry_drivers(s.master),
     "a04_pair_detail": lambda s: rivalry.pair_detail(s.master, DRIVER_ID, OTHER_ID),
+    "a04_rivals_of": lambda s: rivalry.rivals_of(s.master, DRIVER_ID),
     "a04_pair_races": lambda s: rivalry.pair_races(s.master, DRIVER_ID, OTHER_ID),
     "a05_common_seasons": lambda s: rivalry.common_seasons(s.master, DRIVER, OTHER),
     "a05_team_perf": lambda s: rivalry.team_performance(s.master),
@@ -273,7 +305,7 @@ PLANS: dict[str, Callable[[Session], DataFrame]] = {
         "constructorId",
         "circuitId",
         "efficiency_ratio",
-        list(range(CIRCUITS)),
+        s.circuit_ids,
     ),
     "a09_lap_box": lambda s: laps.lap_box(s.master, s.laps),
     # A10, A11, A12
@@ -287,6 +319,9 @@ PLANS: dict[str, Callable[[Session], DataFrame]] = {
     "a11_features_lagged": lambda s: features.forecast_training(
         features.forecast_rows(s.master, START, lagged_flags=True)
     ),
+    "a11_features_same_race": lambda s: features.forecast_training(
+        features.forecast_rows(s.master, START, lagged_flags=False)
+    ),
     "a11_inputs": lambda s: features.forecast_inputs(s.forecast),
     "a11_fit_rf": lambda s: models.forecast_metrics(s.forest, s.training),
     "a11_fit_gbt": lambda s: models.forecast_metrics(s.boosted, s.training),

@@ -1,4 +1,5 @@
 from gridstats.functions.exprs import (
+    NULL_MARKERS,
     age_at_year_end,
     clip,
     clock_time,
@@ -10,6 +11,7 @@ from gridstats.functions.exprs import (
     lap_time,
     linear_weight,
     pearson,
+    present,
     ratio,
     result_time,
     seconds_of,
@@ -22,6 +24,7 @@ from gridstats.functions.exprs import (
 )
 
 __all__ = [
+    "NULL_MARKERS",
     "age_at_year_end",
     "clip",
     "clock_time",
@@ -33,6 +36,7 @@ __all__ = [
     "lap_time",
     "linear_weight",
     "pearson",
+    "present",
     "ratio",
     "result_time",
     "seconds_of",

@@ -19,22 +19,39 @@ def _c(value: ColumnLike) -> Column:
 # --- text to value ---------------------------------------------------------
 
 
+# Texts that stand for a missing value in the raw files.
+NULL_MARKERS = [
+    "", r"\N", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
+    "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
+]
+NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
+
+
+def present(text: ColumnLike) -> Column:
+    """The text; NULL where it is a marker of a missing value."""
+    body = _c(text)
+    return F.when(~body.isin(NULL_MARKERS), body)
+
+
 def trimmed(text: ColumnLike) -> Column:
-    """Text without surrounding blanks; empty text and the marker ``\\N`` are NULL."""
-    body = F.trim(_c(text))
-    return F.when((body != "") & (body != r"\N"), body)
+    """Text without surrounding blanks; markers of missing values are NULL."""
+    return present(F.trim(_c(text)))
 
 
 def to_double(text: ColumnLike) -> Column:
-    return trimmed(text).try_cast("double")
+    """Decimal number; any other text, ``NaN`` and ``12d`` too, and what is too large is NULL."""
+    body = trimmed(text)
+    number = F.when(body.rlike(NUMBER), body).try_cast("double")
+    return F.when(F.abs(number) < float("inf"), number)
 
 
 def to_whole(text: ColumnLike) -> Column:
     """Whole number; ``12.0`` counts as 12, anything with a fraction is NULL."""
     body = trimmed(text)
-    number = body.try_cast("double")
+    number = to_double(text)
     via_double = F.when(number == F.floor(number), number.try_cast("bigint"))
-    return F.coalesce(body.try_cast("bigint"), via_double)
+    digits = F.regexp_extract(body, r"^([+-]?\d+)(\.0*)?$", 1)  # exact beyond what a double holds
+    return F.coalesce(digits.try_cast("bigint"), via_double)
 
 
 def to_day(text: ColumnLike) -> Column:
@@ -48,7 +65,7 @@ def clock_time(text: ColumnLike) -> Column:
 
 def _span(hours: Column, minutes: Column, seconds: Column) -> Column:
     total = hours.try_cast("int") * 3600.0 + minutes.try_cast("int") * 60.0
-    whole = total.cast("decimal(18,6)") + seconds.try_cast("decimal(18,6)")
+    whole = total.try_cast("decimal(18,6)") + seconds.try_cast("decimal(18,6)")
     return F.make_dt_interval(secs=whole.try_cast("decimal(18,6)"))
 
 
@@ -62,9 +79,9 @@ def _clock_span(text: Column, pattern: str, *, hours: int | None, minutes: int,
     )
 
 
-MINUTES_SECONDS = r"^(\d{1,6}):(\d{1,6}(?:\.\d+)?)$"
-HOURS_MINUTES_SECONDS = r"^(\d{1,6}):(\d{1,6}):(\d{1,6}(?:\.\d+)?)$"
-OPTIONAL_HOURS = r"^(?:(\d{1,6}):)?(\d{1,6}):(\d{1,6}(?:\.\d+)?)$"
+MINUTES_SECONDS = r"^(\d+):(\d+(?:\.\d+)?)$"
+HOURS_MINUTES_SECONDS = r"^(\d+):(\d+):(\d+(?:\.\d+)?)$"
+OPTIONAL_HOURS = r"^(?:(\d+):)?(\d+):(\d+(?:\.\d+)?)$"
 
 
 def lap_time(text: ColumnLike) -> Column:
@@ -78,7 +95,7 @@ def fastest_lap_time(text: ColumnLike) -> Column:
 
 
 def _gap(text: Column) -> Column:
-    return F.make_dt_interval(secs=F.substring(text, 2, 64).try_cast("decimal(18,6)"))
+    return F.make_dt_interval(secs=text.substr(F.lit(2), F.length(text)).try_cast("decimal(18,6)"))
 
 
 def result_time(text: ColumnLike) -> Column:

@@ -6,17 +6,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: Combinations that one shard of a grid holds, about.
+SHARD = 1_000_000
+
+
 def dense_grid(
-    cells: DataFrame, rows: DataFrame, columns: DataFrame, fill: dict[str, float], shards: int = 16
+    cells: DataFrame, rows: DataFrame, columns: DataFrame, fill: dict[str, float]
 ) -> DataFrame:
     """Every (row key, column key) combination with the values of ``cells``, else ``fill``.
 
     The combinations are the answer here. They come from an equality join on a
     shard number: each column key lives in one shard, each row key in all.
+    There are as many shards as the two numbers of keys ask for.
     """
-    shard = F.pmod(F.xxhash64(*columns.columns), F.lit(shards)).cast("int")
-    spread = rows.distinct().withColumn("_shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    held = columns.distinct().withColumn("_shard", shard)
+    held, spread = columns.distinct(), rows.distinct()
+    keys = held.agg(F.count(F.lit(1)).alias("n")).scalar() * spread.agg(F.count(F.lit(1)).alias("n")).scalar()
+    shards = F.greatest(F.ceil(keys / SHARD), F.lit(1)).cast("int")
+    held = held.withColumn("_shard", F.pmod(F.xxhash64(*columns.columns), shards).cast("int"))
+    spread = spread.withColumn("_shard", F.explode(F.sequence(F.lit(0), shards - 1)))
     grid = spread.join(held, "_shard").drop("_shard")
     return grid.join(cells, [*rows.columns, *columns.columns], "left").fillna(fill)
 
@@ -24,7 +31,10 @@ def dense_grid(
 def wide(cells: DataFrame, row: str, column: str, value: str, columns: list) -> DataFrame:
     """A matrix for display: one column per given key, 0 where there is no cell.
 
-    The keys are named by the caller, so their number is bounded.
+    The keys are named by the caller, so their number is bounded. A cell with
+    another key stops the job instead of being left out.
     """
-    mean = cells.groupBy(row).pivot(column, columns).agg(F.avg(value))
+    known = F.col(column).isNull() | F.col(column).isin(columns)
+    key = F.when(known, F.col(column)).otherwise(F.raise_error("a cell has a key outside the columns"))
+    mean = cells.withColumn(column, key).groupBy(row).pivot(column, columns).agg(F.avg(value))
     return mean.fillna(0.0).withColumnsRenamed({str(c): f"{column}_{c}" for c in columns})

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -14,24 +14,35 @@ def value_counts(df: DataFrame, keys: list[str], value: str, weight: str | None
     return present.groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(amount.alias("_w"))
 
 
-def quantiles(
-    counts: DataFrame, keys: list[str], probabilities: dict[str, float], buckets: int = 1024
-) -> DataFrame:
+#: Buckets that a group's distinct values are cut into are STEP * STEP.
+STEP = 32
+
+
+def _bucket(value: str, bounds: str) -> Column:
+    """How many bounds are at or below the value, found in two steps of STEP."""
+    coarse = F.array(*[F.get(bounds, F.lit(k * STEP - 1)) for k in range(1, STEP)])
+    passed = F.size(F.filter(coarse, lambda b: b <= F.col(value)))
+    fine = F.slice(bounds, passed * STEP + 1, F.lit(STEP))
+    return passed * STEP + F.size(F.filter(fine, lambda b: b <= F.col(value)))
+
+
+def quantiles(counts: DataFrame, keys: list[str], probabilities: dict[str, float]) -> DataFrame:
     """Exact quantiles with linear interpolation, from ``value_counts``.
 
-    Each group's range is cut into equal buckets. Cumulative bucket totals show
-    which buckets hold the wanted ranks; only the values of those buckets are
-    ordered, one bucket per task, so no task sees a whole group.
+    Each group's distinct values are cut into buckets of about as many values
+    each, at the bounds of a quantile sketch, so that outliers do no harm.
+    Cumulative bucket totals show which buckets hold the wanted ranks; only the
+    values of those buckets are ordered, one bucket per task, so no task sees
+    a whole group.
     """
-    span = [F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_w").alias("_n")]
+    cuts = [k / STEP**2 for k in range(1, STEP**2)]
+    span = [F.percentile_approx("_v", cuts, 4 * STEP**2).alias("_bounds"), F.sum("_w").alias("_n")]
     if keys:
         located = counts.join(counts.groupBy(*keys).agg(*span), keys)
     else:
         whole = counts.agg(F.struct(*span)).scalar()
-        located = counts.withColumns({f: whole.getField(f) for f in ("_lo", "_hi", "_n")})
-    share = F.try_divide(F.col("_v") - F.col("_lo"), F.col("_hi") - F.col("_lo"))
-    bucket = F.least(F.floor(F.coalesce(share, F.lit(0.0)) * buckets), F.lit(buckets - 1))
-    located = located.withColumn("_b", bucket.cast("int"))
+        located = counts.withColumns({f: whole.getField(f) for f in ("_bounds", "_n")})
+    located = located.withColumn("_b", _bucket("_v", "_bounds")).drop("_bounds")
 
     upto = W.partitionBy(*keys).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
     totals = (

@@ -48,12 +48,10 @@ def numbered(
 def value_stretch(df: DataFrame, value: str) -> Column:
     """Descending stretch number of a non-negative value: ranges of equal ratio.
 
-    There are more and narrower ranges the more rows the frame has, so that a
-    range of one hot group still fits a task.
+    There are more and narrower ranges the more rows the frame has, without a
+    limit, so that a range of one hot group still fits a task.
     """
-    per_doubling = df.agg(
-        F.least(F.greatest(F.ceil(F.count(F.lit(1)) / 1e6), F.lit(16)), F.lit(1024))
-    ).scalar()
+    per_doubling = df.agg(F.greatest(F.ceil(F.count(F.lit(1)) / 1e6), F.lit(16))).scalar()
     return (-F.floor(F.log2(F.col(value).cast("double") + 1.0) * per_doubling)).cast("int")
 
 

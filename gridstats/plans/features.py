@@ -84,14 +84,14 @@ FORECAST_FEATURES = [
 ]
 
 
-def forecast_rows(df: DataFrame, start: int = 2015, lagged_flags: bool = False) -> DataFrame:
+def forecast_rows(df: DataFrame, start: int = 2015, lagged_flags: bool = True) -> DataFrame:
     """Every entry since ``start`` with its forecast features.
 
     ``previous_season_points`` is the driver's previous entry, and
-    ``recent_form`` the mean of this and the two entries before, NULL until
-    there are three. The three outcome flags describe the same race as the
-    target and so give it away; ``lagged_flags=True`` takes them, and the form,
-    from the entries before.
+    ``recent_form`` the mean of the three entries before, NULL until there are
+    three. The three outcome flags describe the entry before. With
+    ``lagged_flags=False``, the published form, the flags and the last entry of
+    the form are those of the same race as the target, which gives it away.
     """
     recent = df.where(F.col("year") >= start).select(
         "resultId", "raceId", "driverId", "driverRef", "constructorId",

@@ -99,7 +99,7 @@ def circuit_rate_top(df: DataFrame, teams: int = 10, circuits: int = 10) -> Data
     best = podium_rate(df, teams).select("constructorId")
     sizes = df.where(F.col("circuitId").isNotNull()).groupBy("circuitId").agg(F.count(F.lit(1)).alias("entries"))
     busiest = top_k(sizes, circuits, "entries", "circuitId").select("circuitId")
-    return dense_grid(_seen_circuit_rates(df), busiest, best, {"podium_rate": 0.0}, shards=1)
+    return dense_grid(_seen_circuit_rates(df), busiest, best, {"podium_rate": 0.0})
 
 
 def team_head_to_head(df: DataFrame) -> DataFrame:
@@ -131,7 +131,9 @@ def team_head_to_head_matrix(df: DataFrame, n: int = 10) -> DataFrame:
     columns = best.select(
         F.col("constructorId").alias("opponent"), F.col("constructorRef").alias("opponent_name")
     )
-    return team_head_to_head(df).join(rows, "team").join(columns, "opponent")
+    # A pair depends on its own two teams only, so the others can go before.
+    own = df.join(best.select("constructorId"), "constructorId", "left_semi")
+    return team_head_to_head(own).join(rows, "team").join(columns, "opponent")
 
 
 # --- A8 --------------------------------------------------------------------

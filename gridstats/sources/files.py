@@ -16,15 +16,21 @@ def strip_column_names(df: DataFrame) -> DataFrame:
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """One CSV file or folder, every column as text. Quotes inside quotes are doubled."""
-    frame = spark.read.csv(path, header=True, nullValue=r"\N", escape='"')
+    """One CSV file or folder, every column as text. Quotes inside quotes are doubled.
+
+    All files of a folder must have the same columns in the same order; a file
+    with another header stops the read.
+    """
+    frame = spark.read.csv(path, header=True, nullValue=r"\N", escape='"', enforceSchema=False)
     return strip_column_names(frame)
 
 
 def raw(spark: SparkSession, root: str, name: str) -> DataFrame:
-    """Raw table ``name`` as text. A column the file lacks is read as NULL."""
+    """Raw table ``name`` as text. A column the file lacks is read as NULL, but it must have its key."""
     frame = read_csv(spark, f"{root}/{name}.csv")
-    present = set(frame.columns)
+    present, key = set(frame.columns), next(iter(SPECS[name].columns))
+    if key not in present:
+        raise ValueError(f"{name} has no column {key}")
     return frame.select(
         *[
             F.col(c) if c in present else F.lit(None).cast("string").alias(c)

@@ -11,8 +11,10 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridstats.functions import NULL_MARKERS
 from gridstats.operators.sequences import numbered, value_stretch
 from gridstats.sources.files import keep
+from gridstats.sources.schemas import SPECS
 
 # Points for finishing first to tenth.
 POINTS = [25.0, 18.0, 15.0, 12.0, 10.0, 8.0, 6.0, 4.0, 2.0, 1.0]
@@ -25,8 +27,19 @@ TIE_RANGE = 1 << 20
 ENTRY = ["raceId", "driverId"]
 
 
+#: Circuits, and rows of a race or keys, that packed ids have room for.
+CIRCUIT_ROOM, KEY_ROOM = 1_000_000, 200_000_000
+
+
+def _packed(high: Column, low: Column, room: int) -> Column:
+    """Two numbers as one; it fails where the low one is out of its room."""
+    fits = low.between(0, room - 1)
+    return F.when(fits, high * room + low).otherwise(F.raise_error("a key exceeds its room in a packed id"))
+
+
 def _race_id() -> Column:
-    return F.col("year") * 10000 + F.col("round") * 100 + F.col("circuitId")
+    month = F.col("year").cast("bigint") * 12 + F.col("round") - 1
+    return _packed(month, F.col("circuitId"), CIRCUIT_ROOM)
 
 
 def _points(position: str) -> Column:
@@ -109,7 +122,7 @@ class RaceTables:
         )
         return keep(totals.join(teams, ["driverId", "year"]))
 
-    @property
+    @cached_property
     def _ranked(self) -> DataFrame:
         # Revenues differ, so ranges of revenue split a race. Quantities are small
         # whole numbers with many ties, which are split by ranges of the driver id.
@@ -132,7 +145,7 @@ class RaceTables:
             "grid",
             sizes_of=staged,
         )
-        return started.drop("_by_revenue", "_by_quantity")
+        return keep(started.drop("_by_revenue", "_by_quantity"))
 
     @property
     def results(self) -> DataFrame:
@@ -152,7 +165,7 @@ class RaceTables:
         return (
             self._ranked.withColumn("position", F.when(~retired, order.cast("int")))
             .select(
-                (F.col("raceId").cast("bigint") * 1000000000 + order).alias("resultId"),
+                _packed(F.col("raceId"), order, KEY_ROOM).alias("resultId"),
                 F.col("raceId").cast("bigint").alias("raceId"),
                 "driverId",
                 "constructorId",
@@ -256,8 +269,11 @@ class RaceTables:
 
     @property
     def status(self) -> DataFrame:
-        known = ", ".join(f"({key}L, '{text}')" for key, text in STATUS.items())
-        return self.spark.sql(f"SELECT * FROM VALUES {known} AS t(statusId, status)")
+        """The outcomes that occur among the results, one row each."""
+        text = F.lit(None).cast("string")
+        for key, name in STATUS.items():
+            text = F.when(F.col("statusId") == key, name).otherwise(text)
+        return self.results.select("statusId").distinct().withColumn("status", text)
 
     @property
     def qualifying(self) -> DataFrame:
@@ -320,9 +336,10 @@ class RaceTables:
     def constructor_results(self) -> DataFrame:
         """Points per race and team; disqualified if it scored none in an odd round."""
         scored = self.results.groupBy("raceId", "constructorId").agg(F.sum("points").alias("points"))
-        lost = (F.col("points") == 0) & (F.floor(F.col("raceId") / 100) % 2 == 1)
+        odd_round = F.floor(F.col("raceId") / CIRCUIT_ROOM) % 2 == 0  # months are counted from 0
+        lost = (F.col("points") == 0) & odd_round
         return scored.select(
-            (F.col("raceId") * 100000 + F.col("constructorId")).alias("constructorResultsId"),
+            _packed(F.col("raceId"), F.col("constructorId"), KEY_ROOM).alias("constructorResultsId"),
             "raceId",
             "constructorId",
             "points",
@@ -336,7 +353,7 @@ class RaceTables:
             F.count_if(F.coalesce(F.col("position") == 1, F.lit(False))).cast("int").alias("wins"),
         )
         return table.select(
-            (F.col("raceId") * 10000000000 + F.col(key)).alias(id_name),
+            _packed(F.col("raceId"), F.col(key), KEY_ROOM).alias(id_name),
             "raceId",
             key,
             "points",
@@ -354,9 +371,12 @@ class RaceTables:
         return self._standings("driverId", "driverStandingsId")
 
     def as_text(self, name: str) -> DataFrame:
-        """A table the way a raw CSV file holds it: text, padded, nulls as ``\\N``.
+        """A table the way raw CSV files hold it: as untidy text.
 
-        Durations of a minute or more are written with a colon, as in the files.
+        Values are padded with blanks, whole numbers partly have a decimal
+        point, nulls are any of the usual markers or unreadable text, and rows
+        whose first column is a multiple of ten occur twice. Durations of a
+        minute or more are written with a colon.
         """
         frame = getattr(self, name)
         if name == "pit_stops":
@@ -364,5 +384,20 @@ class RaceTables:
             frame = frame.withColumn(
                 "duration", F.coalesce(F.col("duration").cast("string"), colon)
             )
-        text = [F.coalesce(F.col(c).cast("string"), F.lit(r"\N")).alias(c) for c in frame.columns]
-        return frame.select(*text)
+        kinds, first = SPECS[name].columns, frame.columns[0]
+        rough = [_untidy(c, kinds[c]).alias(c) for c in frame.columns]
+        copies = F.when(F.col(first) % 10 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+        return frame.select(*rough, F.explode(copies).alias("_copy")).drop("_copy")
+
+
+def _untidy(column: str, kind: str) -> Column:
+    """A value as padded text, a null as a marker or, where numbers are expected, as other text."""
+    value = F.col(column).cast("string")
+    draw = F.pmod(F.xxhash64(F.lit(column), column), F.lit(60)).cast("int")
+    if kind in ("whole", "small"):
+        value = F.when(draw % 5 == 0, F.concat(value, F.lit(".0"))).otherwise(value)
+    if kind != "text":
+        value = F.concat(F.repeat(F.lit(" "), draw % 3), value, F.repeat(F.lit(" "), draw % 2))
+    missing = NULL_MARKERS + (["12d", "1f", "abc", "Infinity", "1,5"] if kind in ("whole", "small", "real") else [])
+    row = F.pmod(F.monotonically_increasing_id(), F.lit(len(missing))).cast("int")
+    return F.coalesce(value, F.get(F.array(*map(F.lit, missing)), row))

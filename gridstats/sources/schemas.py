@@ -16,6 +16,7 @@ from gridstats.functions import (
     clock_time,
     fastest_lap_time,
     lap_time,
+    present,
     result_time,
     sprint_time,
     to_day,
@@ -23,12 +24,6 @@ from gridstats.functions import (
     to_whole,
     trimmed,
 )
-from pyspark.sql import functions as F
-
-
-def _kept(text: str) -> Column:
-    body = F.col(text)
-    return F.when((body != "") & (body != r"\N"), body)
 
 
 KINDS: dict[str, Callable[[str], Column]] = {
@@ -38,7 +33,7 @@ KINDS: dict[str, Callable[[str], Column]] = {
     "day": to_day,
     "clock": clock_time,
     "trim": trimmed,
-    "text": _kept,
+    "text": present,
 }
 
 

@@ -69,12 +69,14 @@ answer("clean_status", "SELECT * FROM status")
 answer(
     "dst_rows",
     """SELECT rows_before, rows_after, rows_before - rows_after AS removed
-    FROM (SELECT count(*) AS rows_before FROM lap_times),
+    FROM (SELECT count(*) + count(*) FILTER (WHERE raceId % 10 = 0) AS rows_before FROM lap_times),
       (SELECT count(*) AS rows_after FROM (SELECT DISTINCT * FROM lap_times))""",
 )
 
 for _name, _same in [
     ("src_csv", "clean_circuits"),
+    ("snk_csv", "clean_circuits"),
+    ("cols_strip", "clean_circuits"),
     ("src_csv_nulls", "clean_qualifying"),
     ("src_named", "clean_lap_times"),
 ]:
@@ -100,7 +102,8 @@ _CR_TYPES = {"constructorResultsId": "bigint", "raceId": "bigint", "constructorI
 answer(
     "profile_before_after",
     "\nUNION ALL ".join(
-        f"""SELECT '{c}' AS "column", '{'string' if stage == 'before' else t}' AS type, count(*) AS rows,
+        f"""SELECT '{c}' AS "column", '{'string' if stage == 'before' else t}' AS type,
+        count(*){' + count(*) FILTER (WHERE constructorResultsId % 10 = 0)' if stage == 'before' else ''} AS rows,
         0 AS nulls, '{stage}' AS stage FROM constructor_results"""
         for stage in ("before", "after")
         for c, t in {**_CR_TYPES, "status": "string"}.items()
@@ -306,6 +309,13 @@ _TWO = {
       HAVING position_1 IS NOT NULL AND position_2 IS NOT NULL"""
 }
 answer("a04_pair_races", "SELECT * FROM two", **_TWO)
+answer(
+    "a04_rivals_of",
+    f"""SELECT o.driverId AS opponent, count(*) AS races, {r6(corr('a.p', 'o.p'), 'correlation')},
+    {r6('avg(abs(a.p - o.p))', 'avg_finish_diff')}
+    FROM finishes a JOIN finishes o ON a.raceId = o.raceId AND a.driverId = 1 AND o.driverId <> 1 GROUP BY o.driverId""",
+    finishes="""SELECT driverId, raceId, avg(position) AS p FROM m WHERE position IS NOT NULL GROUP BY ALL""",
+)
 answer(
     "a04_pair_detail",
     f"""SELECT count(*) AS races, {r6(corr('position_1', 'position_2'), 'correlation')},
@@ -552,20 +562,18 @@ _FORECAST = {
     "rows_now": """SELECT resultId, raceId, driverId, driverRef, constructorId, year, round, grid, position, points,
       pod AS podium_finishes, win AS race_wins, dnf AS did_not_finish, l1 AS previous_season_points,
       round((points + l1 + l2) / 3, 6) AS recent_form, career_experience, team_strength FROM run""",
+    "rows_lagged": """SELECT resultId, raceId, driverId, driverRef, constructorId, year, round, grid, position,
+  points, lpod AS podium_finishes, lwin AS race_wins, ldnf AS did_not_finish, l1 AS previous_season_points,
+  round((l1 + l2 + l3) / 3, 6) AS recent_form, career_experience, team_strength FROM run""",
 }
-answer("a11_features", "SELECT * FROM rows_now WHERE recent_form IS NOT NULL", **_FORECAST)
-answer(
-    "a11_features_lagged",
-    """SELECT resultId, raceId, driverId, driverRef, constructorId, year, round, grid, position, points,
-    lpod AS podium_finishes, lwin AS race_wins, ldnf AS did_not_finish, l1 AS previous_season_points,
-    round((l1 + l2 + l3) / 3, 6) AS recent_form, career_experience, team_strength FROM run WHERE l3 IS NOT NULL""",
-    **_FORECAST,
-)
+answer("a11_features_same_race", "SELECT * FROM rows_now WHERE recent_form IS NOT NULL", **_FORECAST)
+for _name in ("a11_features", "a11_features_lagged"):
+    answer(_name, "SELECT * FROM rows_lagged WHERE recent_form IS NOT NULL", **_FORECAST)
 answer(
     "a11_inputs",
     """SELECT driverId, driverRef, grid, recent_form, team_strength, career_experience + 1 AS career_experience,
     podium_finishes, race_wins, did_not_finish, points AS previous_season_points, points AS current_points
-    FROM rows_now WHERE year = (SELECT max(year) FROM rows_now)
+    FROM rows_lagged WHERE year = (SELECT max(year) FROM rows_lagged)
     QUALIFY row_number() OVER (PARTITION BY driverId ORDER BY round, resultId) = 1""",
     **_FORECAST,
 )

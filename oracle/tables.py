@@ -16,7 +16,7 @@ def long_clock(ms: str) -> str:
 
 
 _standing = """
-  SELECT raceId * 10000000000 + {key} AS {id}, raceId, {key}, sum(points) AS points, min(position) AS position,
+  SELECT raceId * 200000000 + {key} AS {id}, raceId, {key}, sum(points) AS points, min(position) AS position,
     coalesce(CAST(min(position) AS VARCHAR), '-') AS positionText,
     CAST(count(*) FILTER (WHERE position = 1) AS BIGINT) AS wins
   FROM results GROUP BY raceId, {key}"""
@@ -26,7 +26,7 @@ WITH lines AS (
   SELECT year(o_orderdate) AS year, month(o_orderdate) AS round, CAST(c_nationkey AS BIGINT) AS circuitId,
     l_suppkey AS driverId, CAST(replace(p_brand, 'Brand#', '') AS BIGINT) AS constructorId,
     CAST(l_extendedprice AS DECIMAL(18,2)) AS price, CAST(l_quantity AS BIGINT) AS quantity, l_linenumber AS line,
-    CAST(year(o_orderdate) * 10000 + month(o_orderdate) * 100 + c_nationkey AS BIGINT) AS raceId
+    (CAST(year(o_orderdate) AS BIGINT) * 12 + month(o_orderdate) - 1) * 1000000 + c_nationkey AS raceId
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey
   JOIN customer ON o_custkey = c_custkey JOIN part ON l_partkey = p_partkey),
 season_sums AS (SELECT driverId, year, constructorId, sum(price) AS revenue FROM lines GROUP BY ALL),
@@ -46,7 +46,7 @@ placed AS (
     CAST(5400000 + positionOrder * 1234 AS BIGINT) AS finish_ms, CAST(80000 + quantity * 37 AS BIGINT) AS fast_ms
   FROM ranked),
 results AS (
-  SELECT raceId * 1000000000 + positionOrder AS resultId, raceId, driverId, constructorId, driverId % 100 AS number,
+  SELECT raceId * 200000000 + positionOrder AS resultId, raceId, driverId, constructorId, driverId % 100 AS number,
     grid, position, coalesce(CAST(position AS VARCHAR), 'R') AS positionText, positionOrder,
     CAST(CASE position {_points} ELSE 0.0 END AS DOUBLE) AS points,
     CASE WHEN position IS NULL THEN 30 WHEN positionOrder > 20 THEN 59 ELSE 60 END AS laps,
@@ -84,7 +84,8 @@ circuits AS (
     '/circuit/' || n_nationkey AS url
   FROM nation),
 seasons AS (SELECT DISTINCT year, '/season/' || year AS url FROM entries),
-status AS (SELECT * FROM (VALUES (1, 'Finished'), (2, 'Did not finish'), (3, '+1 Lap')) s(statusId, status)),
+status AS (SELECT DISTINCT statusId, CASE statusId WHEN 1 THEN 'Finished' WHEN 2 THEN 'Did not finish' ELSE '+1 Lap' END AS status
+  FROM results),
 qualifying AS (
   SELECT resultId AS qualifyId, raceId, driverId, constructorId, number, grid AS position,
     {clock('75000 + grid * 53')} AS q1,
@@ -105,8 +106,8 @@ pit_stops AS (
     CASE WHEN quantity * 1500 < 60000 THEN quantity * 1.5::DOUBLE END AS duration, quantity * 1500 AS milliseconds
   FROM lines),
 constructor_results AS (
-  SELECT raceId * 100000 + constructorId AS constructorResultsId, raceId, constructorId, sum(points) AS points,
-    CASE WHEN sum(points) = 0 AND (raceId // 100) % 2 = 1 THEN 'D' END AS status
+  SELECT raceId * 200000000 + constructorId AS constructorResultsId, raceId, constructorId, sum(points) AS points,
+    CASE WHEN sum(points) = 0 AND (raceId // 1000000) % 2 = 0 THEN 'D' END AS status
   FROM results GROUP BY raceId, constructorId),
 constructor_standings AS ({_standing.format(key='constructorId', id='constructorStandingsId')}),
 driver_standings AS ({_standing.format(key='driverId', id='driverStandingsId')}),

@@ -182,9 +182,9 @@ def test_a11_weights(df):
 
 
 def test_a11_features(df, rows):
-    found = rows(features.forecast_rows(df, 2000).where("driverId = 1"), "raceId", "previous_season_points", "recent_form", "career_experience", "did_not_finish")
+    found = rows(features.forecast_rows(df, 2000, lagged_flags=False).where("driverId = 1"), "raceId", "previous_season_points", "recent_form", "career_experience", "did_not_finish")
     assert found == [(1, None, None, 0, 0), (2, 10.0, None, 1, 1), (3, 0.0, 6.666667, 2, 0), (4, 10.0, 5.333333, 3, 0), (5, 6.0, 8.666667, 4, 0)]
-    lagged = rows(features.forecast_rows(df, 2000, lagged_flags=True).where("driverId = 1"), "raceId", "recent_form", "did_not_finish")
+    lagged = rows(features.forecast_rows(df, 2000).where("driverId = 1"), "raceId", "recent_form", "did_not_finish")
     assert lagged == [(1, None, None), (2, None, 0), (3, None, 1), (4, 6.666667, 0), (5, 5.333333, 0)]
     strength = features.forecast_rows(df, 2003).where("driverId = 1").first()["team_strength"]
     assert strength == pytest.approx((10 + 1 + 1) / 3)
