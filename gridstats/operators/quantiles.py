@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from gridstats.sources.files import keep
+
 
 def value_counts(df: DataFrame, keys: list[str], value: str, weight: str | None = None) -> DataFrame:
     """Distinct values per group with their row count (or summed weight)."""
@@ -14,35 +18,34 @@ def value_counts(df: DataFrame, keys: list[str], value: str, weight: str | None
     return present.groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(amount.alias("_w"))
 
 
-#: Buckets that a group's distinct values are cut into are STEP * STEP.
-STEP = 32
-
-
-def _bucket(value: str, bounds: str) -> Column:
-    """How many bounds are at or below the value, found in two steps of STEP."""
-    coarse = F.array(*[F.get(bounds, F.lit(k * STEP - 1)) for k in range(1, STEP)])
+def _bucket(value: str, bounds: str, step: int) -> Column:
+    """How many of ``step * step - 1`` bounds are at or below the value, found in two steps."""
+    coarse = F.array(*[F.get(bounds, F.lit(k * step - 1)) for k in range(1, step)])
     passed = F.size(F.filter(coarse, lambda b: b <= F.col(value)))
-    fine = F.slice(bounds, passed * STEP + 1, F.lit(STEP))
-    return passed * STEP + F.size(F.filter(fine, lambda b: b <= F.col(value)))
+    fine = F.slice(bounds, passed * step + 1, F.lit(step))
+    return passed * step + F.size(F.filter(fine, lambda b: b <= F.col(value)))
 
 
-def quantiles(counts: DataFrame, keys: list[str], probabilities: dict[str, float]) -> DataFrame:
+def quantiles(
+    counts: DataFrame, keys: list[str], probabilities: dict[str, float], buckets: int = 1024
+) -> DataFrame:
     """Exact quantiles with linear interpolation, from ``value_counts``.
 
-    Each group's distinct values are cut into buckets of about as many values
+    Each group's distinct values are cut into about ``buckets`` buckets of as many values
     each, at the bounds of a quantile sketch, so that outliers do no harm.
     Cumulative bucket totals show which buckets hold the wanted ranks; only the
     values of those buckets are ordered, one bucket per task, so no task sees
     a whole group.
     """
-    cuts = [k / STEP**2 for k in range(1, STEP**2)]
-    span = [F.percentile_approx("_v", cuts, 4 * STEP**2).alias("_bounds"), F.sum("_w").alias("_n")]
+    step = max(2, math.ceil(math.sqrt(buckets)))
+    cuts = [k / step**2 for k in range(1, step**2)]
+    span = [F.percentile_approx("_v", cuts, 4 * step**2).alias("_bounds"), F.sum("_w").alias("_n")]
     if keys:
         located = counts.join(counts.groupBy(*keys).agg(*span), keys)
     else:
         whole = counts.agg(F.struct(*span)).scalar()
         located = counts.withColumns({f: whole.getField(f) for f in ("_bounds", "_n")})
-    located = located.withColumn("_b", _bucket("_v", "_bounds")).drop("_bounds")
+    located = located.withColumn("_b", _bucket("_v", "_bounds", step)).drop("_bounds")
 
     upto = W.partitionBy(*keys).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
     totals = (
@@ -81,7 +84,7 @@ def quantiles(counts: DataFrame, keys: list[str], probabilities: dict[str, float
 
 def box_stats(df: DataFrame, keys: list[str], value: str, weight: str | None = None) -> DataFrame:
     """Quartiles, whiskers within 1.5 IQR, and the number of rows beyond them."""
-    counts = value_counts(df, keys, value, weight)
+    counts = keep(value_counts(df, keys, value, weight))  # read by five branches
     quartiles = quantiles(counts, keys, {"q1": 0.25, "median": 0.5, "q3": 0.75})
     reach = (F.col("q3") - F.col("q1")) * 1.5
     inside = F.col("_v").between(F.col("q1") - reach, F.col("q3") + reach)

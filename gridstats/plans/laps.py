@@ -49,8 +49,9 @@ def efficiency(df: DataFrame, laps: DataFrame) -> DataFrame:
 
 def _mean_efficiency(df: DataFrame, laps: DataFrame, key: str, name: str, n: int | None) -> DataFrame:
     means = efficiency(df, laps).groupBy(key).agg(F.avg("efficiency_ratio").alias("efficiency_ratio"))
-    names = df.select(key, name).distinct()
-    return top_k(means.join(names, key, "left"), n, "efficiency_ratio", key)
+    best = top_k(means, n, "efficiency_ratio", key)  # names are looked up for these only
+    names = df.select(key, name).join(best.select(key), key, "left_semi").distinct()
+    return top_k(best.join(names, key, "left"), None, "efficiency_ratio", key)
 
 
 def team_efficiency(df: DataFrame, laps: DataFrame, n: int | None = 5) -> DataFrame:
@@ -81,12 +82,11 @@ def team_circuit_display(df: DataFrame, laps: DataFrame, teams: int = 5) -> Data
 
 
 def lap_box(df: DataFrame, laps: DataFrame) -> DataFrame:
-    """Box statistics of the lap time per circuit."""
-    counts = laps.groupBy("circuitId", "raceId", "driverId", "milliseconds").agg(
-        F.count(F.lit(1)).alias("laps")
-    )
+    """Box statistics of the lap time per circuit.
+
+    A lap counts once per result of its driver in the race; laps meet the few
+    results and are then counted by circuit and time, partly before the shuffle.
+    """
     results = df.groupBy("raceId", "driverId").agg(F.count(F.lit(1)).alias("results"))
-    weighted = counts.join(results, ["raceId", "driverId"]).withColumn(
-        "weight", F.col("laps") * F.col("results")
-    )
-    return box_stats(weighted, ["circuitId"], "milliseconds", "weight")
+    weighted = laps.join(results, ["raceId", "driverId"]).select("circuitId", "milliseconds", "results")
+    return box_stats(weighted, ["circuitId"], "milliseconds", "results")

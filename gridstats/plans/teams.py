@@ -11,6 +11,7 @@ from gridstats.operators.pairs import pair_sums
 from gridstats.operators.quantiles import median_of
 from gridstats.operators.sequences import shifted
 from gridstats.plans.performance import on_podium
+from gridstats.sources.files import keep
 
 
 # --- A6 --------------------------------------------------------------------
@@ -160,7 +161,7 @@ def consistency(df: DataFrame, min_races: int = 10) -> DataFrame:
 
 def consistent_drivers(df: DataFrame, n: int | None = 5, below: float = 10, min_races: int = 10) -> DataFrame:
     """Front runners with a spread under the median of all qualifying drivers."""
-    stats = consistency(df, min_races)
+    stats = keep(consistency(df, min_races))
     steady = stats.where(
         (F.col("avg_position") < below) & (F.col("position_std") < median_of(stats, "position_std"))
     )

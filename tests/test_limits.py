@@ -145,3 +145,12 @@ def test_workers_need_no_repository_folder(tmp_path):
         duck.execute(f"CREATE VIEW {name} AS SELECT * FROM '/root/testdata/sf0.001/{name}.parquet'")
     expected = len(duck.execute(entry.oracle_sql()["a07_h2h_matrix"]).fetchall())
     assert f"ROWS {expected}\n" in done.stdout, done.stderr[-2000:]
+
+
+def test_a_constant_fraction_has_no_correlation(spark):
+    draw = np.random.default_rng(2)
+    rows = [(r, d, 7.1 if d == 1 else float(draw.integers(1, 20))) for r in range(500) for d in (1, 2, 3)]
+    frame = spark.createDataFrame(rows, "raceId bigint, driverId bigint, position double")
+    found = {(r["a"], r["b"]): r["correlation"] for r in rivalry.pair_table(frame).collect()}
+    assert found[1, 2] is None and found[1, 3] is None
+    assert abs(found[2, 3]) < 0.2
