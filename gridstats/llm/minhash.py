@@ -12,14 +12,16 @@ Texts with the same words are one node. Within a band's bucket, every member
 is verified against the smallest and the largest id of the bucket, which joins
 groups of any size with work in proportion to their members. Only where
 members of a bucket are still in different components afterwards are the
-pairs between components compared, register by register in blocks, and those
-that may reach the threshold verified as well. So no link is lost that could
-join two components, and no group is expanded into all its pairs.
+pairs between components compared, register by register in blocks. The texts
+that may reach the threshold meet their family, block by block, and are
+verified there, the likeliest pairs first, unless their components are linked
+already. So no link is lost that could join two components, and no group is
+expanded into all its pairs.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -37,8 +39,10 @@ REGISTERS, MANTISSA, ROWS = 128, 10, 4
 BANDS = REGISTERS // ROWS
 #: An estimate this far below the threshold (four standard errors) still leads to verification.
 MARGIN = 0.16
-#: Members of a bucket that are compared in one block.
-BLOCK = 1024
+#: Members of a bucket, and texts of a family, that one block holds, about.
+BLOCK, FAMILY = 1024, 512
+#: Pairs whose registers are compared at once.
+PAIRS = 1 << 15
 #: Word hashes that a worker remembers.
 _WORDS = 400_000
 _words: dict[bytes, int] = {}
@@ -175,20 +179,19 @@ def shingle_sets(docs: DataFrame, ids: DataFrame, width: int = SHINGLE) -> DataF
 def close_pairs(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
     """The pairs ``a``, ``b`` whose estimate leaves the threshold possible."""
 
-    @F.pandas_udf("boolean")
-    def close(x: pd.Series, y: pd.Series, n: pd.Series, m: pd.Series) -> pd.Series:
-        if not len(x):
-            return pd.Series([], dtype=bool)
-        left = np.stack(x.to_list()).astype(np.int64).view(np.uint16).reshape(len(x), REGISTERS)
-        right = np.stack(y.to_list()).astype(np.int64).view(np.uint16).reshape(len(y), REGISTERS)
-        return pd.Series(estimate(left, right, n.to_numpy(), m.to_numpy()) >= threshold - MARGIN)
+    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            left, right = unpacked(batch.column("x")), unpacked(batch.column("y"))
+            n, m = (batch.column(c).to_numpy() for c in ("n", "m"))
+            near = estimate(left, right, n, m) >= threshold - MARGIN
+            yield batch.select(["a", "b"]).filter(pa.array(near))
 
     one = nodes.select(F.col("id").alias("a"), F.col("bands").alias("x"), F.col("n").alias("n"))
     two = nodes.select(F.col("id").alias("b"), F.col("bands").alias("y"), F.col("n").alias("m"))
     # Sets whose sizes are too far apart cannot reach the threshold.
     near = F.least("n", "m") >= threshold * F.greatest("n", "m") - 1e-9
     with_sketches = pairs.join(one, "a").join(two, "b").where(near)
-    return with_sketches.where(close("x", "y", "n", "m")).select("a", "b")
+    return with_sketches.select("a", "b", "x", "y", "n", "m").mapInArrow(close, "a bigint, b bigint")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, percent: int, width: int) -> DataFrame:
@@ -211,51 +214,104 @@ def verified(pairs: DataFrame, docs: DataFrame, percent: int, width: int) -> Dat
     return keep(pairs.join(two, "b").join(one, "a").where(linked("x", "y")).select("a", "b"))
 
 
-def _between(threshold: float):
-    """Pairs between components inside the buckets of one task, read in order."""
+def in_blocks(keys: list[str], work) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Apply ``work`` to whole blocks of rows with equal keys, which come in order.
 
-    def compare(block: pd.DataFrame) -> pd.DataFrame:
-        ids, part = block["id"].to_numpy(), block["component"].to_numpy()
-        own, n = block["block"].to_numpy(), block["n"].to_numpy()
-        low, high = block["low"].iloc[0], block["high"].iloc[0]
-        rows = np.stack(block["bands"].to_list()).astype(np.int64)
-        regs = rows.view(np.uint16).reshape(len(rows), REGISTERS)
-        left = np.flatnonzero(own == low)
-        right = np.flatnonzero(own == high)
-        out = []
-        for i in left:
-            others = right[part[right] != part[i]]
-            if low == high:
-                others = others[others > i]
-            least = np.minimum(n[others], n[i]) >= threshold * np.maximum(n[others], n[i]) - 1e-9
-            others = others[least]
-            if not len(others):
-                continue
-            # Only the first band that two rows share reports them.
-            first = (rows[others] == rows[i]) & (rows[i] != 0)
-            others = others[first.argmax(axis=1) == block["band"].iloc[0]]
-            near = estimate(regs[others], regs[i], n[others], n[i]) >= threshold - MARGIN
-            out.append(pd.DataFrame({"a": ids[i], "b": ids[others[near]]}))
-        return pd.concat(out) if out else pd.DataFrame({"a": [], "b": []}, dtype="int64")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        keys, rest = ["band", "value", "low", "high"], None
+    It gets one or more neighbouring blocks at once, and the batch it returns
+    is passed on unless it is None.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
         for batch in batches:
-            rows = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
-            if rows.empty:
+            table = pa.Table.from_batches([batch])
+            rows = table if rest is None else pa.concat_tables([rest, table])
+            if not rows.num_rows:
                 continue
-            last = (rows[keys] == rows[keys].iloc[-1]).all(axis=1)
-            rest = rows[last].reset_index(drop=True)
-            for _, block in rows[~last].groupby(keys, sort=False):
-                yield compare(block.reset_index(drop=True))
-        if rest is not None:
-            yield compare(rest)
+            marks = block_marks(rows, keys)
+            last = int((marks == marks[-1]).argmax())  # where the last block starts
+            rest = rows.slice(last)
+            if last and (found := work(rows.slice(0, last))) is not None:
+                yield found
+        if rest is not None and (found := work(rest)) is not None:
+            yield found
 
     return run
 
 
-def pairs_between(nodes: DataFrame, members: DataFrame, known: DataFrame, threshold: float):
-    """Candidate pairs of one bucket but different components.
+def block_marks(rows: pa.Table, keys: list[str]) -> np.ndarray:
+    """The number of the block of each row."""
+    change = np.zeros(rows.num_rows, dtype=bool)
+    for key in keys:
+        values = rows.column(key).to_numpy()
+        change[1:] |= values[1:] != values[:-1]
+    return np.cumsum(change)
+
+
+def joined_parts(parts: np.ndarray) -> np.ndarray:
+    """Positions of the pairs of parts (two rows) that a spanning forest needs."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while root.setdefault(x, x) != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    used = []
+    for at, (a, b) in enumerate(parts.T.tolist()):
+        a, b = find(a), find(b)
+        if a != b:
+            root[a] = b
+            used.append(at)
+    return np.array(used, dtype=int)
+
+
+def _promising(threshold: float):
+    """Rows of torn buckets to pairs that connect all components with a promising pair.
+
+    Of all pairs between components whose estimate leaves the threshold
+    possible, a task returns one per text in any of them and those that a
+    spanning forest of the components needs: no more than three per row.
+    """
+
+    def compare(rows: pa.Table) -> pa.RecordBatch | None:
+        ids, part, block, low, high, n = (
+            rows.column(c).to_numpy() for c in ("id", "component", "block", "low", "high", "n")
+        )
+        group = block_marks(rows, ["band", "value", "low", "high"])
+        lists = rows.column("bands").combine_chunks()
+        bands = np.asarray(lists.flatten(), dtype=np.int64).reshape(-1, BANDS)
+        found = []
+        for step in range(1, int(np.bincount(group).max())):
+            i = np.flatnonzero(group[step:] == group[:-step])
+            j = i + step
+            small, large = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
+            wanted = (part[i] != part[j]) & (small >= threshold * large - 1e-9)
+            wanted &= (low[i] == high[i]) | (block[i] != block[j])
+            i, j = i[wanted], j[wanted]
+            for start in range(0, len(i), PAIRS):
+                a, b = i[start : start + PAIRS], j[start : start + PAIRS]
+                x, y = (bands[k].view(np.uint16).reshape(-1, REGISTERS) for k in (a, b))
+                near = estimate(x, y, n[a], n[b]) >= threshold - MARGIN
+                found.append(np.stack([a[near], b[near]]))
+        pairs = np.concatenate(found, axis=1) if found else np.empty((2, 0), dtype=int)
+        if not pairs.shape[1]:
+            return None
+        parts = np.sort(part[pairs], axis=0)
+        _, some = np.unique(parts, axis=1, return_index=True)
+        forest = some[joined_parts(parts[:, some])]
+        _, of_each = np.unique(ids[pairs.ravel()], return_index=True)
+        use = np.unique(np.concatenate([forest, of_each % pairs.shape[1]]))
+        a, b = pairs[:, use]
+        columns = [pa.array(x) for x in (ids[a], ids[b], part[a], part[b])]
+        return pa.RecordBatch.from_arrays(columns, ["a", "b", "part_a", "part_b"])
+
+    return in_blocks(["band", "value", "low", "high"], compare)
+
+
+def promising(nodes: DataFrame, members: DataFrame, known: DataFrame, threshold: float) -> DataFrame:
+    """Pairs ``a``, ``b`` of one bucket but different components, with these.
 
     Buckets whose members are all in one component send nothing. The others
     are cut into blocks by id, and every pair of blocks is one unit of work.
@@ -288,8 +344,129 @@ def pairs_between(nodes: DataFrame, members: DataFrame, known: DataFrame, thresh
     ).join(nodes.select("id", "n", "bands"), "id")
     keys = ["band", "value", "low", "high"]
     ordered = rows.repartition(*keys).sortWithinPartitions(*keys, "id")
-    found = ordered.mapInPandas(_between(threshold), "a bigint, b bigint")
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return ordered.mapInArrow(_promising(threshold), "a bigint, b bigint, part_a bigint, part_b bigint")
+
+
+def common(one: np.ndarray, two: np.ndarray) -> int:
+    """How many hashes two sorted sets share."""
+    both = np.concatenate([one, two])
+    both.sort(kind="stable")  # merges the two runs
+    return int((both[1:] == both[:-1]).sum())
+
+
+def _verify(threshold: float, percent: int):
+    """Blocks of a family to links between their components, verified on the full sets.
+
+    The likeliest pairs come first, and pairs of components that are already
+    linked are left out: at most one link per component is returned.
+    """
+
+    def compare(rows: pa.Table) -> pa.RecordBatch | None:
+        found = []
+        group = block_marks(rows, ["family", "low", "high"])
+        starts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), rows.num_rows]
+        for start, stop in zip(starts, starts[1:], strict=False):
+            found += links_of(rows.slice(start, stop - start))
+        if not found:
+            return None
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], ["a", "b"])
+
+    def links_of(rows: pa.Table) -> list[tuple[int, int]]:
+        ids, part, n = (rows.column(c).to_numpy() for c in ("id", "component", "n"))
+        bands = np.asarray(rows.column("bands").combine_chunks().flatten(), dtype=np.int64)
+        regs = bands.view(np.uint16).reshape(-1, REGISTERS)
+        order, promise = [], []
+        for i in range(len(ids) - 1):
+            others = np.flatnonzero(part[i + 1 :] != part[i]) + i + 1
+            small, large = np.minimum(n[others], n[i]), np.maximum(n[others], n[i])
+            others = others[small >= threshold * large - 1e-9]
+            if len(others):
+                near = estimate(regs[others], regs[i], n[others], n[i])
+                some = near >= threshold - MARGIN
+                order.append(np.stack([np.full(some.sum(), i), others[some]]))
+                promise.append(near[some])
+        if not order:
+            return []
+        pairs, likely = np.concatenate(order, axis=1), np.concatenate(promise)
+        sets, root, links = rows.column("hashes"), {}, []
+
+        def find(x: int) -> int:
+            while root.setdefault(x, x) != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        held: dict[int, np.ndarray] = {}
+        for i, j in pairs[:, np.argsort(-likely, kind="stable")].T.tolist():
+            a, b = find(int(part[i])), find(int(part[j]))
+            if a == b:
+                continue
+            one, two = (
+                held[k] if k in held else held.setdefault(k, np.frombuffer(sets[k].as_buffer(), np.uint64))
+                for k in (i, j)
+            )
+            shared = common(one, two)
+            if 100 * shared >= percent * (len(one) + len(two) - shared):
+                root[a] = b
+                links.append((int(ids[i]), int(ids[j])))
+        return links
+
+    return in_blocks(["family", "low", "high"], compare)
+
+
+def links_between(
+    nodes: DataFrame, pairs: DataFrame, docs: DataFrame, percent: int, width: int
+) -> DataFrame:
+    """Verified links between components that ``promising`` pairs connect to families.
+
+    Every text of a promising pair goes to the blocks of its family with its
+    full set. A component of more than BLOCK texts has blocks of its own, which
+    are not compared with each other.
+    """
+    pairs = keep(pairs)
+    families = components(pairs.select(F.col("part_a").alias("a"), F.col("part_b").alias("b")))
+    sides = F.array(
+        F.struct(F.col("a").alias("id"), F.col("part_a").alias("component")),
+        F.struct(F.col("b").alias("id"), F.col("part_b").alias("component")),
+    )
+    texts = pairs.select(F.inline(sides)).distinct()
+    named = families.select(F.col("id").alias("component"), F.col("component").alias("family"))
+    texts = texts.join(named, "component")
+    sizes = texts.groupBy("family", "component").agg(F.count(F.lit(1)).alias("size"))
+    small = F.col("size") <= FAMILY
+    rest = sizes.groupBy("family").agg(F.sum(F.when(small, F.col("size"))).alias("rest"))
+    whole = F.when(~small, F.col("component")).otherwise(F.lit(-1)).cast("bigint")
+    chunk = F.when(small, F.pmod(F.xxhash64("component"), F.ceil(F.col("rest") / FAMILY))).otherwise(
+        F.pmod(F.xxhash64("id"), F.ceil(F.col("size") / FAMILY))
+    )
+    placed = keep(
+        texts.join(sizes, ["family", "component"])
+        .join(rest, "family")
+        .select(
+            "id",
+            "component",
+            "family",
+            whole.alias("whole"),
+            small.alias("small"),
+            F.concat_ws("/", whole.cast("string"), chunk.cast("string")).alias("block"),
+        )
+    )
+    blocks = placed.select(
+        F.col("family").alias("_family"), F.col("whole").alias("_whole"), F.col("block").alias("_block")
+    ).distinct()
+    apart = F.col("small") | (F.col("whole") != F.col("_whole"))
+    met = placed.join(blocks, (F.col("family") == F.col("_family")) & apart).select(
+        "id",
+        "component",
+        "family",
+        F.least("block", "_block").alias("low"),
+        F.greatest("block", "_block").alias("high"),
+    )
+    sets = keep(shingle_sets(docs, placed.select("id").distinct(), width))
+    rows = met.join(nodes.select("id", "n", "bands"), "id").join(sets, "id")
+    keys = ["family", "low", "high"]
+    ordered = rows.repartition(*keys).sortWithinPartitions(*keys, "id")
+    return ordered.mapInArrow(_verify(percent / 100, percent), "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75, width: int = SHINGLE) -> DataFrame:
@@ -324,8 +501,8 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = SHINGLE) ->
     stars = stars.select(F.least("id", "end").alias("a"), F.greatest("id", "end").alias("b"))
     links = verified(close_pairs(stars.distinct(), nodes, threshold), docs, percent, width)
     known = components(links)
-    left = pairs_between(nodes, shared.select("id", "band", "value"), known, threshold)
-    more = verified(left, docs, percent, width)
+    left = promising(nodes, shared.select("id", "band", "value"), known, threshold)
+    more = links_between(nodes, left, docs, percent, width)
     # Rows of one id whose words differ are one node.
     own = nodes.select(F.col("id").alias("node"), "same")
     copies = rows.where("n_shingles > 0 and doc_id is not null").join(own, "same")

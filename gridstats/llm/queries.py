@@ -97,4 +97,48 @@ QUERIES = {
     "op9_minhash": op9_minhash,
     "op10_token_planes": op10_token_planes,
 }
-ORACLE: dict[str, str] = {}
+# What SQL can express, for DuckDB. The usable vectors, and groups by reachability along links.
+_VECTORS = """usable AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)"""
+_GROUPS = """reach AS (
+  SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+roots AS (SELECT a, min(b) AS root FROM reach GROUP BY a)"""
+ORACLE: dict[str, str] = {
+    "op4_near_vectors": f"""WITH RECURSIVE {_VECTORS},
+links AS (
+  SELECT x.vec_id AS a, y.vec_id AS b FROM usable x JOIN usable y ON x.vec_id <> y.vec_id
+  WHERE list_sum(list_transform(x.e, lambda v: v * v)) > 0 AND list_sum(list_transform(y.e, lambda v: v * v)) > 0
+    AND list_cosine_similarity(x.e, y.e) >= 0.95),
+{_GROUPS},
+counts AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, coalesce(root, vec_id)) AS component_id,
+  vec_id = least(vec_id, coalesce(root, vec_id)) AS kept
+FROM embeddings LEFT JOIN counts c ON c.a = vec_id LEFT JOIN roots r ON r.a = vec_id""",
+    "op6_top_k": f"""WITH {_VECTORS},
+units AS (SELECT vec_id, list_transform(e, lambda x: floor(256 * x)) AS u FROM usable),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.u, c.u) AS BIGINT) AS score
+  FROM units q JOIN units c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id)
+SELECT query_id, CAST(row_number() OVER best AS INTEGER) AS rank, vec_id, score FROM scored
+WINDOW best AS (PARTITION BY query_id ORDER BY score DESC, vec_id)
+QUALIFY row_number() OVER best <= 5""",
+    "op9_minhash": f"""WITH RECURSIVE split AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS words FROM documents),
+sets AS (
+  SELECT DISTINCT doc_id, unnest(list_transform(range(1, greatest(len(words) - 4, 1) + 1), lambda i: words[i:i + 4])) AS s
+  FROM split WHERE len(words) > 0),
+sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
+common AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared FROM sets x JOIN sets y ON x.s = y.s AND x.doc_id <> y.doc_id
+  GROUP BY ALL),
+links AS (
+  SELECT a, b FROM common JOIN sizes p ON p.doc_id = a JOIN sizes q ON q.doc_id = b
+  WHERE 100 * shared >= 75 * (p.n + q.n - shared)),
+{_GROUPS}
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, least(d.doc_id, coalesce(root, d.doc_id)) AS component_id,
+  d.doc_id = least(d.doc_id, coalesce(root, d.doc_id)) AS kept
+FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id LEFT JOIN roots r ON r.a = d.doc_id""",
+}
