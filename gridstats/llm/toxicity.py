@@ -188,19 +188,27 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Lexicon
         .orderBy(F.desc("toxic"), F.desc(F.length("entry")), "entry")
         .limit(20 * MOST_ENTRIES)
     )
-    lexicon = Lexicon(weights=widest([(r["entry"], r["odds"]) for r in strong.collect()]))
+    lexicon = Lexicon(weights=widest([(r["entry"], r["odds"], r["toxic"]) for r in strong.collect()]))
     lexicon.exceptions = exceptions(rows, lexicon, n_toxic, n_clean)
     lexicon.intercept, lexicon.slopes = calibrated(rows, lexicon)
     return lexicon
 
 
-def widest(ordered: list[tuple[str, float]]) -> dict[str, float]:
-    """Entries that no entry before them in the order, a beginning of theirs, covers already."""
+def widest(ordered: list[tuple[str, float, int]]) -> dict[str, float]:
+    """Entries with weight and number of texts to those that the ones before do not make needless.
+
+    An entry is needless after a beginning of its own, and as a beginning that
+    is met in no more texts than an entry before it.
+    """
     kept: dict[str, float] = {}
-    for entry, weight in ordered:
-        begun = any(entry[: k + 1] in kept for k in range(min(BEGINNINGS), len(entry)))
-        if not begun and len(kept) < MOST_ENTRIES:
-            kept[entry] = weight
+    met: dict[str, int] = {}
+    for entry, weight, texts in ordered:
+        beginnings = [entry[: k + 1] for k in range(min(BEGINNINGS), len(entry))]
+        if met.get(entry) == texts or any(b in kept for b in beginnings) or len(kept) >= MOST_ENTRIES:
+            continue
+        kept[entry] = weight
+        for beginning in beginnings:
+            met[beginning] = max(met.get(beginning, 0), texts)
     return kept
 
 
