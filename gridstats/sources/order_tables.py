@@ -23,6 +23,8 @@ POINTS = [25.0, 18.0, 15.0, 12.0, 10.0, 8.0, 6.0, 4.0, 2.0, 1.0]
 STATUS = {1: "Finished", 2: "Did not finish", 3: "+1 Lap"}
 
 LAPPED_FROM = 21
+#: Every FAVOURITE-th driver counts STRENGTH times its revenue, so that some titles are kept.
+FAVOURITE, STRENGTH = 50, 8
 TIE_RANGE = 1 << 20
 ENTRY = ["raceId", "driverId"]
 
@@ -117,8 +119,9 @@ class RaceTables:
             .groupBy("driverId", "year")
             .agg((-best.getField("_minus_id")).alias("constructorId"))
         )
+        strength = F.when(F.col("driverId") % FAVOURITE == 0, STRENGTH).otherwise(1)
         totals = parts.groupBy("raceId", "year", "round", "circuitId", "driverId").agg(
-            F.sum("revenue").alias("revenue"), F.sum("quantity").alias("quantity")
+            (F.sum("revenue") * strength).alias("revenue"), F.sum("quantity").alias("quantity")
         )
         return keep(totals.join(teams, ["driverId", "year"]))
 

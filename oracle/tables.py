@@ -34,8 +34,9 @@ teams AS (
   SELECT driverId, year, constructorId FROM season_sums
   QUALIFY row_number() OVER (PARTITION BY driverId, year ORDER BY revenue DESC, constructorId) = 1),
 entries AS (
-  SELECT raceId, year, round, circuitId, driverId, sum(price) AS revenue, CAST(sum(quantity) AS BIGINT) AS quantity
-  FROM lines GROUP BY ALL),
+  SELECT raceId, year, round, circuitId, driverId,
+    sum(price) * CASE WHEN driverId % 50 = 0 THEN 8 ELSE 1 END AS revenue, CAST(sum(quantity) AS BIGINT) AS quantity
+  FROM lines GROUP BY raceId, year, round, circuitId, driverId),
 ranked AS (
   SELECT e.*, t.constructorId,
     row_number() OVER (PARTITION BY raceId ORDER BY revenue DESC, e.driverId) AS positionOrder,
