@@ -43,6 +43,8 @@ MARGIN = 0.16
 BLOCK, FAMILY = 1024, 512
 #: Pairs whose registers are compared at once.
 PAIRS = 1 << 15
+#: Classes of ids by which texts are filtered before they are shuffled: the broadcast rows are no more.
+MARKS = 1 << 20
 #: Word hashes that a worker remembers.
 _WORDS = 400_000
 _words: dict[bytes, int] = {}
@@ -172,8 +174,12 @@ def shingle_sets(docs: DataFrame, ids: DataFrame, width: int = SHINGLE) -> DataF
             columns = [batch.column("id"), pa.array(found, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["id", "hashes"])
 
+    # A filter of bounded size in front of the shuffle: few texts without a wanted id pass it.
+    mark = F.pmod(F.xxhash64("id"), F.lit(MARKS)).cast("int").alias("mark")
+    marks = ids.select(mark).distinct()
     rows = docs.select(F.col("doc_id").cast("bigint").alias("id"), "text")
-    return rows.join(ids, "id", "left_semi").mapInArrow(sets, "id bigint, hashes binary")
+    near = rows.withColumn("mark", mark).join(F.broadcast(marks), "mark", "left_semi")
+    return near.select("id", "text").join(ids, "id", "left_semi").mapInArrow(sets, "id bigint, hashes binary")
 
 
 def close_pairs(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
