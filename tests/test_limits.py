@@ -9,7 +9,6 @@ from pathlib import Path
 import duckdb
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import check_oracle
