@@ -8,16 +8,19 @@ are aligned one after the other: elements that match are merged, a mismatch
 becomes an optional or a repeated group, and a text becomes a slot that
 counts the characters, the linked characters and the pages it was met in.
 Pages are aligned inside their task first, then the tasks' wrappers of a host
-up a reduction tree, so that no host is gathered in one task.
+up a reduction tree, so that no host is gathered in one task. Pages with and
+without an element that is an article have wrappers of their own.
 
 The slots of a host's wrapper that belong to the article are its main slots;
-a page's main text is what stands in them, block by block.
+a page's main text is what stands in them, block by block. A page of another
+template, which has nothing at their place, goes by its own wrapper.
 """
 
 from __future__ import annotations
 
 import html as entities
 import json
+import os
 import re
 from collections.abc import Iterable, Iterator
 
@@ -63,7 +66,9 @@ FURNITURE_NAMES = set(
 )
 ARTICLE = {"article", "main"}
 ARTICLE_NAMES = set("article content main post entry story".split())
+NO_ARTICLE = -1
 _HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+_LINES = {"p", "li", "h1", "h2", "h3", "blockquote", "pre", "td"}
 _CLOSES = {
     "li": {"li"},
     "dt": {"dt", "dd"},
@@ -112,6 +117,7 @@ class Page:
         self._stack: list[tuple[str, list]] = [("", self.tree)]
         self._text: list[str] = []
         self._links, self._in_link = 0, False
+        self.kind = NO_ARTICLE
         self._read(html or "")
 
     def _read(self, html: str) -> None:
@@ -166,6 +172,8 @@ class Page:
         if tag not in INLINE:
             self._leave({"p"})
         self._leave(_CLOSES.get(tag, set()))
+        if label[-1] == "*" and not any(above[-1:] == "!" for above, _ in self._stack):
+            self.kind = 0
         node = [label, "1", []]
         self._stack[-1][1][2].append(node)
         self._stack.append((label, node))
@@ -318,68 +326,83 @@ def main_slots(wrapper: list) -> list[tuple[str, ...]]:
         if not below or max(below)[0] < 0.8 * weight.get(top, 0):
             break
         top = max(below)[1]
-    if top and tag_of(top[-1]) in {"p", "li", "h1", "h2", "h3", "blockquote", "pre", "td"}:
+    if top and tag_of(top[-1]) in _LINES:
         top = top[:-1]
     return sorted(
         {p for p, (chars, linked, _) in every if p[: len(top)] == top and 2 * linked <= chars}
     )
 
 
+def own_slots(page: Page, main: set[tuple[str, ...]]) -> set[tuple[str, ...]]:
+    """Main slots of a page that met none of its host's: its own, unless it has their place and no text there."""
+    top = tuple(os.path.commonprefix(sorted(main)))
+    while top and tag_of(top[-1]) in _LINES:
+        top = top[:-1]
+    places = [page.tree]
+    for label in top:
+        places = [child for place in places for child in place[2] if child[0] == label]
+    return main if main and places else set(main_slots(wrapper_of(page)))
+
+
 def host_of(url: str) -> Column:
-    return F.lower(F.regexp_extract(F.coalesce(F.col(url), F.lit("")), r"^[a-zA-Z][\w+.-]*://([^/?#]*)", 1))
+    return F.lower(F.regexp_extract(F.coalesce(F.col(url), F.lit("")), r"^(?:[a-zA-Z][\w+.-]*:)?//([^/?#]*)", 1))
 
 
-def _merge_all(found: dict[str, list], host: str, wrapper: list) -> None:
-    found[host] = merged(found[host], wrapper) if host in found else wrapper
+def _merge_all(found: dict, key: object, wrapper: list) -> None:
+    found[key] = merged(found[key], wrapper) if key in found else wrapper
 
 
 def wrappers(pages: DataFrame) -> DataFrame:
-    """``host`` and ``wrapper`` (JSON) of every host, inferred from all its pages."""
+    """``host``, ``kind`` and ``wrapper`` (JSON) of every host and kind of page, inferred from all such pages."""
     ship(pages.sparkSession)
 
     def infer(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[str, list] = {}
+        found: dict[tuple[str, int], list] = {}
         for batch in batches:
-            for host, page in zip(batch.column("host"), batch.column("html"), strict=True):
-                _merge_all(found, host.as_py(), wrapper_of(Page(page.as_py())))
-        hosts = list(found)
-        texts = [json.dumps(found[h]) for h in hosts]
-        columns = [pa.array(hosts, pa.string()), pa.array(texts, pa.string())]
-        yield pa.RecordBatch.from_arrays(columns, ["host", "wrapper"])
+            for host, html in zip(batch.column("host"), batch.column("html"), strict=True):
+                page = Page(html.as_py())
+                _merge_all(found, (host.as_py(), page.kind), wrapper_of(page))
+        hosts, kinds = [host for host, _ in found], [kind for _, kind in found]
+        texts = [json.dumps(wrapper) for wrapper in found.values()]
+        columns = [pa.array(hosts, pa.string()), pa.array(kinds, pa.int32()), pa.array(texts, pa.string())]
+        yield pa.RecordBatch.from_arrays(columns, ["host", "kind", "wrapper"])
 
     def join(key: tuple, table: pa.Table) -> pa.Table:
         found: dict[str, list] = {}
         for text in sorted(table.column("wrapper").to_pylist()):
             _merge_all(found, "", json.loads(text))
-        host, part = key[0].as_py(), key[1].as_py()
-        return pa.table({"host": [host], "part": pa.array([part], pa.int64()), "wrapper": [json.dumps(found[""])]})
+        host, kind, part = (k.as_py() for k in key)
+        numbers = {"kind": pa.array([kind], pa.int32()), "part": pa.array([part], pa.int64())}
+        return pa.table({"host": [host], **numbers, "wrapper": [json.dumps(found[""])]})
 
-    rows = pages.select(host_of("url").alias("host"), "html").mapInArrow(infer, "host string, wrapper string")
-    rows = keep(rows)
-    most = rows.groupBy("host").count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
+    rows = pages.select(host_of("url").alias("host"), "html")
+    rows = keep(rows.mapInArrow(infer, "host string, kind int, wrapper string"))
+    most = rows.groupBy("host", "kind").count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
     parts = -(-most // FAN_IN)
     rows = rows.withColumn("part", F.pmod(F.xxhash64("wrapper"), F.lit(max(1, parts))))
     while most:
         # A host's wrappers share a bucket with those of the same part only.
-        rows = keep(rows.groupBy("host", "part").applyInArrow(join, "host string, part bigint, wrapper string"))
+        met = rows.groupBy("host", "kind", "part")
+        rows = keep(met.applyInArrow(join, "host string, kind int, part bigint, wrapper string"))
         if parts <= 1:
             break
         parts = -(-parts // FAN_IN)
         rows = rows.withColumn("part", F.pmod("part", F.lit(parts)))
-    return rows.select("host", "wrapper")
+    return rows.select("host", "kind", "wrapper")
 
 
 def with_main_slots(found: DataFrame) -> DataFrame:
-    """``host`` and ``paths``: the main slots, each path joined by blanks."""
+    """``host`` and ``paths``: per kind of page the main slots, each path joined by blanks."""
     ship(found.sparkSession)
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             paths = [[" ".join(p) for p in main_slots(json.loads(w))] for w in batch.column("wrapper").to_pylist()]
-            columns = [batch.column("host"), pa.array(paths, pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays(columns, ["host", "paths"])
+            columns = [batch.column("host"), batch.column("kind"), pa.array(paths, pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays(columns, ["host", "kind", "paths"])
 
-    return found.select("host", "wrapper").mapInArrow(choose, "host string, paths array<string>")
+    rows = found.select("host", "kind", "wrapper").mapInArrow(choose, "host string, kind int, paths array<string>")
+    return rows.groupBy("host").agg(F.collect_list(F.struct("kind", "paths")).alias("paths"))
 
 
 def main_text(pages: DataFrame) -> DataFrame:
@@ -398,9 +421,12 @@ def main_text(pages: DataFrame) -> DataFrame:
         for batch in batches:
             texts = []
             for html, paths in zip(batch.column("html"), batch.column("paths"), strict=True):
-                main = set(paths.as_py() or ())
-                blocks = Page(html.as_py()).blocks
-                texts.append("\n".join(text for path, text, _ in blocks if " ".join(path) in main))
+                page = Page(html.as_py())
+                chosen_paths = next((p["paths"] for p in paths.as_py() or () if p["kind"] == page.kind), ())
+                main = {tuple(p.split()) for p in chosen_paths}
+                if page.kind == NO_ARTICLE and not any(path in main for path, _, _ in page.blocks):
+                    main = own_slots(page, main)
+                texts.append("\n".join(text for path, text, _ in page.blocks if path in main))
             columns = [
                 batch.column("page_id"),
                 batch.column("url"),

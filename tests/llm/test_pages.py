@@ -103,3 +103,22 @@ def test_wrappers_meet_in_a_tree(frame, monkeypatch):
     found = pages.wrappers(frame(rows).repartition(13)).collect()
     assert [r["host"] for r in found] == ["hot.example"]
     assert texts(pages.main_text(frame(rows).repartition(13)))[7] == "T7\np\np"
+
+
+@pytest.mark.parametrize("urls", [["http://mixed.example/x"] * 2, [None, "/relative"]])
+def test_pages_with_and_without_the_element_on_one_host(frame, urls):
+    rows, expected = [], {}
+    for i in range(60):
+        blocks = [f"Paragraph {k} of page {i} has quite a few words in it." for k in range(3)]
+        head = ["article", 'div class="post-body"', 'div class="text"'][i % 3]
+        rows.append((i, urls[i % 3 > 0], page(f"T{i}", blocks, 6, head=head)))
+        expected[i] = "\n".join([f"T{i}", *blocks])
+    rows.append((60, urls[0], page("", [], head="article")))
+    rows.append((61, urls[1], page("", [], head='div class="post-body"')))
+    assert texts(pages.main_text(frame(rows))) == expected | {60: "", 61: ""}
+
+
+def test_hosts_of_urls(frame):
+    rows = [(1, "//A.example/x", ""), (2, "https://a.example?q", ""), (3, "/a//b", ""), (4, None, "")]
+    found = frame(rows).select("page_id", pages.host_of("url").alias("host")).collect()
+    assert {r["page_id"]: r["host"] for r in found} == {1: "a.example", 2: "a.example", 3: "", 4: ""}
