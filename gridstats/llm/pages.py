@@ -8,8 +8,9 @@ are aligned one after the other: elements that match are merged, a mismatch
 becomes an optional or a repeated group, and a text becomes a slot that
 counts the characters, the linked characters and the pages it was met in.
 Pages are aligned inside their task first, then the tasks' wrappers of a host
-up a reduction tree, so that no host is gathered in one task. Pages with and
-without an element that is an article have wrappers of their own.
+up a reduction tree, so that no host is gathered in one task. Pages without
+an element that is an article, and pages that have one inside so many elements
+named like furniture, have wrappers of their own.
 
 The slots of a host's wrapper that belong to the article are its main slots;
 a page's main text is what stands in them, block by block. A page of another
@@ -82,6 +83,7 @@ _CLOSES = {
 def label_of(tag: str, attributes: str) -> str:
     """The element's name in wrappers; ``!`` marks page furniture, ``*`` an article.
 
+    ``~`` marks a name of furniture, which the wrapper as a whole may overrule.
     Digits in names are dropped, as they number pages and posts.
     """
     if tag in FURNITURE:
@@ -102,9 +104,10 @@ def label_of(tag: str, attributes: str) -> str:
             hidden = True
     own = set(names)
     body = tag in ARTICLE or tag in _HEADINGS or tag in ("html", "body")
-    furniture = hidden or roles & FURNITURE_ROLES or (not body and own & FURNITURE_NAMES)
+    furniture = hidden or roles & FURNITURE_ROLES
+    called = not body and "main" not in roles and own & FURNITURE_NAMES
     article = tag in ARTICLE or "main" in roles or "article" in roles
-    mark = "!" if furniture else "*" if article else ""
+    mark = "!" if furniture else "~" if called else "*" if article else ""
     return ".".join([tag, *sorted(own)]) + mark
 
 
@@ -164,7 +167,7 @@ class Page:
         if tag == "a":
             self._in_link = True
         label = label_of(tag, attributes)
-        if tag in INLINE and not label.endswith("!"):
+        if tag in INLINE and label[-1] not in "!~":
             return
         self._flush()
         if tag in VOID:
@@ -172,8 +175,10 @@ class Page:
         if tag not in INLINE:
             self._leave({"p"})
         self._leave(_CLOSES.get(tag, set()))
-        if label[-1] == "*" and not any(above[-1:] == "!" for above, _ in self._stack):
-            self.kind = 0
+        if label[-1] == "*":
+            marks = [above[-1:] for above, _ in self._stack]
+            if "!" not in marks and not 0 <= self.kind <= marks.count("~"):
+                self.kind = marks.count("~")
         node = [label, "1", []]
         self._stack[-1][1][2].append(node)
         self._stack.append((label, node))
@@ -196,7 +201,7 @@ class Page:
 
 
 def tag_of(label: str) -> str:
-    return label.rstrip("!*").split(".")[0]
+    return label.rstrip("!*~").split(".")[0]
 
 
 # A wrapper node is [label, times, content]: times is 1, ?, + or *; the content of a slot is its
@@ -302,19 +307,59 @@ def slots(node: list, path: tuple[str, ...] = ()) -> Iterator[tuple[tuple[str, .
             yield from slots(child, path if child[0] == "()" else (*path, child[0]))
 
 
+def _is_article(label: str) -> bool:
+    return label[-1] == "*"
+
+
+def _is_named(label: str) -> bool:
+    return label[-1] != "!" and bool(ARTICLE_NAMES & set(label.rstrip("*~").split(".")[1:]))
+
+
 def main_slots(wrapper: list) -> list[tuple[str, ...]]:
     """Paths of the slots that hold the article.
 
-    Slots inside page furniture never do. If the wrapper has an element that
-    is an article, its slots do. Else the way goes down from the page to the
-    element that still holds most of the text outside links, first by its
-    name, then by weight; its slots do unless most of their text is linked.
+    Slots inside page furniture never do. A name of furniture alone does not
+    make an element furniture if articles are only inside such elements, or if
+    it holds most of the unlinked text where the article is looked for. If the
+    wrapper has an element that is an article, its slots do. Else the way goes
+    down from the page to the element that still holds most of the text outside
+    links, first by its name, then by weight; its slots do unless most of their
+    text is linked.
     """
     every = [(path, counts) for path, counts in slots(wrapper) if not any(p[-1] == "!" for p in path)]
-    inside = [path for path, _ in every if any(p[-1] == "*" for p in path)]
-    if inside:
-        return sorted(set(inside))
-    named = [p for p, _ in every if any(ARTICLE_NAMES & set(x.split(".")[1:]) for x in p)]
+    layout: set[tuple[str, ...]] = set()  # elements named like furniture that are none
+
+    def clear(path: tuple[str, ...]) -> tuple[str, ...]:
+        """The way down to the first element that its name makes furniture."""
+        for k, label in enumerate(path):
+            if label[-1] == "~" and path[: k + 1] not in layout:
+                return path[:k]
+        return path
+
+    articles = [path for path, _ in every if any(map(_is_article, path))]
+    while articles and not any(_is_article(x) for path in articles for x in clear(path)):
+        layout |= {path[: len(clear(path)) + 1] for path in articles}
+    if articles:
+        every = [(path, counts) for path, counts in every if any(map(_is_article, clear(path)))]
+    while True:
+        if articles:  # articles inside the article tell best where the text is
+            told = [x for x in every if sum(map(_is_article, clear(x[0]))) > 1]
+        else:
+            told = [x for x in every if any(map(_is_named, clear(x[0])))]
+        held: dict[tuple[str, ...], int] = {}
+        for path, (chars, linked, _) in told or every:
+            way = clear(path)
+            if way != path:
+                held[path[: len(way) + 1]] = held.get(path[: len(way) + 1], 0) + chars - linked
+        most = sum(chars - linked for _, (chars, linked, _) in told or every) / 2
+        found = {path for path, unlinked in held.items() if unlinked > most}
+        if not found:
+            break
+        layout |= found
+    every = [(path, counts) for path, counts in every if clear(path) == path]
+    if articles:
+        return sorted({path for path, _ in every})
+    named = [path for path, _ in every if any(map(_is_named, path))]
     weight: dict[tuple[str, ...], int] = {}
     for path, (chars, linked, _) in every:
         if not named or path in named:

@@ -122,3 +122,41 @@ def test_hosts_of_urls(frame):
     rows = [(1, "//A.example/x", ""), (2, "https://a.example?q", ""), (3, "/a//b", ""), (4, None, "")]
     found = frame(rows).select("page_id", pages.host_of("url").alias("host")).collect()
     assert {r["page_id"]: r["host"] for r in found} == {1: "a.example", 2: "a.example", 3: "", 4: ""}
+
+
+@pytest.mark.parametrize("head", ["article", 'div class="post-body"', 'div class="text"'])
+@pytest.mark.parametrize(
+    "wrapper",
+    [
+        'div class="page has-sidebar"',
+        'div id="wrapper" class="sticky-nav"',
+        'div class="widget-container"',
+        'div class="widget"><div class="widget-content"',
+    ],
+)
+def test_layout_elements_named_like_furniture(wrapper, head):
+    found = None
+    for i in range(20):
+        blocks = [f"Paragraph {k} of page {i} has quite a few words in it." for k in range(3)]
+        side = '<div class="sidebar"><p>Also read this.</p></div><section id="comments"><p>First!</p></section>'
+        inner = page(f"T{i}", blocks, head=head, tail=side)
+        text = inner.replace("<body>", f"<body><{wrapper}>").replace("</body>", "</div>" * wrapper.count("div ") + "</body>")
+        one = pages.Page(text)
+        found = pages.merged(found, pages.wrapper_of(one)) if found else pages.wrapper_of(one)
+    main = pages.main_slots(found)
+    assert [t for path, t, _ in one.blocks if path in main] == ["T19", *blocks]
+
+
+def test_layout_elements_inside_and_on_some_pages(frame):
+    body = "<p>A paragraph with quite a few words in it.</p>" * 3
+    comments = '<section id="comments">' + '<article class="comment"><p>First! And so on.</p></article>' * 20 + "</section>"
+    rows = [
+        (1, "http://a.example/", f'<article><h1>T</h1><div class="widget-container">{body}</div></article>'),
+        (2, "http://b.example/", f"<main><article><h1>T</h1>{body}</article>{comments}</main>"),
+        (3, "http://c.example/", f'<div class="has-sidebar"><article><h1>T</h1>{body}</article>{comments}</div>'),
+        (4, "http://c.example/", f"<article><h1>T</h1>{body}</article>{comments}"),
+        (5, "http://d.example/", f'<div class="has-sidebar" role="main"><h1>T</h1>{body}</div>'),
+        (6, "http://e.example/", f'<div class="post"><h1>T</h1>{body}</div>{comments.replace("article", "div")}'),
+    ]
+    expected = "\n".join(["T", *["A paragraph with quite a few words in it."] * 3])
+    assert texts(pages.main_text(frame(rows))) == dict.fromkeys(range(1, 7), expected)
