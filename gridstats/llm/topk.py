@@ -50,16 +50,14 @@ def matrix(units: pd.Series, width: int) -> np.ndarray:
     return out
 
 
-def search(query: np.ndarray, tile: np.ndarray, rest: np.ndarray, own: int | None, k: int):
+def search(query: np.ndarray, tile: np.ndarray, rest: np.ndarray, own: list[int], k: int):
     """The k best candidates of a tile and their scores, ties included.
 
     ``tile`` has a row per dimension; ``rest`` has, per block boundary, the
-    candidates' lengths in the dimensions from there on. ``own`` is left out.
+    candidates' lengths in the dimensions from there on. Those at ``own`` are left out.
     """
     width, count = tile.shape
-    alive = np.arange(count)
-    if own is not None:
-        alive = alive[alive != own]
+    alive = np.delete(np.arange(count), own)
     score = np.zeros(len(alive))
     for number, start in enumerate(range(0, width, DIMENSIONS)):
         stop = min(start + DIMENSIONS, width)
@@ -74,9 +72,9 @@ def search(query: np.ndarray, tile: np.ndarray, rest: np.ndarray, own: int | Non
     return alive, score
 
 
-def exact_search(query: np.ndarray, tile: np.ndarray, own: int | None):
+def exact_search(query: np.ndarray, tile: np.ndarray, own: list[int]):
     """As ``search`` without bounds, for numbers too large for exact doubles."""
-    alive = np.array([c for c in range(tile.shape[1]) if c != own], dtype=int)
+    alive = np.delete(np.arange(tile.shape[1]), own)
     whole = [int(q) for q in query]
     score = [sum(q * int(v) for q, v in zip(whole, tile[:, c], strict=True)) for c in alive]
     return alive, np.array(score, dtype=object)
@@ -97,16 +95,18 @@ def _tile(k: int):
         squares = tile * tile
         rest = [np.sqrt(squares[start:].sum(axis=0)) for start in range(0, width, DIMENSIONS)]
         ids = rows["vec_id"].to_numpy()
-        places = {i: p for p, i in enumerate(ids.tolist())}
+        places: dict[int, list[int]] = {}
+        for place, i in enumerate(ids.tolist()):
+            places.setdefault(i, []).append(place)
         out = []
         for query_id, query in zip(queries["vec_id"].tolist(), asked, strict=True):
-            own = places.get(query_id)
+            own = places.get(query_id, [])
             if exact:
                 alive, score = search(query, tile, rest, own, k)
             else:
                 alive, score = exact_search(query, tile, own)
             hits = sorted(zip((-score).tolist(), ids[alive].tolist(), strict=True))
-            best = [(int(-s), i) for s, i in hits if i != query_id][:k]
+            best = [(int(-s), i) for s, i in hits[:k]]
             out += [(query_id, i, s) for s, i in best]
         if not out:
             return empty

@@ -105,3 +105,17 @@ def test_top_k_of_few_and_of_large_numbers(spark):
     rows = [(0, [2.0**23, 1.0, 3.0], 0, 0), (1, [2.0**23, 1.0], 0, 0), (2, [2.0**23 - 1, 1.0], 0, 0)]
     found = topk.top_k(spark.createDataFrame(rows, SCHEMA), F.col("vec_id") % 50 == 0).collect()
     assert [(r["vec_id"], r["score"]) for r in found] == [(1, 2**62 + 2**16), (2, 2**62 - 2**39 + 2**16)]
+
+
+def test_top_k_with_repeated_query_rows(spark):
+    draw = np.random.default_rng(5)
+    rows = draw.normal(size=(400, 40)).astype(np.float32)
+    listed = [(i + 1, [float(x) for x in row], 0, 0) for i, row in enumerate(rows)]
+    query = (0, [4 * float(x) for x in rows[0]], 0, 0)
+    found = topk.top_k(spark.createDataFrame([*listed, *[query] * 8], SCHEMA), F.col("vec_id") == 0, 5).collect()
+    units = np.floor(256.0 * rows.astype(float))
+    scores = units @ np.floor(256.0 * 4 * rows[0].astype(float))
+    best = sorted(zip((-scores).astype(int).tolist(), range(1, 401), strict=True))[:5]
+    assert sorted((r["rank"], r["vec_id"], r["score"]) for r in found) == [
+        (k + 1, i, -s) for k, (s, i) in enumerate(best)
+    ]
