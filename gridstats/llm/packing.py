@@ -8,7 +8,7 @@ first incumbent. Over whole bins the search is branch and bound: if the waste
 of the bins closed so far exceeds what a better solution than the incumbent
 may waste, the last bins are opened again and their next fillings tried.
 
-Pieces are dealt to buckets by hash and packed there; the emptiest sequences of
+Pieces are dealt to buckets by hash, equal ones in turn, and packed there; the emptiest sequences of
 every bucket are opened and packed again together, up a reduction tree.
 """
 
@@ -18,6 +18,7 @@ import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -164,7 +165,8 @@ def bin_completion(lengths: list[int], capacity: int) -> list[list[int]]:
 def _pack(capacity: int, level: int):
     def pack(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
         order = ["draw", "doc_id", "piece", "ids_crc32"]
-        rows = rows.sort_by([(name, "ascending") for name in order]).drop_columns("draw")
+        rows = rows.take(np.repeat(np.arange(len(rows)), rows.column("times").to_numpy()))
+        rows = rows.sort_by([(name, "ascending") for name in order]).drop_columns(["draw", "times"])
         lengths, bucket = rows.column("length").to_pylist(), key[0].as_py()
         whole = [i for i, n in enumerate(lengths) if n == capacity]
         parts = [i for i, n in enumerate(lengths) if n != capacity]
@@ -202,10 +204,18 @@ def pack(piece_rows: DataFrame, capacity: int = 1024) -> DataFrame:
     rows = keep(piece_rows.select(columns))
     width = max(1, -(-rows.count() // BUCKET))
     spread = F.xxhash64(F.coalesce("doc_id", F.lit(-1)), "piece", "ids_crc32")
-    rows = rows.withColumn("bucket", F.pmod(spread, F.lit(width)))
+    # Equal rows cannot be told apart: they are counted, and dealt over the buckets a few at a time.
+    few = max(1, BUCKET // 32)
+    counted = rows.groupBy(*columns).agg(F.count(F.lit(1)).alias("rows"))
+    dealt = counted.select("*", F.explode(F.sequence(F.lit(0), F.floor((F.col("rows") - 1) / few))).alias("turn"))
+    rows = dealt.select(
+        *columns,
+        F.least(F.lit(few), F.col("rows") - few * F.col("turn")).alias("times"),
+        F.pmod(F.pmod(spread, F.lit(width)) + F.col("turn"), F.lit(width)).alias("bucket"),
+    )
     done, level = None, 0
     while True:
-        drawn = rows.select(*columns, "bucket", spread.alias("draw"))
+        drawn = rows.select(*columns, "times", "bucket", spread.alias("draw"))
         out = keep(drawn.groupBy("bucket").applyInArrow(_pack(capacity, level), _PACKED))
         last = width == 1
         closed = out if last else out.where(~F.col("open"))
@@ -214,7 +224,9 @@ def pack(piece_rows: DataFrame, capacity: int = 1024) -> DataFrame:
         if last:
             return done
         width, level = -(-width // FAN_IN), level + 1
-        rows = out.where("open").select(*columns, F.pmod("bucket", F.lit(width)).alias("bucket"))
+        rows = out.where("open").select(
+            *columns, F.lit(1).cast("bigint").alias("times"), F.pmod("bucket", F.lit(width)).alias("bucket")
+        )
 
 
 def packed(

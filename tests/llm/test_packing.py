@@ -91,3 +91,19 @@ def test_buckets_meet_in_a_tree(spark, monkeypatch):
     assert all(sum(n for _, n in x) <= 1024 for x in used.values())
     assert all(sorted(x)[0][0] == 0 for x in used.values())
     assert len(used) <= 1.06 * sum(r[3] for r in rows) / 1024
+
+
+def test_equal_rows_are_dealt_over_buckets(spark, monkeypatch):
+    monkeypatch.setattr(packing, "BUCKET", 50)
+    rows = [(None, 0, 0, 600, 7)] * 2000 + [(i, 0, 0, 300, i) for i in range(500)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint")
+    found = packing.pack(frame).collect()
+    assert sum(r["doc_id"] is None for r in found) == 2000
+    assert sorted(r["doc_id"] for r in found if r["doc_id"] is not None) == list(range(500))
+    used, buckets = {}, {}
+    for r in found:
+        used[r["sequence_id"]] = used.get(r["sequence_id"], 0) + r["length"]
+        if r["sequence_id"] >> 58 == 0:
+            buckets[r["sequence_id"] >> 24] = buckets.get(r["sequence_id"] >> 24, 0) + 1
+    assert max(used.values()) <= 1024
+    assert len(buckets) == 50 and max(buckets.values()) <= 100
