@@ -1,10 +1,9 @@
 """Pack token pieces into sequences of fixed capacity by bin completion.
 
 A bin is built around the largest piece left: the fillings of its room are
-enumerated, larger pieces first, so that a filling that another one dominates
-(one piece in place of several smaller ones that fit in it) comes after it and
-is cut off as soon as a filling without waste is found. Best fit gives the
-first incumbent. Over whole bins the search is branch and bound: if the waste
+enumerated, larger pieces first, until one without waste is found. A filling is
+not tried if one tried before it dominates it (has one piece in place of several
+smaller ones that fit in it). Best fit gives the first incumbent. Over whole bins the search is branch and bound: if the waste
 of the bins closed so far exceeds what a better solution than the incumbent
 may waste, the last bins are opened again and their next fillings tried.
 
@@ -33,6 +32,8 @@ BUCKET = 8192
 FAN_IN, SENT = 256, 16
 #: Search steps per bin for a filling, and bins that may be opened again per bucket.
 FILL_STEPS, REOPENED = 400, 2000
+#: Search steps to show that a filling is dominated; one that is not shown to be stays.
+SHOWN_STEPS = 200
 _PIECE = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 _PACKED = f"{_PIECE}, bucket bigint, sequence_id bigint, offset bigint, open boolean"
 
@@ -81,7 +82,7 @@ def pieces(
 def best_filling(sizes: list[int], counts: dict[int, int], room: int) -> list[list[int]]:
     """Fillings of a room, the least waste first; ``sizes`` has those left, ascending.
 
-    The first one wastes least among those found within FILL_STEPS steps; best
+    All that are found within FILL_STEPS steps, up to one without waste; best
     fit (the largest that fits, again and again) is among them.
     """
     found: list[tuple[int, list[int]]] = []
@@ -111,7 +112,31 @@ def best_filling(sizes: list[int], counts: dict[int, int], room: int) -> list[li
 
     fill(room, room, [])
     found.sort(key=lambda x: (x[0], len(x[1])))
-    return [chosen for _, chosen in found[:3]] or [[]]
+    return [chosen for _, chosen in found] or [[]]
+
+
+def dominates(one: list[int], two: list[int]) -> bool:
+    """Whether all pieces of ``two`` fit in pieces of ``one``, several in one too; both descend."""
+    if sum(one) < sum(two) or len(two) > SHOWN_STEPS:
+        return False
+    rooms, steps = list(one), 0
+
+    def fits(k: int) -> bool:
+        nonlocal steps
+        if k == len(two):
+            return True
+        for room in sorted({r for r in rooms if r >= two[k]}):
+            steps += 1
+            if steps > SHOWN_STEPS:
+                return False
+            i = rooms.index(room)
+            rooms[i] -= two[k]
+            if fits(k + 1):
+                return True
+            rooms[i] += two[k]
+        return False
+
+    return fits(0)
 
 
 def bin_completion(lengths: list[int], capacity: int) -> list[list[int]]:
@@ -123,7 +148,8 @@ def bin_completion(lengths: list[int], capacity: int) -> list[list[int]]:
     best: list[list[int]] | None = None
     counts = {size: len(where) for size, where in at.items()}
     sizes = sorted(counts)
-    path: list[tuple[list[int], list[list[int]], int]] = []  # bin, fillings not tried, waste so far
+    # Bins tried, the last of them taken; bins not tried; waste so far.
+    path: list[tuple[list[list[int]], list[list[int]], int]] = []
     waste, reopened = 0, 0
 
     def take(bin_sizes: list[int], sign: int) -> None:
@@ -135,6 +161,7 @@ def bin_completion(lengths: list[int], capacity: int) -> list[list[int]]:
             counts[size] += sign
 
     while True:
+        before: list[list[int]] = []
         allowed = None if best is None else (len(best) - 1) * capacity - sum(lengths)
         if sizes and (allowed is None or waste <= allowed):
             largest = sizes[-1]
@@ -143,20 +170,22 @@ def bin_completion(lengths: list[int], capacity: int) -> list[list[int]]:
             take([largest], 1)
             tried = [[largest, *f] for f in fillings]
         elif not sizes and (best is None or len(path) < len(best)):
-            best = [b for b, _, _ in path]
+            best = [b[-1] for b, _, _ in path]
             if len(best) == least:
                 break
             tried = []
         else:
             tried = []
         while not tried and path and reopened < REOPENED:  # open bins until one has another filling
-            done, tried, waste = path.pop()
-            take(done, 1)
+            before, tried, waste = path.pop()
+            take(before[-1], 1)
             reopened += 1
+            while tried and any(dominates(b[1:], tried[0][1:]) for b in before):
+                tried = tried[1:]
         if not tried or (best is not None and reopened >= REOPENED):
             break
         first, *others = tried
-        path.append((first, others, waste))
+        path.append(([*before, first], others, waste))
         take(first, -1)
         waste += capacity - sum(first)
     return [[at[size].pop() for size in one] for one in best]

@@ -1,3 +1,4 @@
+import itertools
 import random
 import zlib
 
@@ -107,3 +108,14 @@ def test_equal_rows_are_dealt_over_buckets(spark, monkeypatch):
             buckets[r["sequence_id"] >> 24] = buckets.get(r["sequence_id"] >> 24, 0) + 1
     assert max(used.values()) <= 1024
     assert len(buckets) == 50 and max(buckets.values()) <= 100
+
+
+def test_all_undominated_fillings_are_kept():
+    assert packing.dominates([7, 2], [4, 3, 2]) and packing.dominates([5], [5])
+    assert not packing.dominates([6, 3], [4, 4]) and not packing.dominates([4, 3, 2], [7, 2])
+    sizes = [20, 22, 24, 28, 36, 40, 42]  # none fills 101
+    fillings = packing.best_filling(sizes, dict.fromkeys(sizes, 1), 101)
+    maximal = {f for n in range(1, 5) for f in itertools.combinations(sorted(sizes, reverse=True), n) if sum(f) <= 101}
+    maximal = {f for f in maximal if all(x in f or sum(f) + x > 101 for x in sizes)}
+    told = {f for f in maximal if not any(f != g and packing.dominates(list(g), list(f)) for g in maximal)}
+    assert len(told) > 3 and told <= set(map(tuple, fillings))
