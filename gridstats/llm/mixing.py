@@ -7,7 +7,9 @@ so that both keep their expected rest, and what one gains in words the other
 loses, so a source's words stay the same through all duels. At most one
 document per bucket keeps a rest; these meet in the next level of a reduction
 tree until one document per source is left, which a draw decides. A source
-thus misses its target by less than one document.
+thus misses its target by less than one document. Rows that repeat id, source
+and text are one item that takes the whole part of its rests outright and duels
+over the last one; its extra copies go to its first rows.
 """
 
 from __future__ import annotations
@@ -131,17 +133,20 @@ def copies(
     copies), a row per row of ``docs``. Reruns agree: draws follow from the
     seed and from ids. Size is 0 for a null text, and such documents are taken
     a whole number of times without words. Rows that repeat id, source and
-    text are copied or left together. A null source is a source.
+    text share their extra copies, one a row. A null source is a source.
     """
     ship(docs.sparkSession)
     sizes = keep(
-        docs.select("doc_id", "source", word_count("text").alias("size"), identity().alias("ident"))
+        docs.select("doc_id", "source", word_count("text").alias("size"), identity().alias("ident")).withColumn(
+            "part", F.spark_partition_id()
+        )
     )
     sources = keep(source_targets(sizes, weights, share, most))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     rated = sizes.join(sources, sizes["source"].eqNullSafe(sources["source"])).select(
         "doc_id",
         "ident",
+        "part",
         sizes["source"],
         "size",
         "src",
@@ -155,15 +160,18 @@ def copies(
         rated.where((F.col("rest") > 0) & (F.col("size") > 0))
         .groupBy("src", "ident")
         .agg(
-            F.sum("size").alias("size"),
-            F.first("rest").alias("rest"),
+            F.first("size").alias("size"),
+            (F.first("rest") * F.count(F.lit(1))).alias("share"),
             F.first("docs").alias("docs"),
         )
     )
+    items = keep(items.withColumn("outright", F.floor("share")).withColumn("rest", F.col("share") - F.col("outright")))
+    outright = items.where("outright > 0").select("src", "ident", F.col("outright").alias("extra"))
+    items = items.where("rest > 0").drop("share", "outright")
     buckets = F.ceil(F.col("docs") / BUCKET)
     level = items.withColumn("bucket", F.pmod(F.xxhash64("ident", F.lit(seed)), buckets)).drop("docs")
     width = sources.agg(F.coalesce(F.max(F.ceil(F.col("docs") / BUCKET)), F.lit(1))).first()[0]
-    decided = None
+    decided = outright
     while True:
         drawn = level.withColumn("draw", F.xxhash64("ident", F.lit(seed), F.lit(width)))
         settled = keep(drawn.groupBy("src", "bucket").applyInPandas(_settle(seed), _ITEM))
@@ -172,15 +180,19 @@ def copies(
             F.col("rest")
         )
         closed = settled if last else settled.where(~F.col("open"))
-        closed = closed.select("src", "ident", rest.cast("int").alias("extra"))
-        decided = closed if decided is None else decided.unionAll(closed)
+        closed = closed.select("src", "ident", rest.cast("bigint").alias("extra"))
+        decided = decided.unionAll(closed)
         if last:
             break
         width = -(-width // BUCKET)
         level = settled.where("open").withColumn("bucket", F.pmod("bucket", F.lit(width))).drop("open")
-    decided = decided.withColumnsRenamed({"src": "_src", "ident": "_ident"})
+    decided = decided.groupBy(F.col("src").alias("_src"), F.col("ident").alias("_ident")).agg(
+        F.sum("extra").alias("extra")
+    )
+    # Rows of one item are alike here, so any of them may be the first.
+    rated = numbered(rated, ["src", "ident"], "part", [F.col("doc_id")], "row", sizes_of=rated)
     same = (F.col("src") == F.col("_src")) & (F.col("ident") == F.col("_ident"))
-    times = F.col("whole") + F.coalesce(F.col("extra"), F.lit(0))
+    times = F.col("whole") + (F.col("row") <= F.coalesce(F.col("extra"), F.lit(0))).cast("int")
     return rated.join(decided, same, "left").select(
         "doc_id",
         "ident",
@@ -201,12 +213,24 @@ def chance(seed: int) -> Column:
 def mixed(docs: DataFrame, **how) -> DataFrame:
     """The documents of the mix: each row as often as ``copies`` says, with all its columns."""
     own, key, times, copy = (fresh(docs, n) for n in ("_own", "_ident", "_times", "_copy"))
-    taken = (
+    more = fresh(docs, "_more")
+    total, rows_of = F.sum("copies"), F.count(F.lit(1))
+    taken = keep(
         copies(docs, **how)
-        .where("copies > 0")
         .groupBy(F.col("ident").alias(key))
-        .agg(F.first("copies").alias(times))
+        .agg(F.floor(total / rows_of).cast("int").alias(times), (total % rows_of).alias(more))
+        .where((F.col(times) > 0) | (F.col(more) > 0))
     )
-    rows = docs.withColumn(own, identity()).join(taken, F.col(own) == F.col(key))
+    named = [F.col(f"`{c}`") for c in docs.columns]
+    found = docs.withColumn(own, identity()).join(taken, F.col(own) == F.col(key))
+    rows = found.where(F.col(more) == 0).select(*named, times)
+    if not taken.where(F.col(more) > 0).isEmpty():  # the first rows of an item once more than the others
+        some = found.where(F.col(more) > 0).select(
+            F.struct(*named).alias("doc"), F.col(key).alias("item"), F.col(times).alias("times"), F.col(more).alias("more")
+        )
+        some = numbered(keep(some.withColumn("part", F.spark_partition_id())), ["item"], "part", [F.col("item")], "row")
+        dealt = (F.col("times") + (F.col("row") <= F.col("more")).cast("int")).cast("int")
+        some = some.select(*(F.col("doc")[c].alias(c) for c in docs.columns), dealt.alias(times))
+        rows = rows.unionAll(some.where(F.col(times) > 0))
     rows = rows.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times))))
-    return rows.select([F.col(f"`{c}`") for c in docs.columns])
+    return rows.select(*named)

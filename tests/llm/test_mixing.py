@@ -88,3 +88,19 @@ def test_mixed_rows_have_all_columns(documents, corpus):
     assert mixed.columns == docs.columns
     copies = {r["doc_id"]: r["copies"] for r in mixing.copies(docs).collect() if r["copies"]}
     assert {r["doc_id"]: r["count"] for r in mixed.groupBy("doc_id").count().collect()} == copies
+
+
+def test_repeated_rows_share_the_copies(documents, words):
+    rows = [(None, "four words in all", "a")] * 600
+    rows += [(i, " ".join(words(4)), "abc"[i % 3]) for i in range(300)]
+    docs = documents(rows)
+    found = mixing.copies(docs).collect()
+    assert len(found) == len(rows)
+    for source in "abc":
+        own = [r for r in found if r["source"] == source]
+        assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= 4
+    mixed = {(r["doc_id"], r["source"]): r["count"] for r in mixing.mixed(docs).groupBy("doc_id", "source").count().collect()}
+    times = {}
+    for r in found:
+        times[r["doc_id"], r["source"]] = times.get((r["doc_id"], r["source"]), 0) + r["copies"]
+    assert mixed == {key: n for key, n in times.items() if n}
