@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridstats.llm import (
+    centroids,
     licenses,
     minhash,
     mixing,
@@ -85,6 +86,11 @@ def op10_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planes.checksums(planes.read_shards(manifest))
 
 
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vecs = table(spark, sf_dir, "embeddings")
+    return centroids.clustered(vecs, k=8, rounds=10, dim=64, scale=1024, seed=3)
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_token_counts": op2_token_counts,
@@ -96,6 +102,7 @@ QUERIES = {
     "op8_main_text": op8_main_text,
     "op9_minhash": op9_minhash,
     "op10_token_planes": op10_token_planes,
+    "op13_centroids": op13_centroids,
 }
 # What SQL can express, for DuckDB. The usable vectors, and groups by reachability along links.
 _VECTORS = """usable AS (
@@ -142,3 +149,27 @@ SELECT d.doc_id, coalesce(n, 0) AS n_shingles, least(d.doc_id, coalesce(root, d.
   d.doc_id = least(d.doc_id, coalesce(root, d.doc_id)) AS kept
 FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id LEFT JOIN roots r ON r.a = d.doc_id""",
 }
+
+
+def _lloyd(rounds: int, k: int) -> str:
+    """The rounds of op13 one after the other: a table of assignments ``a`` and of centroids ``c`` each."""
+    parts = []
+    for r in range(rounds + 1):
+        parts.append(f"""a{r} AS MATERIALIZED (SELECT vec_id, x, best % {k} AS num, best // {k} AS d FROM (
+  SELECT vec_id, any_value(x) AS x, min({k} * CAST(list_sum(list_transform(x, lambda v, i: (v - c[i]) * (v - c[i])))
+    AS HUGEINT) + num) AS best FROM kept, c{r} GROUP BY vec_id))""")
+        if r < rounds:
+            parts.append(f"""c{r + 1} AS MATERIALIZED (SELECT c.num, coalesce(m.c, c.c) AS c FROM c{r} c LEFT JOIN (
+  SELECT num, list((s - ((s % n) + n) % n) // n ORDER BY i) AS c FROM (
+    SELECT num, i, sum(x[i]) AS s, count(*) AS n FROM a{r}, range(1, 65) t(i) GROUP BY num, i) GROUP BY num) m USING (num))""")
+    return ",\n".join(parts)
+
+
+ORACLE["op13_centroids"] = f"""WITH {_VECTORS},
+kept AS MATERIALIZED (SELECT vec_id, list_transform(e, lambda v: CAST(floor(1024 * v) AS BIGINT)) AS x FROM usable WHERE len(e) = 64),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id)) - 1 AS num, x AS c FROM kept
+  ORDER BY sha256('3:' || vec_id) LIMIT 8),
+{_lloyd(10, 8)}
+SELECT vec_id, CAST(num AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance,
+  CAST(sum(d) OVER (PARTITION BY num) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia,
+  sha256(array_to_string(c, ',')) AS centroid_sha256 FROM a10 JOIN c10 USING (num)"""
