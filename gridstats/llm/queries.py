@@ -15,6 +15,8 @@ from gridstats.llm import (
     packing,
     pages,
     planes,
+    quality,
+    spelling,
     tokens,
     topk,
     toxicity,
@@ -86,6 +88,15 @@ def op10_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planes.checksums(planes.read_shards(manifest))
 
 
+def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return quality.scored(docs, quality.fit(docs, labels), limit=0.3)
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"), shortest=5, least=3)
+
+
 def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     vecs = table(spark, sf_dir, "embeddings")
     return centroids.clustered(vecs, k=8, rounds=10, dim=64, scale=1024, seed=3)
@@ -102,6 +113,8 @@ QUERIES = {
     "op8_main_text": op8_main_text,
     "op9_minhash": op9_minhash,
     "op10_token_planes": op10_token_planes,
+    "op11_quality": op11_quality,
+    "op12_spelling": op12_spelling,
     "op13_centroids": op13_centroids,
 }
 # What SQL can express, for DuckDB. The usable vectors, and groups by reachability along links.
@@ -173,3 +186,39 @@ c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id)) -
 SELECT vec_id, CAST(num AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance,
   CAST(sum(d) OVER (PARTITION BY num) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia,
   sha256(array_to_string(c, ',')) AS centroid_sha256 FROM a10 JOIN c10 USING (num)"""
+
+# The words of op12 lose letters by crc32, a byte after the other; near words share one with a letter deleted, or one
+# is the other with a letter deleted (at each place: a letter replaced leaves the same word and place).
+ORACLE["op12_spelling"] = """WITH RECURSIVE bits AS (
+  SELECT i, i AS c, 0 AS k FROM range(256) t(i)
+  UNION ALL SELECT i, CASE WHEN c % 2 = 1 THEN xor(3988292384, c // 2) ELSE c // 2 END, k + 1 FROM bits WHERE k < 8),
+crc AS MATERIALIZED (SELECT list(c ORDER BY i) AS tab FROM bits WHERE k = 8),
+runs AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[A-Za-z\u00c0-\u00ff]+')) AS run FROM documents),
+met AS (SELECT doc_id, run, count(*) AS m FROM runs GROUP BY ALL),
+bytes AS (
+  SELECT doc_id, run, m, list_transform(range(1, strlen(x) + 1), lambda i: CAST('0x' || substr(hex(encode(x)), 2 * i - 1, 2) AS BIGINT)) AS b
+  FROM (SELECT *, doc_id || ':' || run AS x FROM met)),
+marked AS (
+  SELECT run, m, xor(4294967295, list_reduce(b, lambda a, v: xor(a // 256, tab[xor(a % 256, v) + 1]), 4294967295)) AS h
+  FROM bytes, crc),
+words AS (
+  SELECT CASE WHEN h % 97 = 0 THEN run[:h % length(run)] || run[h % length(run) + 2:] ELSE run END AS word, m FROM marked),
+vocabulary AS MATERIALIZED (
+  SELECT word, CAST(sum(m) AS BIGINT) AS n FROM words WHERE length(word) >= 5 GROUP BY word HAVING sum(m) >= 3),
+holes AS MATERIALIZED (
+  SELECT word, n, i, word[:i - 1] || word[i + 1:] AS rest FROM (
+    SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM vocabulary)),
+pairs AS (
+  SELECT DISTINCT a.word, b.word AS near, b.n AS near_n FROM holes a JOIN holes b USING (rest, i) WHERE a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM holes a JOIN vocabulary b ON a.rest = b.word
+  UNION SELECT b.word, a.word, a.n FROM holes a JOIN vocabulary b ON a.rest = b.word),
+stats AS (SELECT word, count(*) AS n_near, min({'m': -near_n, 'near': near}) AS best FROM pairs GROUP BY word),
+formed AS MATERIALIZED (
+  SELECT v.word, n, coalesce(n_near, 0) AS n_near, CASE WHEN -best.m >= 2 * n THEN best.near END AS form,
+    CASE WHEN -best.m >= 2 * n THEN -best.m END AS form_n FROM vocabulary v LEFT JOIN stats s ON s.word = v.word),
+chain AS (
+  SELECT word, word AS root, form AS next FROM formed
+  UNION ALL SELECT c.word, f.word, f.form FROM chain c JOIN formed f ON f.word = c.next)
+SELECT f.word, f.form, root, n, n_near, form_n FROM formed f JOIN chain c ON c.word = f.word AND c.next IS NULL"""
