@@ -56,7 +56,7 @@ except ModuleNotFoundError as missing:
     corpus = corpus_pipeline = None
 
 DRIVER, OTHER = "Supplier#000000001", "Supplier#000000002"
-DRIVER_ID, OTHER_ID = 1, 2
+DRIVER_ID, OTHER_ID, TEAM_ID = 1, 2, 1
 START = 1997
 
 
@@ -267,7 +267,7 @@ PLANS: dict[str, Callable[[Session], DataFrame]] = {
     "a03_pit_duration": lambda s: performance.pit_duration(s.master, s.pits),
     # A4, A5
     "a04_driver_race_pos": lambda s: rivalry.race_positions(s.master),
-    "a04_pair_table": lambda s: rivalry.pair_table(s.master),
+    "a04_pair_table": lambda s: rivalry.pair_table(s.master, among=rivalry.busiest(s.master, 20)),
     "a04_corr_pairs": lambda s: rivalry.corr_pairs(s.master),
     "a04_rivalries": lambda s: rivalry.rivalries(s.master),
     "a04_rivalry_drivers": lambda s: rivalry.rivalry_drivers(s.master),
@@ -284,11 +284,11 @@ PLANS: dict[str, Callable[[Session], DataFrame]] = {
     "a06_moves": lambda s: teams.team_moves(s.master),
     "a06_moves_driver": lambda s: teams.driver_moves(s.master, DRIVER),
     "a07_podium_rate": lambda s: teams.podium_rate(s.master),
-    "a07_circuit_rate": lambda s: teams.circuit_rate(s.master),
+    "a07_circuit_rate": lambda s: teams.circuit_rates(s.master).frame(),
     "a07_circuit_rate_mean": lambda s: teams.circuit_rate_mean(s.master),
     "a07_circuit_rate_top": lambda s: teams.circuit_rate_top(s.master),
-    "a07_h2h_team": lambda s: teams.team_head_to_head(s.master),
-    "a07_h2h_team_circuit": lambda s: teams.team_head_to_head(s.master),
+    "a07_h2h_team": lambda s: teams.head_to_head_of(s.master, TEAM_ID),
+    "a07_h2h_team_circuit": lambda s: teams.head_to_head_of(s.master, TEAM_ID, by_circuit=True),
     "a07_h2h_matrix": lambda s: teams.team_head_to_head_matrix(s.master),
     "a08_consistency": lambda s: teams.consistency(s.master),
     "a08_consistent": lambda s: teams.consistent_drivers(s.master, below=100),
@@ -298,8 +298,11 @@ PLANS: dict[str, Callable[[Session], DataFrame]] = {
     "a09_efficiency": lambda s: laps.efficiency(s.master, s.laps),
     "a09_team_eff": lambda s: laps.team_efficiency(s.master, s.laps),
     "a09_driver_eff": lambda s: laps.driver_efficiency(s.master, s.laps),
-    "a09_team_circuit": lambda s: laps.team_circuit_efficiency(s.master, s.laps),
+    "a09_team_circuit": lambda s: laps.team_circuits(s.master, s.laps).frame(),
     "a09_team_circuit_display": lambda s: laps.team_circuit_display(s.master, s.laps),
+    "rs_unstack": lambda s: tracks.circuit_wins(s.master).frame(),
+    "rs_unstack_mean": lambda s: tracks.circuit_wins(s.master).by_row(),
+    "rs_unstack_chosen": lambda s: tracks.circuit_wins(s.master).dense(rivalry.busiest(s.master, 5)),
     "rs_pivot_agg": lambda s: wide(
         laps.efficiency(s.master, s.laps),
         "constructorId",

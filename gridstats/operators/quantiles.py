@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -18,58 +16,60 @@ def value_counts(df: DataFrame, keys: list[str], value: str, weight: str | None
     return present.groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(amount.alias("_w"))
 
 
-def _bucket(value: str, bounds: str, step: int) -> Column:
-    """How many of ``step * step - 1`` bounds are at or below the value, found in two steps."""
-    coarse = F.array(*[F.get(bounds, F.lit(k * step - 1)) for k in range(1, step)])
-    passed = F.size(F.filter(coarse, lambda b: b <= F.col(value)))
-    fine = F.slice(bounds, passed * step + 1, F.lit(step))
-    return passed * step + F.size(F.filter(fine, lambda b: b <= F.col(value)))
+def ranged(counts: DataFrame, keys: list[str], parts: int | None = None) -> DataFrame:
+    """The counts written in order of group and value, with the number ``_p`` of their range.
+
+    Spark samples the bounds of the ranges, so that each holds about as many
+    values, whatever their distribution; a large group has many ranges, small
+    groups share one. The written table fixes the ranges for all who read it.
+    """
+    order = [F.col(k) for k in (*keys, "_v")]
+    dealt = counts.repartitionByRange(parts, *order) if parts else counts.repartitionByRange(*order)
+    return keep(dealt.withColumn("_p", F.spark_partition_id()))
 
 
 def quantiles(
-    counts: DataFrame, keys: list[str], probabilities: dict[str, float], buckets: int = 1024
+    counts: DataFrame, keys: list[str], probabilities: dict[str, float], buckets: int | None = None
 ) -> DataFrame:
     """Exact quantiles with linear interpolation, from ``value_counts``.
 
-    Each group's distinct values are cut into about ``buckets`` buckets of as many values
-    each, at the bounds of a quantile sketch, so that outliers do no harm.
-    Cumulative bucket totals show which buckets hold the wanted ranks; only the
-    values of those buckets are ordered, one bucket per task, so no task sees
-    a whole group.
+    The values are dealt into ranges (``buckets`` of them, or as many as Spark
+    has shuffle partitions). This runs a job.
+    """
+    return _located(ranged(counts, keys, buckets), keys, probabilities)
+
+
+def _located(values: DataFrame, keys: list[str], probabilities: dict[str, float]) -> DataFrame:
+    """Quantiles by weighted rank selection over ranges.
+
+    The weights of each group and range are added up, and their running totals
+    show which ranges hold the wanted ranks. Only those ranges are read again
+    and put in order, a range of a group in one task.
     """
-    step = max(2, math.ceil(math.sqrt(buckets)))
-    cuts = [k / step**2 for k in range(1, step**2)]
-    span = [F.percentile_approx("_v", cuts, 4 * step**2).alias("_bounds"), F.sum("_w").alias("_n")]
-    if keys:
-        located = counts.join(counts.groupBy(*keys).agg(*span), keys)
-    else:
-        whole = counts.agg(F.struct(*span)).scalar()
-        located = counts.withColumns({f: whole.getField(f) for f in ("_bounds", "_n")})
-    located = located.withColumn("_b", _bucket("_v", "_bounds", step)).drop("_bounds")
-
-    upto = W.partitionBy(*keys).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
+    upto = W.partitionBy(*keys).orderBy("_p")
+    whole = W.partitionBy(*keys)
     totals = (
-        located.groupBy(*keys, "_b")
-        .agg(F.sum("_w").alias("_in"), F.max("_n").alias("_n"))
-        .withColumn("_before", F.coalesce(F.sum("_in").over(upto), F.lit(0)))
+        values.groupBy(*keys, "_p")
+        .agg(F.sum("_w").alias("_in"))
+        .withColumn("_before", F.coalesce(F.sum("_in").over(upto.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+        .withColumn("_n", F.sum("_in").over(whole))
     )
     wanted = []
     for name, p in probabilities.items():
         at = (F.col("_n") - 1) * p
         wanted.append(F.struct(F.lit(f"{name}_lo").alias("slot"), F.floor(at).alias("rank")))
         wanted.append(F.struct(F.lit(f"{name}_hi").alias("slot"), F.ceil(at).alias("rank")))
+    inside = lambda t: (t["rank"] >= F.col("_before")) & (t["rank"] < F.col("_before") + F.col("_in"))
     targets = (
-        totals.withColumn("_t", F.explode(F.array(*wanted)))
-        .where(F.col("_t.rank").between(F.col("_before"), F.col("_before") + F.col("_in") - 1))
-        .select(*keys, "_b", "_before", "_t.slot", "_t.rank")
-    )
-    in_bucket = W.partitionBy(*keys, "_b").orderBy("_v")
-    ordered = located.join(targets.select(*keys, "_b").distinct(), [*keys, "_b"], "left_semi")
-    ordered = ordered.withColumn(
-        "_to", F.sum("_w").over(in_bucket.rowsBetween(W.unboundedPreceding, W.currentRow))
+        totals.withColumn("_wanted", F.filter(F.array(*wanted), inside))
+        .where(F.size("_wanted") > 0)
+        .select(*keys, "_p", "_before", "_n", "_wanted")
     )
-    first, last = F.col("_before") + F.col("_to") - F.col("_w"), F.col("_before") + F.col("_to") - 1
-    found = ordered.join(targets, [*keys, "_b"]).where(F.col("rank").between(first, last))
+    in_range = W.partitionBy(*keys, "_p").orderBy("_v").rowsBetween(W.unboundedPreceding, W.currentRow)
+    ordered = values.join(targets, [*keys, "_p"]).withColumn("_to", F.col("_before") + F.sum("_w").over(in_range))
+    hit = lambda t: (t["rank"] >= F.col("_to") - F.col("_w")) & (t["rank"] < F.col("_to"))
+    found = ordered.withColumn("_hit", F.filter("_wanted", hit)).where(F.size("_hit") > 0)
+    found = found.select(*keys, "_n", "_v", F.explode("_hit.slot").alias("slot"))
 
     def pick(slot: str):
         return F.max(F.when(F.col("slot") == slot, F.col("_v")))
@@ -84,8 +84,8 @@ def quantiles(
 
 def box_stats(df: DataFrame, keys: list[str], value: str, weight: str | None = None) -> DataFrame:
     """Quartiles, whiskers within 1.5 IQR, and the number of rows beyond them."""
-    counts = keep(value_counts(df, keys, value, weight))  # read by five branches
-    quartiles = quantiles(counts, keys, {"q1": 0.25, "median": 0.5, "q3": 0.75})
+    counts = ranged(value_counts(df, keys, value, weight), keys)
+    quartiles = _located(counts, keys, {"q1": 0.25, "median": 0.5, "q3": 0.75})
     reach = (F.col("q3") - F.col("q1")) * 1.5
     inside = F.col("_v").between(F.col("q1") - reach, F.col("q3") + reach)
     shape = ["n", "q1", "median", "q3"]

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridstats.functions import ratio, top_k
-from gridstats.operators.grids import dense_grid
+from gridstats.operators.grids import SparseMatrix, dense_grid
 from gridstats.operators.quantiles import box_stats
+from gridstats.sources import keep
 
 
 def _driven_laps(df: DataFrame, laps: DataFrame) -> DataFrame:
@@ -62,23 +63,26 @@ def driver_efficiency(df: DataFrame, laps: DataFrame, n: int | None = 5) -> Data
     return _mean_efficiency(df, laps, "driverId", "driverRef", n)
 
 
-def team_circuit_efficiency(df: DataFrame, laps: DataFrame) -> DataFrame:
-    """Mean efficiency for every team and circuit, 0 where the team never ran."""
+def team_circuits(df: DataFrame, laps: DataFrame) -> SparseMatrix:
+    """Mean efficiency by team and circuit, 0 where the team never ran."""
     cells = (
         efficiency(df, laps)
         .groupBy("constructorId", "circuitId")
         .agg(F.avg("efficiency_ratio").alias("efficiency_ratio"))
     )
-    return dense_grid(
-        cells, cells.select("constructorId"), cells.select("circuitId"), {"efficiency_ratio": 0.0}
-    )
+    return SparseMatrix.of(keep(cells), "constructorId", "circuitId", "efficiency_ratio")
+
+
+def team_circuit_efficiency(df: DataFrame, laps: DataFrame) -> DataFrame:
+    """Mean efficiency for every team and circuit in full: for few of them only, else ``team_circuits``."""
+    matrix = team_circuits(df, laps)
+    return dense_grid(matrix.cells, matrix.rows, matrix.columns, {"efficiency_ratio": 0.0})
 
 
 def team_circuit_display(df: DataFrame, laps: DataFrame, teams: int = 5) -> DataFrame:
     """The rows shown in the chart: the first teams by id, not the best ones."""
-    grid = team_circuit_efficiency(df, laps)
-    shown = grid.select("constructorId").distinct().orderBy("constructorId").limit(teams)
-    return grid.join(shown, "constructorId", "left_semi")
+    matrix = team_circuits(df, laps)
+    return matrix.dense(matrix.rows.orderBy("constructorId").limit(teams))
 
 
 def lap_box(df: DataFrame, laps: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridstats.functions import count_where, half_even, ratio, top_k
-from gridstats.operators.grids import dense_grid
+from gridstats.operators.grids import SparseMatrix, dense_grid
 from gridstats.operators.pairs import pair_sums
 from gridstats.operators.quantiles import median_of
 from gridstats.operators.sequences import shifted
@@ -80,19 +80,21 @@ def _seen_circuit_rates(df: DataFrame) -> DataFrame:
     )
 
 
+def circuit_rates(df: DataFrame) -> SparseMatrix:
+    """Podium rates by team and circuit; a team that never raced at a circuit has the rate 0."""
+    return SparseMatrix.of(_seen_circuit_rates(df), "constructorId", "circuitId", "podium_rate")
+
+
 def circuit_rate(df: DataFrame) -> DataFrame:
-    """Podium rate for every circuit and team, 0 where the team never raced."""
+    """Podium rate for every circuit and team in full: for few teams and circuits only, else ``circuit_rates``."""
     seen = _seen_circuit_rates(df)
     return dense_grid(seen, seen.select("circuitId"), seen.select("constructorId"), {"podium_rate": 0.0})
 
 
 def circuit_rate_mean(df: DataFrame, n: int | None = 5) -> DataFrame:
     """Mean of the circuit rates over all circuits, never raced ones counting as 0."""
-    seen = _seen_circuit_rates(df)
-    circuits = seen.agg(F.count_distinct("circuitId")).scalar()
-    means = seen.groupBy("constructorId").agg(F.sum("podium_rate").alias("total"))
-    rates = means.select("constructorId", ratio("total", circuits).alias("mean_circuit_rate"))
-    return top_k(rates, n, "mean_circuit_rate", "constructorId")
+    means = circuit_rates(df).by_row().select("constructorId", F.col("mean").alias("mean_circuit_rate"))
+    return top_k(means, n, "mean_circuit_rate", "constructorId")
 
 
 def circuit_rate_top(df: DataFrame, teams: int = 10, circuits: int = 10) -> DataFrame:
@@ -100,7 +102,7 @@ def circuit_rate_top(df: DataFrame, teams: int = 10, circuits: int = 10) -> Data
     best = podium_rate(df, teams).select("constructorId")
     sizes = df.where(F.col("circuitId").isNotNull()).groupBy("circuitId").agg(F.count(F.lit(1)).alias("entries"))
     busiest = top_k(sizes, circuits, "entries", "circuitId").select("circuitId")
-    return dense_grid(_seen_circuit_rates(df), busiest, best, {"podium_rate": 0.0})
+    return circuit_rates(df).dense(best, busiest)
 
 
 def team_head_to_head(df: DataFrame) -> DataFrame:
@@ -125,6 +127,27 @@ def team_head_to_head(df: DataFrame) -> DataFrame:
     return pairs.select(F.inline(F.array(side("a", "b", "a_ahead"), side("b", "a", "b_ahead"))))
 
 
+def head_to_head_of(df: DataFrame, team: int, by_circuit: bool = False) -> DataFrame:
+    """One team against every opponent: share of common races in which it was ahead.
+
+    The team's own races, one row each, meet the others' once, so that work and
+    answer grow with the rows. ``by_circuit`` finds the best places per circuit
+    and race and counts the circuits too; a race has one circuit, so the shares
+    are the same.
+    """
+    race = ["circuitId", "raceId"] if by_circuit else ["raceId"]
+    keyed = df.dropna(subset=[*race, "constructorId"])
+    best = keyed.groupBy(*race, "constructorId").agg(F.min("position").alias("position"))
+    own = best.where(F.col("constructorId") == team).select(*race, F.col("position").alias("own"))
+    met = best.where(F.col("constructorId") != team).join(own, race)
+    ahead = count_where(F.col("own") < F.col("position"))
+    counts = [F.count(F.lit(1)).alias("races"), ratio(ahead, F.count(F.lit(1))).alias("win_ratio")]
+    if by_circuit:
+        counts.append(F.count_distinct("circuitId").alias("circuits"))
+    duels = met.groupBy(F.col("constructorId").alias("opponent")).agg(*counts)
+    return duels.select(F.lit(team).cast("bigint").alias("team"), *duels.columns)
+
+
 def team_head_to_head_matrix(df: DataFrame, n: int = 10) -> DataFrame:
     """Head to head among the n teams with the best podium rate, with names."""
     best = podium_rate(df, n)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridstats.functions import clip, half_even, top_k
+from gridstats.operators.grids import SparseMatrix
 from gridstats.operators.quantiles import box_stats
 
 
@@ -107,3 +108,12 @@ def selected_grid_points(df: DataFrame, driver: str, n: int = 3) -> DataFrame:
     return rows.join(chosen, "circuitId", "left_semi").select(
         "resultId", "circuitRef", "grid", "position"
     )
+
+
+def circuit_wins(df: DataFrame) -> SparseMatrix:
+    """Wins by driver and circuit, for all drivers and circuits of the results; most combinations have none."""
+    keyed = df.where(F.col("driverId").isNotNull() & F.col("circuitId").isNotNull())
+    won = keyed.where(F.col("position") == 1)
+    cells = won.groupBy("driverId", "circuitId").agg(F.count(F.lit(1)).cast("double").alias("wins"))
+    drivers, circuits = keyed.select("driverId").distinct(), keyed.select("circuitId").distinct()
+    return SparseMatrix(cells, "driverId", "circuitId", "wins", drivers, circuits)

@@ -6,6 +6,7 @@ Doubles are rounded to six digits and days shown as text, as in the queries.
 from oracle.tables import TABLES
 
 DRIVER, OTHER = "Supplier#000000001", "Supplier#000000002"
+TEAM_ID = 1
 START = 1997
 ORACLE: dict[str, str] = {}
 
@@ -279,8 +280,10 @@ answer(
 )
 answer(
     "a04_pair_table",
-    """SELECT a, b, races, round(correlation, 6) AS correlation, round(diff, 6) AS avg_finish_diff FROM pairs""",
+    """SELECT a, b, races, round(correlation, 6) AS correlation, round(diff, 6) AS avg_finish_diff FROM pairs
+    WHERE a IN (SELECT driverId FROM busiest) AND b IN (SELECT driverId FROM busiest)""",
     **_PAIRS,
+    busiest="SELECT driverId FROM m GROUP BY ALL ORDER BY count(position) DESC, driverId LIMIT 20",
 )
 answer(
     "a04_corr_pairs",
@@ -387,9 +390,8 @@ _RATES = {
 answer("a07_podium_rate", "SELECT constructorId, constructorRef, round(rate, 6) AS podium_rate FROM top_teams", **_RATES)
 answer(
     "a07_circuit_rate",
-    """SELECT c.circuitId, t.constructorId, round(coalesce(rate, 0), 6) AS podium_rate
-    FROM (SELECT DISTINCT circuitId FROM seen) c CROSS JOIN (SELECT DISTINCT constructorId FROM seen) t
-    LEFT JOIN seen s ON s.circuitId = c.circuitId AND s.constructorId = t.constructorId""",
+    """SELECT constructorId, circuitId, round(rate, 6) AS podium_rate FROM seen
+    UNION ALL SELECT DISTINCT constructorId, NULL, 0.0 FROM seen UNION ALL SELECT DISTINCT NULL, circuitId, 0.0 FROM seen""",
     **_RATES,
 )
 answer(
@@ -406,8 +408,19 @@ answer(
     LEFT JOIN seen s ON s.circuitId = c.circuitId AND s.constructorId = t.constructorId""",
     **_RATES,
 )
-for _name in ("a07_h2h_team", "a07_h2h_team_circuit"):
-    answer(_name, "SELECT team, opponent, races, round(ratio, 6) AS win_ratio FROM h2h", **_RATES)
+answer(
+    "a07_h2h_team",
+    f"SELECT team, opponent, races, round(ratio, 6) AS win_ratio FROM h2h WHERE team = {TEAM_ID}",
+    **_RATES,
+)
+answer(
+    "a07_h2h_team_circuit",
+    f"""SELECT x.constructorId AS team, y.constructorId AS opponent, count(*) AS races,
+      round(avg(CASE WHEN x.p < y.p THEN 1.0 ELSE 0.0 END), 6) AS win_ratio, count(DISTINCT x.circuitId) AS circuits
+      FROM places x JOIN places y ON x.raceId = y.raceId AND x.circuitId = y.circuitId
+      AND x.constructorId = {TEAM_ID} AND y.constructorId <> {TEAM_ID} GROUP BY ALL""",
+    places="SELECT circuitId, raceId, constructorId, min(position) AS p FROM m GROUP BY ALL",
+)
 answer(
     "a07_h2h_matrix",
     """SELECT team, opponent, races, round(ratio, 6) AS win_ratio, a.constructorRef AS team_name,
@@ -469,11 +482,41 @@ for _name, _key, _label, _source in [
         ORDER BY round(e, 9) DESC, x.{_key} LIMIT 5""",
         **_LAPS,
     )
-answer("a09_team_circuit", "SELECT * FROM cell_grid", **_LAPS)
+answer(
+    "a09_team_circuit",
+    """SELECT constructorId, circuitId, round(e, 6) AS efficiency_ratio FROM cells
+    UNION ALL SELECT DISTINCT constructorId, NULL, 0.0 FROM cells UNION ALL SELECT DISTINCT NULL, circuitId, 0.0 FROM cells""",
+    **_LAPS,
+)
+_WINS = {
+    "won": "SELECT driverId, circuitId, CAST(count(*) AS DOUBLE) AS wins FROM m WHERE position = 1 GROUP BY ALL",
+    "drivers_met": "SELECT DISTINCT driverId FROM m",
+    "circuits_met": "SELECT DISTINCT circuitId FROM m",
+    "win_grid": """SELECT driverId, circuitId, coalesce(wins, 0.0) AS wins, wins IS NOT NULL AS present
+      FROM drivers_met CROSS JOIN circuits_met LEFT JOIN won USING (driverId, circuitId)""",
+}
+answer(
+    "rs_unstack",
+    """SELECT driverId, circuitId, wins FROM won UNION ALL SELECT driverId, NULL, 0.0 FROM drivers_met
+    UNION ALL SELECT NULL, circuitId, 0.0 FROM circuits_met""",
+    **_WINS,
+)
+answer(
+    "rs_unstack_mean",
+    """SELECT driverId, count(*) FILTER (WHERE present) AS present, count(*) FILTER (WHERE NOT present) AS absent,
+    round(avg(wins), 6) AS mean FROM win_grid GROUP BY driverId""",
+    **_WINS,
+)
+answer(
+    "rs_unstack_chosen",
+    """SELECT driverId, circuitId, wins FROM win_grid
+    WHERE driverId IN (SELECT driverId FROM m GROUP BY ALL ORDER BY count(position) DESC, driverId LIMIT 5)""",
+    **_WINS,
+)
 answer(
     "a09_team_circuit_display",
     """SELECT * FROM cell_grid
-    WHERE constructorId IN (SELECT DISTINCT constructorId FROM cells ORDER BY 1 LIMIT 5)""",
+    WHERE constructorId IN (SELECT DISTINCT constructorId FROM won ORDER BY 1 LIMIT 5)""",
     **_LAPS,
 )
 answer(

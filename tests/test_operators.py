@@ -5,9 +5,9 @@ import pytest
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gridstats.operators.grids import dense_grid, wide
-from gridstats.operators.pairs import pair_correlation, pair_sums
-from gridstats.operators.quantiles import box_stats, median_of, quantiles, value_counts
+from gridstats.operators.grids import SparseMatrix, dense_grid, wide
+from gridstats.operators.pairs import SUMS, _meetings, best_pairs, correlation_of, pair_correlation, pair_sums
+from gridstats.operators.quantiles import box_stats, median_of, quantiles, ranged, value_counts
 from gridstats.operators.sequences import numbered, shifted, value_stretch
 
 
@@ -127,3 +127,82 @@ def test_dense_grid_fills_every_combination(spark, rows):
     grid = dense_grid(cells, cells.select("r"), cells.select("c"), {"v": 0.0})
     assert rows(grid, "r", "c", "v") == [(1, 10, 0.5), (1, 20, 0.0), (2, 10, 0.0), (2, 20, 0.25)]
     assert rows(wide(cells, "r", "c", "v", [10, 20])) == [(1, 0.5, 0.0), (2, 0.0, 0.25)]
+
+
+def pair_scores(sums):
+    return -correlation_of(sums)
+
+
+@pytest.mark.parametrize("block, chunk", [(4, 3), (256, 4096)])
+def test_best_pairs_are_the_best_of_all(spark, block, chunk):
+    draw = np.random.default_rng(12)
+    # Two eras that share no race, and one driver who is in every race.
+    table = [(r, d, float(draw.normal())) for r in range(40) for d in range(30) if d == 0 or (d < 15) == (r < 20) and draw.random() < 0.5]
+    df = spark.createDataFrame([*table, (1, None, 3.0), (None, 3, 1.0), (2, 29, None)], "race bigint, driver bigint, v double")
+    every = pair_sums(df, "race", "driver", "v").toPandas()
+    every["key"] = pair_scores(every)
+    wanted = every.dropna(subset=["key"]).sort_values(["key", "a", "b"]).head(6)
+    found = best_pairs(df, "race", "driver", "v", pair_scores, 6, block=block, chunk=chunk).toPandas()
+
+    found["key"] = pair_scores(found)
+    found = found.sort_values(["key", "a", "b"]).head(6)
+    assert found[["a", "b"]].to_numpy().tolist() == wanted[["a", "b"]].to_numpy().tolist()
+    np.testing.assert_allclose(found[SUMS].to_numpy(float), wanted[SUMS].to_numpy(float), atol=1e-9)
+
+
+def test_no_more_than_k_rows_leave_a_task(spark):
+    table = [(r, d, float((r * 7 + d * 13) % 17)) for r in range(30) for d in range(60)]
+    df = spark.createDataFrame(table, "race bigint, driver bigint, v double")
+    found = best_pairs(df, "race", "driver", "v", pair_scores, 3, block=5)
+    per_task = found.groupBy(F.spark_partition_id()).count().collect()
+    assert max(r["count"] for r in per_task) <= 3
+    assert best_pairs(df.limit(0), "race", "driver", "v", pair_scores, 3).count() == 0
+
+
+def test_blocks_that_share_no_group_do_not_meet(spark):
+    table = [(r, d, 1.0) for r in range(200) for d in range(r // 10 * 10, r // 10 * 10 + 10)]
+    df = spark.createDataFrame(table, "grp bigint, member bigint, value double")
+    met = _meetings(df, 10, 4096).select("low", "high").distinct().count()
+    blocks = _meetings(df, 10, 4096).select("block").distinct().count()
+    assert met < blocks * (blocks + 1) / 4
+
+
+def test_quantiles_of_a_hot_group_and_a_hot_value(spark):
+    """One group holds most rows and one value a third of them; the ranges are cut between values."""
+    draw = np.random.default_rng(13)
+    values = [("hot", float(v)) for v in draw.integers(0, 3000, 6000)] + [("hot", 7.0)] * 3000
+    values += [(f"g{i}", float(v)) for i in range(30) for v in draw.integers(0, 50, 5)]
+    df = spark.createDataFrame(values, "k string, v double")
+    found = {r["k"]: r for r in box_stats(df, ["k"], "v").collect()}
+    for key in ("hot", "g0", "g29"):
+        own = [v for k, v in values if k == key]
+        low, middle, high = np.quantile(own, [0.25, 0.5, 0.75])
+        assert tuple(found[key])[1:5] == (len(own), low, middle, high)
+    counts = ranged(value_counts(df, ["k"], "v"), ["k"], 8)
+    sizes = [r["count"] for r in counts.where("k = 'hot'").groupBy("_p").count().collect()]
+    assert len(sizes) >= 4 and max(sizes) < 0.5 * sum(sizes)
+    assert quantiles(value_counts(df.limit(0), ["k"], "v"), ["k"], {"m": 0.5}).count() == 0
+
+
+def test_sparse_matrix_knows_absent_cells(spark, rows):
+    cells = spark.createDataFrame([(1, 10, 0.5), (1, 20, 0.25), (2, 20, 1.0)], "r int, c int, v double")
+    matrix = SparseMatrix.of(cells, "r", "c", "v", default=0.1)
+    assert rows(matrix.frame(), "r", "c", "v") == [
+        (None, 10, 0.1), (None, 20, 0.1), (1, None, 0.1), (1, 10, 0.5), (1, 20, 0.25), (2, None, 0.1), (2, 20, 1.0),
+    ]
+    assert rows(matrix.by_row()) == [(1, 2, 0, 0.375), (2, 1, 1, 0.55)]
+    full = rows(matrix.dense(cells.select("r")), "r", "c", "v")
+    assert full == [(1, 10, 0.5), (1, 20, 0.25), (2, 10, 0.1), (2, 20, 1.0)]
+    assert full == rows(dense_grid(cells, cells.select("r"), cells.select("c"), {"v": 0.1}), "r", "c", "v")
+    assert rows(matrix.dense(cells.select("r").where("r = 2"), cells.select("c").where("c = 10")), "r", "c", "v") == [(2, 10, 0.1)]
+    wider = SparseMatrix(cells, "r", "c", "v", spark.range(1, 4).selectExpr("int(id) r"), spark.range(1, 5).selectExpr("int(id * 10) c"))
+    assert rows(wider.by_row()) == [(1, 2, 2, 0.1875), (2, 1, 3, 0.25), (3, 0, 4, 0.0)]
+
+
+def test_sparse_matrix_forms_no_combinations(spark):
+    """A diagonal of 3,000 cells: the frame has the cells and the keys, not nine million rows."""
+    cells = spark.range(3000).selectExpr("id AS r", "id AS c", "1.0D AS v")
+    matrix = SparseMatrix.of(cells, "r", "c", "v")
+    assert matrix.frame().count() == 9000
+    plan = matrix.frame()._jdf.queryExecution().toString() + matrix.by_row()._jdf.queryExecution().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
