@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gridstats.sources.files import keep
 
+#: Ranges that values are dealt into, as a multiple of the shuffle partitions: few of them are read again.
+FINER = 4
+
 
 def value_counts(df: DataFrame, keys: list[str], value: str, weight: str | None = None) -> DataFrame:
     """Distinct values per group with their row count (or summed weight)."""
@@ -23,8 +28,8 @@ def ranged(counts: DataFrame, keys: list[str], parts: int | None = None) -> Data
     values, whatever their distribution; a large group has many ranges, small
     groups share one. The written table fixes the ranges for all who read it.
     """
-    order = [F.col(k) for k in (*keys, "_v")]
-    dealt = counts.repartitionByRange(parts, *order) if parts else counts.repartitionByRange(*order)
+    parts = parts or FINER * int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = counts.repartitionByRange(parts, *[F.col(k) for k in (*keys, "_v")])
     return keep(dealt.withColumn("_p", F.spark_partition_id()))
 
 
@@ -33,8 +38,8 @@ def quantiles(
 ) -> DataFrame:
     """Exact quantiles with linear interpolation, from ``value_counts``.
 
-    The values are dealt into ranges (``buckets`` of them, or as many as Spark
-    has shuffle partitions). This runs a job.
+    The values are dealt into ranges (``buckets`` of them, or a few times the
+    number of shuffle partitions). This runs a job.
     """
     return _located(ranged(counts, keys, buckets), keys, probabilities)
 
@@ -46,40 +51,25 @@ def _located(values: DataFrame, keys: list[str], probabilities: dict[str, float]
     show which ranges hold the wanted ranks. Only those ranges are read again
     and put in order, a range of a group in one task.
     """
-    upto = W.partitionBy(*keys).orderBy("_p")
-    whole = W.partitionBy(*keys)
+    upto = W.partitionBy(*keys).orderBy("_p").rowsBetween(W.unboundedPreceding, -1)
     totals = (
         values.groupBy(*keys, "_p")
         .agg(F.sum("_w").alias("_in"))
-        .withColumn("_before", F.coalesce(F.sum("_in").over(upto.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-        .withColumn("_n", F.sum("_in").over(whole))
-    )
-    wanted = []
-    for name, p in probabilities.items():
-        at = (F.col("_n") - 1) * p
-        wanted.append(F.struct(F.lit(f"{name}_lo").alias("slot"), F.floor(at).alias("rank")))
-        wanted.append(F.struct(F.lit(f"{name}_hi").alias("slot"), F.ceil(at).alias("rank")))
-    inside = lambda t: (t["rank"] >= F.col("_before")) & (t["rank"] < F.col("_before") + F.col("_in"))
-    targets = (
-        totals.withColumn("_wanted", F.filter(F.array(*wanted), inside))
-        .where(F.size("_wanted") > 0)
-        .select(*keys, "_p", "_before", "_n", "_wanted")
+        .withColumn("_before", F.coalesce(F.sum("_in").over(upto), F.lit(0)))
+        .withColumn("_n", F.sum("_in").over(W.partitionBy(*keys)))
     )
+    places = {name: (F.col("_n") - 1) * p for name, p in probabilities.items()}
+    ranks = [end(at) for at in places.values() for end in (F.floor, F.ceil)]
+    holds = [(r >= F.col("_before")) & (r < F.col("_before") + F.col("_in")) for r in ranks]
+    wanted = totals.where(reduce(Column.__or__, holds)).drop("_in")
     in_range = W.partitionBy(*keys, "_p").orderBy("_v").rowsBetween(W.unboundedPreceding, W.currentRow)
-    ordered = values.join(targets, [*keys, "_p"]).withColumn("_to", F.col("_before") + F.sum("_w").over(in_range))
-    hit = lambda t: (t["rank"] >= F.col("_to") - F.col("_w")) & (t["rank"] < F.col("_to"))
-    found = ordered.withColumn("_hit", F.filter("_wanted", hit)).where(F.size("_hit") > 0)
-    found = found.select(*keys, "_n", "_v", F.explode("_hit.slot").alias("slot"))
-
-    def pick(slot: str):
-        return F.max(F.when(F.col("slot") == slot, F.col("_v")))
-
+    ordered = values.join(wanted, [*keys, "_p"]).withColumn("_to", F.col("_before") + F.sum("_w").over(in_range))
     outputs = []
-    for name, p in probabilities.items():
-        at = (F.max("_n") - 1) * p
-        low, high = pick(f"{name}_lo"), pick(f"{name}_hi")
-        outputs.append((low + (high - low) * (at - F.floor(at))).alias(name))
-    return found.groupBy(*keys).agg(F.max("_n").alias("n"), *outputs)
+    for name, at in places.items():
+        # The value of a rank is the first one up to which there are more rows than the rank's number.
+        low, high = (F.min(F.when(F.col("_to") > end(at), F.col("_v"))) for end in (F.floor, F.ceil))
+        outputs.append((low + (high - low) * F.max(at - F.floor(at))).alias(name))
+    return ordered.groupBy(*keys).agg(F.max("_n").alias("n"), *outputs)
 
 
 def box_stats(df: DataFrame, keys: list[str], value: str, weight: str | None = None) -> DataFrame:
