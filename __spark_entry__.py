@@ -25,6 +25,7 @@ from gridstats.plans import (  # noqa: E402
     features,
     laps,
     masters,
+    model_facts,
     models,
     next_team,
     performance,
@@ -178,9 +179,13 @@ class Session:
     def predictions(self) -> DataFrame:
         return models.predict_season(self.both_models, features.forecast_inputs(self.forecast))
 
+    @cached_property
+    def finish_rows(self) -> DataFrame:
+        return keep(self.engineered())
+
     @cached_property
     def finish(self):
-        return models.fit_finish(keep(self.engineered()))
+        return models.fit_finish(self.finish_rows)
 
     @cached_property
     def podiums(self) -> DataFrame:
@@ -326,11 +331,17 @@ PLANS: dict[str, Callable[[Session], DataFrame]] = {
         features.forecast_rows(s.master, START, lagged_flags=False)
     ),
     "a11_inputs": lambda s: features.forecast_inputs(s.forecast),
-    "a11_fit_rf": lambda s: models.forecast_metrics(s.forest, s.training),
-    "a11_fit_gbt": lambda s: models.forecast_metrics(s.boosted, s.training),
-    "a11_predict": lambda s: s.predictions(),
-    "a11_confidence": lambda s: models.forecast_confidence(s.predictions(), list(s.both_models)),
-    "a11_importance": lambda s: models.forecast_importance(s.both_models, s.training),
+    "a11_fit_rf": lambda s: model_facts.regression_facts(s.forest, s.training, "points"),
+    "a11_fit_gbt": lambda s: model_facts.regression_facts(s.boosted, s.training, "points"),
+    "a11_predict": lambda s: model_facts.prediction_facts(
+        s.predictions(), models.split(s.training)[0], "random_forest", list(s.both_models)
+    ),
+    "a11_confidence": lambda s: model_facts.confidence_facts(
+        models.forecast_confidence(s.predictions(), list(s.both_models))
+    ),
+    "a11_importance": lambda s: model_facts.share_facts(
+        models.forecast_importance(s.both_models, s.training), "model"
+    ),
     "a12_growth": lambda s: scoring.team_growth(s.master),
     "a12_risk_linear": lambda s: scoring.risk_linear(s.master),
     "a12_risk_linear_published": lambda s: scoring.risk_linear(s.master, growth=False),
@@ -373,11 +384,17 @@ PLANS: dict[str, Callable[[Session], DataFrame]] = {
     "a16_by_team": lambda s: next_team.by_team(s.master, DRIVER),
     "a16_by_year": lambda s: next_team.by_year(s.master, DRIVER),
     # A17
-    "a17_fit_grid": lambda s: models.podium_accuracy(s.podium_grid, s.podiums),
-    "a17_fit_avg": lambda s: models.podium_accuracy(s.podium_means, s.podiums),
-    "a17_confusion": lambda s: models.podium_confusion(s.podium_means, s.podiums),
-    "a17_predictions": lambda s: models.podium_predictions(s.podium_means, s.podiums),
-    "a17_importance": lambda s: models.podium_importance(s.podium_means, s.podiums),
+    "a17_fit_grid": lambda s: model_facts.podium_facts(s.podium_grid, s.podiums),
+    "a17_fit_avg": lambda s: model_facts.podium_facts(s.podium_means, s.podiums),
+    "a17_confusion": lambda s: model_facts.confusion_facts(
+        models.podium_confusion(s.podium_means, s.podiums)
+    ),
+    "a17_predictions": lambda s: models.podium_predictions(s.podium_means, s.podiums).select(
+        "resultId", "driverId", "podium", F.col("prediction").isin(0.0, 1.0).alias("is_label")
+    ),
+    "a17_importance": lambda s: model_facts.importance_facts(
+        models.podium_importance(s.podium_means, s.podiums)
+    ),
     "a17_rows": lambda s: s.podiums,
     # features and finish model
     "f_driver_finish": lambda s: features.driver_finish(s.master),
@@ -386,8 +403,8 @@ PLANS: dict[str, Callable[[Session], DataFrame]] = {
     "f_team_dnf": lambda s: features.team_dnf(s.master),
     "f_circuit_spread": lambda s: features.circuit_spread(s.master),
     "f_engineered": lambda s: s.engineered(),
-    "m_finish_forest": lambda s: models.finish_metrics(*s.finish),
-    "m_finish_importance": lambda s: models.finish_importance(*s.finish),
+    "m_finish_forest": lambda s: model_facts.regression_facts(s.finish[0], s.finish_rows, "positionOrder"),
+    "m_finish_importance": lambda s: model_facts.share_facts(models.finish_importance(*s.finish)),
 }
 
 

