@@ -23,6 +23,7 @@ import html as entities
 import json
 import os
 import re
+from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -34,6 +35,10 @@ from gridstats.sources import keep
 
 #: Wrappers that one task of the reduction tree aligns, about.
 FAN_IN = 64
+#: Levels of elements that a wrapper has; what lies deeper counts as lying at the last of them.
+DEPTH = 200
+#: Pairs of nodes that an alignment compares to find a longest common subsequence.
+CELLS = 1_000_000
 
 _MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
@@ -117,7 +122,8 @@ class Page:
     def __init__(self, html: str | None):
         self.blocks: list[tuple[tuple[str, ...], str, int]] = []  # path, text, linked characters
         self.tree: list = ["", "1", []]
-        self._stack: list[tuple[str, list]] = [("", self.tree)]
+        self._stack: list[tuple[str, list, bool]] = [("", self.tree, True)]  # label, node, whether the node is its own
+        self._depth = 0
         self._text: list[str] = []
         self._links, self._in_link = 0, False
         self.kind = NO_ARTICLE
@@ -155,7 +161,7 @@ class Page:
             return
         text = " ".join(entities.unescape("".join(self._text)).split())
         if text:
-            path = tuple(label for label, _ in self._stack[1:])
+            path = tuple(label for label, _, own in self._stack[1:] if own)
             links = min(self._links, len(text))
             self.blocks.append((path, text, links))
             self._stack[-1][1][2].append(["#", "1", [len(text), links, 1]])
@@ -176,17 +182,26 @@ class Page:
             self._leave({"p"})
         self._leave(_CLOSES.get(tag, set()))
         if label[-1] == "*":
-            marks = [above[-1:] for above, _ in self._stack]
+            marks = [above[-1:] for above, _, _ in self._stack]
             if "!" not in marks and not 0 <= self.kind <= marks.count("~"):
                 self.kind = marks.count("~")
+        # Beyond DEPTH an element parts blocks but has no node, unless it takes its content out of the text.
+        if self._depth >= DEPTH and (label[-1] != "!" or any(above[-1:] == "!" for above, _, _ in self._stack)):
+            self._stack.append((label, self._stack[-1][1], False))
+            return
         node = [label, "1", []]
         self._stack[-1][1][2].append(node)
-        self._stack.append((label, node))
+        self._stack.append((label, node, True))
+        self._depth += 1
+
+    def _drop(self, depth: int) -> None:
+        self._depth -= sum(own for _, _, own in self._stack[depth:])
+        del self._stack[depth:]
 
     def _leave(self, tags: set[str]) -> None:
         """Elements at the top of the stack that the next one ends."""
         while len(self._stack) > 1 and tag_of(self._stack[-1][0]) in tags:
-            self._stack.pop()
+            self._drop(len(self._stack) - 1)
 
     def _close(self, tag: str) -> None:
         if tag == "a":
@@ -194,7 +209,7 @@ class Page:
         for depth in range(len(self._stack) - 1, 0, -1):
             if tag_of(self._stack[depth][0]) == tag:
                 self._flush()
-                del self._stack[depth:]
+                self._drop(depth)
                 return
         if tag not in INLINE and tag not in ("html", "body"):
             self._flush()
@@ -253,27 +268,61 @@ def name_of(node: list) -> str:
     return "(" + " ".join(map(name_of, node[2])) + ")" if node[0] == "()" else node[0]
 
 
+def common(names: list[str], others: list[str]) -> list[tuple[int, int]]:
+    """Places of a common subsequence of two streams of names: a longest one, where CELLS allow to look for it.
+
+    Equal ends are common. Between them only names of both streams count, so
+    that generated names cost nothing. Where even those are too many, each name
+    is met with its next occurrence.
+    """
+    start, end = 0, 0
+    least = min(len(names), len(others))
+    while start < least and names[start] == others[start]:
+        start += 1
+    while end < least - start and names[-1 - end] == others[-1 - end]:
+        end += 1
+    places: dict[str, list[int]] = {}
+    for j in range(start, len(others) - end):
+        places.setdefault(others[j], []).append(j)
+    rows = [i for i in range(start, len(names) - end) if names[i] in places]
+    met = {names[i] for i in rows}
+    columns = [j for j in range(start, len(others) - end) if others[j] in met]
+    pairs = [(k, k) for k in range(start)]
+    if len(rows) * len(columns) <= CELLS:
+        best = [[0] * (len(columns) + 1) for _ in range(len(rows) + 1)]
+        for i in range(len(rows) - 1, -1, -1):
+            for j in range(len(columns) - 1, -1, -1):
+                same = best[i + 1][j + 1] + 1 if names[rows[i]] == others[columns[j]] else 0
+                best[i][j] = max(same, best[i + 1][j], best[i][j + 1])
+        i, j = 0, 0
+        while i < len(rows) and j < len(columns):
+            if names[rows[i]] == others[columns[j]] and best[i][j] == best[i + 1][j + 1] + 1:
+                pairs.append((rows[i], columns[j]))
+                i, j = i + 1, j + 1
+            elif best[i + 1][j] >= best[i][j + 1]:
+                i += 1
+            else:
+                j += 1
+    else:
+        after = start
+        for i in rows:
+            later = places[names[i]]
+            at = bisect_left(later, after)
+            if at < len(later):
+                pairs.append((i, later[at]))
+                after = later[at] + 1
+    return pairs + [(len(names) - k, len(others) - k) for k in range(end, 0, -1)]
+
+
 def aligned(one: list[list], two: list[list]) -> list[list]:
     """Two streams as one: common nodes are merged, the others become optional."""
     names, others = [name_of(n) for n in one], [name_of(n) for n in two]
-    if names == others:
-        return [merged(a, b) for a, b in zip(one, two, strict=True)]
-    best = [[0] * (len(two) + 1) for _ in range(len(one) + 1)]
-    for i in range(len(one) - 1, -1, -1):
-        for j in range(len(two) - 1, -1, -1):
-            same = best[i + 1][j + 1] + 1 if names[i] == others[j] else 0
-            best[i][j] = max(same, best[i + 1][j], best[i][j + 1])
     out, i, j = [], 0, 0
-    while i < len(one) or j < len(two):
-        if i < len(one) and j < len(two) and names[i] == others[j] and best[i][j] == best[i + 1][j + 1] + 1:
-            out.append(merged(one[i], two[j]))
-            i, j = i + 1, j + 1
-        elif j == len(two) or (i < len(one) and best[i + 1][j] >= best[i][j + 1]):
-            out.append(with_times(one[i], "?"))
-            i += 1
-        else:
-            out.append(with_times(two[j], "?"))
-            j += 1
+    for a, b in [*common(names, others), (len(one), len(two))]:
+        out += [with_times(n, "?") for n in one[i:a]] + [with_times(n, "?") for n in two[j:b]]
+        if a < len(one):
+            out.append(merged(one[a], two[b]))
+        i, j = a + 1, b + 1
     return again_folded(out)
 
 
@@ -454,7 +503,7 @@ def main_text(pages: DataFrame) -> DataFrame:
     """The main text of every page: ``page_id``, ``url``, ``text`` and ``n_chars`` (code points).
 
     Character references are decoded, white space inside a block becomes one
-    space, blocks are joined by line breaks in page order. A page without main
+    space, blocks are joined by two line breaks in page order. A page without main
     text, or without html, has the empty text. Pages without a host in their
     url form a group of their own. Other columns are not read; a row comes out
     per row that goes in.
@@ -471,7 +520,7 @@ def main_text(pages: DataFrame) -> DataFrame:
                 main = {tuple(p.split()) for p in chosen_paths}
                 if page.kind == NO_ARTICLE and not any(path in main for path, _, _ in page.blocks):
                     main = own_slots(page, main)
-                texts.append("\n".join(text for path, text, _ in page.blocks if path in main))
+                texts.append("\n\n".join(text for path, text, _ in page.blocks if path in main))
             columns = [
                 batch.column("page_id"),
                 batch.column("url"),

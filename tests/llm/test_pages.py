@@ -41,7 +41,7 @@ def test_articles_of_many_layouts(frame):
             ["", '<section id="comments"><p>First!</p><p>Second</p></section>', "<form><label>Mail</label></form>"]
         )
         rows.append((i, f"https://h{i % 3}.example/p/{i}", page(f"Title {i}", blocks, draw.randint(1, 9), extra, tail)))
-        expected[i] = "\n".join([f"Title {i}", *blocks])
+        expected[i] = "\n\n".join([f"Title {i}", *blocks])
     assert texts(pages.main_text(frame(rows))) == expected
 
 
@@ -50,7 +50,7 @@ def test_article_without_its_element(frame):
     for i in range(30):
         blocks = [f"Paragraph {k} of page {i} has quite a few words in it." for k in range(3)]
         rows.append((i, "http://plain.example/x", page(f"T{i}", blocks, 6, head='div class="post-body"')))
-        expected[i] = "\n".join([f"T{i}", *blocks])
+        expected[i] = "\n\n".join([f"T{i}", *blocks])
     assert texts(pages.main_text(frame(rows))) == expected
 
 
@@ -58,12 +58,12 @@ def test_article_without_its_element(frame):
     "markup, text",
     [
         ("<article><p>a &lt;b&gt;&nbsp; c&#33;\n\td</p></article>", "a <b> c! d"),
-        ("<article><p><b>one<br><p>two</b> three</p></article>", "one\ntwo three"),
-        ("<article><p>x<i>y</i>z</p><ul><li>1<li>2</ul></article>", "xyz\n1\n2"),
+        ("<article><p><b>one<br><p>two</b> three</p></article>", "one\n\ntwo three"),
+        ("<article><p>x<i>y</i>z</p><ul><li>1<li>2</ul></article>", "xyz\n\n1\n\n2"),
         ("<article><p>cut &am", "cut &am"),
         ("<article><p>cut</p><p clas", "cut"),
         ('<article><a title="a>b">link</a> text</article>', "link text"),
-        ("<article><p>1 < 2</p><!-- no --><script>x</article></script><p>3</p></article>", "1 < 2\n3"),
+        ("<article><p>1 < 2</p><!-- no --><script>x</article></script><p>3</p></article>", "1 < 2\n\n3"),
         ("<article><div hidden>no</div><p class='share-box'>no</p><p>yes</p></article>", "yes"),
         ("<ARTICLE><P>Upper</P></ARTICLE>", "Upper"),
         ("just text", "just text"),
@@ -79,14 +79,14 @@ def test_markup(frame, markup, text):
 def test_null_urls_repeats_and_no_rows(frame):
     rows = [(1, None, page("A", ["b"])), (1, None, page("A", ["b"])), (None, "no url", page("C", []))]
     found = pages.main_text(frame(rows))
-    assert sorted(r["text"] for r in found.collect()) == ["A\nb", "A\nb", "C"]
+    assert sorted(r["text"] for r in found.collect()) == ["A\n\nb", "A\n\nb", "C"]
     assert pages.main_text(frame(rows).limit(0)).count() == 0
 
 
 def test_very_long_page(frame):
     long = [f"word {k} " * 20 for k in range(5000)]
     found = pages.main_text(frame([(1, "http://h.example/", page("T", long))])).first()
-    assert found["text"] == "\n".join(["T", *(" ".join(p.split()) for p in long)])
+    assert found["text"] == "\n\n".join(["T", *(" ".join(p.split()) for p in long)])
 
 
 def test_mismatches_become_optional_and_repeated_groups():
@@ -102,7 +102,7 @@ def test_wrappers_meet_in_a_tree(frame, monkeypatch):
     rows = [(i, "http://hot.example/", page(f"T{i}", ["p"] * (i % 5))) for i in range(400)]
     found = pages.wrappers(frame(rows).repartition(13)).collect()
     assert [r["host"] for r in found] == ["hot.example"]
-    assert texts(pages.main_text(frame(rows).repartition(13)))[7] == "T7\np\np"
+    assert texts(pages.main_text(frame(rows).repartition(13)))[7] == "T7\n\np\n\np"
 
 
 @pytest.mark.parametrize("urls", [["http://mixed.example/x"] * 2, [None, "/relative"]])
@@ -112,7 +112,7 @@ def test_pages_with_and_without_the_element_on_one_host(frame, urls):
         blocks = [f"Paragraph {k} of page {i} has quite a few words in it." for k in range(3)]
         head = ["article", 'div class="post-body"', 'div class="text"'][i % 3]
         rows.append((i, urls[i % 3 > 0], page(f"T{i}", blocks, 6, head=head)))
-        expected[i] = "\n".join([f"T{i}", *blocks])
+        expected[i] = "\n\n".join([f"T{i}", *blocks])
     rows.append((60, urls[0], page("", [], head="article")))
     rows.append((61, urls[1], page("", [], head='div class="post-body"')))
     assert texts(pages.main_text(frame(rows))) == expected | {60: "", 61: ""}
@@ -158,5 +158,46 @@ def test_layout_elements_inside_and_on_some_pages(frame):
         (5, "http://d.example/", f'<div class="has-sidebar" role="main"><h1>T</h1>{body}</div>'),
         (6, "http://e.example/", f'<div class="post"><h1>T</h1>{body}</div>{comments.replace("article", "div")}'),
     ]
-    expected = "\n".join(["T", *["A paragraph with quite a few words in it."] * 3])
+    expected = "\n\n".join(["T", *["A paragraph with quite a few words in it."] * 3])
     assert texts(pages.main_text(frame(rows))) == dict.fromkeys(range(1, 7), expected)
+
+
+@pytest.mark.parametrize("tag", ["div", "article", "nav", "b", "div class=sidebar"])
+def test_deep_nesting(frame, tag):
+    """5,000 open elements: a text inside keeps its block, and furniture stays out."""
+    inner = f"<{tag}>" * 5000 + "deep" + "<p>deeper</p><nav>menu</nav>"
+    rows = [(1, "http://a.x/1", f"<article><h1>T</h1><p>ok</p>{inner}"), (2, "http://a.x/2", "<article><h1>T</h1><p>ok</p></article>")]
+    found = texts(pages.main_text(frame(rows)))
+    assert found[2] == "T\n\nok"
+    inside = {"div": "T\n\nok\n\ndeep\n\ndeeper", "article": "T\n\nok\n\ndeep\n\ndeeper", "b": "T\n\nok\n\ndeep\n\ndeeper"}
+    if tag in inside:
+        assert found[1] == inside[tag]
+    else:
+        assert found[1].startswith("T\n\nok") and "menu" not in found[1]
+
+
+def test_many_differently_named_children(frame):
+    """30,000 children with names of their own on each of two pages of a host."""
+    rows = []
+    for i in (1, 2):
+        blocks = "".join(f'<div class="{"".join(chr(97 + int(c)) for c in str(k))}{"xy"[i - 1]}z">w{k}</div>' for k in range(30_000))
+        rows.append((i, f"http://a.x/{i}", f"<nav>menu</nav><article><h1>T</h1>{blocks}</article>"))
+    found = texts(pages.main_text(frame(rows)))
+    assert found[1] == "\n\n".join(["T", *[f"w{k}" for k in range(30_000)]]) == found[2]
+
+
+def test_common_names(monkeypatch):
+    draw = random.Random(3)
+    for limit in (1_000_000, 10):
+        monkeypatch.setattr(pages, "CELLS", limit)
+        for _ in range(200):
+            one, two = ([draw.choice("abcdefgh"[: draw.randint(1, 8)]) for _ in range(draw.randint(0, 12))] for _ in range(2))
+            pairs = pages.common(one, two)
+            assert all(one[i] == two[j] for i, j in pairs)
+            assert all(a < c and b < d for (a, b), (c, d) in zip(pairs, pairs[1:], strict=False))
+            if limit > 10:
+                best = [[0] * (len(two) + 1) for _ in range(len(one) + 1)]
+                for i in range(len(one)):
+                    for j in range(len(two)):
+                        best[i + 1][j + 1] = max(best[i][j] + (one[i] == two[j]), best[i][j + 1], best[i + 1][j])
+                assert len(pairs) == best[-1][-1]
