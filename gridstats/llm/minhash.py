@@ -523,10 +523,35 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = SHINGLE) ->
     )
 
 
+def own_keys(docs: DataFrame, key: str) -> DataFrame:
+    """``docs`` with a bigint ``key`` that only equal texts of one id share.
+
+    It is the id itself, but for rows without id and for ids with several
+    texts: of those all but one text get a hash of id and text, 2**62 or more,
+    so that of a group a document with an id of its own stays.
+    """
+    ident, mark = F.col("doc_id").cast("bigint"), F.xxhash64("text")
+    first, again = fresh(docs, "_first"), fresh(docs, "_again")
+    several = (
+        docs.where(ident.isNotNull())
+        .groupBy(ident.alias(again))
+        .agg(F.min(mark).alias(first), F.max(mark).alias("_last"))
+        .where(F.col(first) != F.col("_last"))
+        .select(again, first)
+    )
+    hashed = F.xxhash64("doc_id", "text").bitwiseAND((1 << 62) - 1) + F.lit(1 << 62)
+    own = F.when(ident.isNull() | (F.col(first) != mark), hashed).otherwise(ident)
+    return docs.join(keep(several), ident == F.col(again), "left").withColumn(key, own).drop(first, again)
+
+
 def one_of_each(docs: DataFrame, percent: int = 75, width: int = SHINGLE) -> DataFrame:
-    """``docs`` with one document of each group, all columns; a repeated row counts as a copy."""
-    name = fresh(docs, "_kept")
-    kept = near_duplicates(docs, percent, width).where("kept and doc_id is not null")
-    ids = kept.select(F.col("doc_id").alias(name)).distinct()
-    rows = docs.join(ids, F.col("doc_id").cast("bigint") == F.col(name), "left_semi")
-    return rows.dropDuplicates(["doc_id"]).unionAll(docs.where("doc_id is null"))
+    """``docs`` with one document of each group, all columns; a repeated row counts as a copy.
+
+    Rows that share an id but not the text are documents of their own, and rows
+    without id take part in the search.
+    """
+    key = fresh(docs, "_kept")
+    keyed = keep(own_keys(docs, key))
+    found = near_duplicates(keyed.select(F.col(key).alias("doc_id"), "text"), percent, width)
+    ids = found.where("kept").select(F.col("doc_id").alias(key)).distinct()
+    return keyed.join(ids, key, "left_semi").dropDuplicates([key]).drop(key)

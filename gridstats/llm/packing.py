@@ -39,21 +39,22 @@ _PACKED = f"{_PIECE}, bucket bigint, sequence_id bigint, offset bigint, open boo
 
 
 def pieces(
-    docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2
+    docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2, with_ids: bool = True
 ) -> DataFrame:
     """Token pieces of every whole text, with ``end_id`` after its ids.
 
     Only a document of more than ``capacity`` ids is cut: into pieces of
     ``capacity``, the first of which holds what is left over. A null text is
     empty: one piece with the end id. Returns ``doc_id``, ``piece``, ``start``,
-    ``length``, ``ids_crc32`` and ``ids`` (little-endian unsigned 32-bit).
+    ``length``, ``ids_crc32`` and, unless ``with_ids`` is off, ``ids``
+    (little-endian unsigned 32-bit).
     """
     ship(docs.sparkSession)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, end = spaced_ids(tokenizer), end_id.to_bytes(4, "little")
         for batch in batches:
-            row, number, starts, ids = [], [], [], []
+            row, number, starts, lengths, sums, ids = [], [], [], [], [], []
             texts = batch.column("text").to_pylist()
             for at, coded in enumerate(encoder.encode(texts)):
                 coded += end
@@ -64,19 +65,26 @@ def pieces(
                     row.append(at)
                     number.append(k)
                     starts.append(start)
-                    ids.append(coded[4 * start : 4 * stop])
+                    part = coded[4 * start : 4 * stop]
+                    lengths.append(stop - start)
+                    sums.append(zlib.crc32(part))
+                    if with_ids:
+                        ids.append(part)
             columns = [
                 batch.column("doc_id").take(pa.array(row, pa.int64())),
                 pa.array(number, pa.int32()),
                 pa.array(starts, pa.int64()),
-                pa.array([len(x) // 4 for x in ids], pa.int64()),
-                pa.array([zlib.crc32(x) for x in ids], pa.int64()),
-                pa.array(ids, pa.binary()),
+                pa.array(lengths, pa.int64()),
+                pa.array(sums, pa.int64()),
             ]
-            names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"]
+            names = ["doc_id", "piece", "start", "length", "ids_crc32"]
+            if with_ids:
+                columns.append(pa.array(ids, pa.binary()))
+                names.append("ids")
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(cut, f"{_PIECE}, ids binary")
+    schema = f"{_PIECE}, ids binary" if with_ids else _PIECE
+    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(cut, schema)
 
 
 def best_filling(sizes: list[int], counts: dict[int, int], room: int) -> list[list[int]]:
@@ -262,5 +270,4 @@ def packed(
     docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2
 ) -> DataFrame:
     """``pack`` over the ``pieces`` of documents."""
-    cut = pieces(docs, tokenizer, capacity, end_id)
-    return pack(cut.drop("ids"), capacity)
+    return pack(pieces(docs, tokenizer, capacity, end_id, with_ids=False), capacity)

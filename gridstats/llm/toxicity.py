@@ -23,7 +23,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from gridstats.llm.names import fresh
 from gridstats.shipping import ship
 from gridstats.sources import keep
 
@@ -294,7 +293,18 @@ def _with_scores(docs: DataFrame, lexicon: Lexicon, name: str) -> DataFrame:
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
-    """The documents that the fitted lexicon does not call toxic, with all their columns."""
-    name = fresh(docs, "_score")
-    rows = _with_scores(docs, fit(docs, labels, fit_rows), name)
-    return rows.where(F.col(name) < 0.5).drop(name)
+    """The documents that the fitted lexicon does not call toxic, with all their columns.
+
+    Only the texts go to Python and only their scores come back.
+    """
+    lexicon = fit(docs, labels, fit_rows)
+    ship(docs.sparkSession)
+
+    @F.arrow_udf("double")
+    def scores(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        automaton = lexicon.automaton()
+        for batch in batches:
+            found = np.array([features(folded(t.as_py()), automaton) for t in batch]).reshape(-1, 2)
+            yield pa.array(lexicon.score(found), pa.float64())
+
+    return docs.where(scores("text") < 0.5)

@@ -78,7 +78,9 @@ def test_repeated_rows_and_missing_ids(documents):
     docs = documents(rows, clashing=True)
     kept = minhash.one_of_each(docs)
     assert kept.columns == docs.columns
-    assert sorted(str(r["doc_id"]) for r in kept.collect()) == ["5", "None"]
+    # Two texts, one document of each; a row without id is a copy like others.
+    stay = sorted((r["doc_id"], r["text"]) for r in kept.collect())
+    assert [i for i, _ in stay] in ([5, 7], [5, 5]) and {t for _, t in stay} == {text, "other words here"}
     assert minhash.near_duplicates(docs.limit(0)).count() == 0
 
 
@@ -115,3 +117,19 @@ def test_components_of_long_chains_hubs_and_loops(spark):
         **{i: 20_001 for i in (20_001, 20_003, 20_005)},
     }
     assert components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
+def test_ids_that_are_shared_or_missing_lose_no_text(documents, words):
+    """Of rows with one id each text stays, near copies without id go, and repeated rows count once."""
+    texts = [" ".join(words(40)) for _ in range(5)]
+    rows = [(1, texts[0]), (1, texts[1]), (1, texts[1]), (2, texts[2]), (None, texts[3]), (None, texts[3] + " more")]
+    rows += [(None, texts[4]), (3, texts[1]), (2, None), (4, "")]
+    docs = documents(rows, clashing=True)
+    for parts in (1, 7):
+        kept = minhash.one_of_each(docs.repartition(parts))
+        assert kept.columns == docs.columns
+        found = sorted((r["doc_id"] or 0, r["text"] or "") for r in kept.select("doc_id", "text").collect())
+        assert [t for _, t in found if t in texts or t.endswith(" more")] and len(found) == 7
+        for text in (texts[0], texts[1], texts[2], texts[4]):
+            assert sum(t == text for _, t in found) == 1
+        assert sum(t.startswith(texts[3]) for _, t in found) == 1
