@@ -2,26 +2,29 @@
 
 No vocabulary used here has a token that runs across the space before a word,
 so a text's ids are those of its chunks one after the other. Words repeat, so
-each worker process remembers the chunks it has met lately.
+each worker process remembers the chunks it has met lately. New chunks are
+encoded many at once, as one text with a mark between them.
 """
 
 from __future__ import annotations
 
+import os
 import re
 from array import array
 from collections.abc import Iterable
 
+import numpy as np
+
 #: Chunks that a cache remembers before its older half is dropped.
 REMEMBERED = 300_000
 #: Longer chunks are encoded anew each time.
 LONGEST_REMEMBERED = 64
 #: Characters of text that are looked up at once.
-SLICE = 1 << 20
-_LATIN = "A-Za-zÀ-ÖØ-öø-ÿ"
-_UNSAFE = re.compile(r"[^\x00-&(-~À-ÖØ-öø-ÿ]")
-_WHITE = re.compile(r"\s\s")
-_LETTERS = re.compile(rf"[{_LATIN}]+|[^{_LATIN} ]+")
-_SPACED = re.compile(rf" ?[{_LATIN}]+|[^{_LATIN}]+?(?= ?[{_LATIN}]|\Z)")
+SLICE = 1 << 18
+#: New chunks that are encoded as one text.
+JOINED = 1024
+_UNSAFE = re.compile(r"[^ -&(-~À-ÖØ-öø-ÿ]")
+_LONG = re.compile(r"[^\x00-\xff]")
 _LOOSE_SPACE = re.compile(r" (?=\s|$)")
 _encoders: dict[tuple, object] = {}
 
@@ -50,69 +53,98 @@ class Remembered:
 
 
 def spaced_chunks(text: str) -> list[str]:
-    """Pieces that start with the space before a word; joined they give the text.
+    """Words without the space before them; the first one, which may have none, is marked by a space.
 
-    A space that another white space follows stays with the piece before it,
+    A space that another white space follows stays with the word before it,
     because tokenizers treat runs of white space as a whole.
     """
-    first, *rest = text.split(" ")
+    words = text.split(" ")
+    words[0] = f" {words[0]}"
     if not _LOOSE_SPACE.search(text):
-        return [first, *[f" {word}" for word in rest]]
-    pieces = [first]
-    for word in rest:
+        return words
+    chunks = words[:1]
+    for word in words[1:]:
         if not word or word[0].isspace():
-            pieces[-1] += f" {word}"
+            chunks[-1] += f" {word}"
         else:
-            pieces.append(f" {word}")
-    return pieces
+            chunks.append(word)
+    return chunks
 
 
 def word_chunks(text: str) -> list[str]:
-    """Pieces between spaces, for a vocabulary that ignores white space."""
-    return [word for word in text.split(" ") if word]
-
+    """Words between spaces, for a vocabulary that ignores white space and case.
 
-def spaced_pieces(text: str) -> list[str]:
-    """A text cut between letters and other signs, where no token lies across.
-
-    Letters keep a space before them. With apostrophes, letters beyond Latin-1
-    or neighbouring white space the rules differ: then it is cut into chunks.
+    Letters beyond Latin-1 are left to the library's own rules of case.
     """
-    if _UNSAFE.search(text) or _WHITE.search(text):
-        return spaced_chunks(text)
-    return _SPACED.findall(text)
+    return (text if _LONG.search(text) else text.lower()).split(" ")
 
 
-def word_pieces(text: str) -> list[str]:
-    """As ``spaced_pieces`` for a vocabulary of lower case words without white space."""
-    return word_chunks(text) if _UNSAFE.search(text) else _LETTERS.findall(text.lower())
+def spaced_text(chunk: str) -> str:
+    """A chunk of ``spaced_chunks`` as it stands in its text."""
+    return chunk[1:] if chunk[:1] == " " else f" {chunk}"
 
 
 class TokenIds:
     """Ids as little-endian unsigned 32-bit integers, by a tokenizers file.
 
-    ``pieces`` cuts a text where its ids fall apart. A text that might hold a
-    special string is encoded whole, so that the library finds it.
+    ``chunks`` cuts a text where its ids fall apart, and ``written`` gives back
+    what a chunk stands for. A text that might hold a special string is encoded
+    whole, so that the library finds it. ``mark`` is a sign whose ids stand
+    alone between any two chunks of ASCII and Latin-1 letters, digits and signs
+    other than apostrophes; other chunks are encoded one by one.
     """
 
-    def __init__(self, path: str, pieces):
+    def __init__(self, path: str, chunks, written, mark: str):
         from tokenizers import Tokenizer
 
+        # A task has one core; the library's own threads would spin on the others.
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.pieces = pieces
+        self.chunks, self.mark = chunks, mark
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.cache = Remembered(self._encode)
-
-    def _encode(self, pieces: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
-        return [array("I", e.ids).tobytes() for e in found]
+        self.mark_ids = self.tokenizer.encode(mark, add_special_tokens=False).ids
+        self.cache = Remembered(lambda found: self._encode([written(chunk) for chunk in found]))
+
+    def _encode(self, chunks: list[str]) -> list[bytes]:
+        out = [b""] * len(chunks)
+        plain = [c[-1:] not in ("", " ") and not _UNSAFE.search(c) for c in chunks]
+        alone = [at for at, is_plain in enumerate(plain) if not is_plain]
+        plain = [at for at, is_plain in enumerate(plain) if is_plain]
+        for start in range(0, len(plain), JOINED):
+            part = plain[start : start + JOINED]
+            found = self._joined([chunks[at] for at in part])
+            if found is None:
+                alone += part
+                continue
+            for at, ids in zip(part, found, strict=True):
+                out[at] = ids
+        several = self.tokenizer.encode_batch_fast([chunks[at] for at in alone], add_special_tokens=False)
+        for at, one in zip(alone, several, strict=True):
+            out[at] = array("I", one.ids).tobytes()
+        return out
+
+    def _joined(self, chunks: list[str]) -> list[bytes] | None:
+        """Ids of chunks that are encoded as one text; None if the marks are not met as often as they were set."""
+        [one] = self.tokenizer.encode_batch_fast([self.mark.join(chunks)], add_special_tokens=False)
+        ids = np.array(one.ids, "<u4")
+        width = len(self.mark_ids)
+        is_mark = np.ones(max(0, len(ids) - width + 1), bool)
+        for k, number in enumerate(self.mark_ids):
+            is_mark &= ids[k : k + len(is_mark)] == number
+        marks = np.flatnonzero(is_mark)
+        if len(marks) != len(chunks) - 1:
+            return None
+        raw = ids.tobytes()
+        starts = [0, *(4 * (marks + width)).tolist()]
+        stops = [*(4 * marks).tolist(), len(raw)]
+        return [raw[start:stop] for start, stop in zip(starts, stops, strict=True)]
 
     def encode(self, texts: Iterable[str | None]) -> Iterable[bytes]:
         for part in slices(texts):
             special = [any(s in text for s in self.specials) for text in part]
-            cut = [[] if odd else self.pieces(text) for text, odd in zip(part, special, strict=True)]
+            cut = [[] if odd else self.chunks(text) for text, odd in zip(part, special, strict=True)]
             for text, odd, found in zip(part, special, self.cache.lists(cut), strict=True):
                 yield self._encode([text])[0] if odd else b"".join(found)
 
@@ -132,12 +164,12 @@ def slices(texts: Iterable[str | None]) -> Iterable[list[str]]:
 
 def spaced_ids(path: str) -> TokenIds:
     """This process's encoder for a byte-level vocabulary that keeps white space."""
-    return held(("spaced", path), lambda: TokenIds(path, spaced_pieces))
+    return held(("spaced", path), lambda: TokenIds(path, spaced_chunks, spaced_text, "\n"))
 
 
 def word_ids(path: str) -> TokenIds:
     """This process's encoder for a vocabulary that ignores white space."""
-    return held(("word", path), lambda: TokenIds(path, word_pieces))
+    return held(("word", path), lambda: TokenIds(path, word_chunks, str, "²"))
 
 
 def held(key: tuple, make):

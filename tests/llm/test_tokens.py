@@ -34,6 +34,19 @@ def test_pieces_give_the_ids_of_the_whole_text(name, make, vocabulary):
         assert np.frombuffer(ids, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, text
 
 
+@pytest.mark.parametrize(
+    "name, make",
+    [("byte_bpe_50k.json", encoders.spaced_ids), ("word_bpe_49k.json", encoders.word_ids)],
+)
+def test_chunks_encoded_as_one_text(name, make, vocabulary):
+    """Chunks of every printable sign of two bytes at most, each beside marks and letters."""
+    library, encoder = Tokenizer.from_file(vocabulary(name)), make(vocabulary(name))
+    signs = [chr(c) for c in range(0x800) if chr(c).isprintable() and chr(c) != " "]
+    chunks = [x for s in signs for x in (s, f"{s}a", f" {s}", f"A{s}1", f" a{s}{s}", f"{s}²")]
+    for chunk, ids in zip(chunks, encoder._encode(chunks), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == library.encode(chunk, add_special_tokens=False).ids, chunk
+
+
 def test_every_prefix_has_the_count_of_the_library(vocabulary):
     path = vocabulary("piece_bpe_32k.model")
     library = sentencepiece.SentencePieceProcessor(model_file=path)
