@@ -35,6 +35,10 @@ from gridstats.sources import keep, shared_folder
 MAGIC = b"BPLANE1\n"
 #: Ids in one block.
 BLOCK = 1 << 16
+#: Bytes of text of one shard, about.
+SHARD = 1 << 25
+#: Tasks that read shards, at most; each then takes several.
+READERS = 20_000
 _NO_ID = -(1 << 63)
 _FOOTER = struct.Struct("<5Q")
 
@@ -174,17 +178,25 @@ def write_shards(
 ) -> DataFrame:
     """Encode every whole text, add ``end_id`` and write the ids in ascending ``doc_id`` order.
 
-    Documents are dealt to shards by ranges of ``doc_id`` (null first, repeated
-    ids by text), a shard per shuffle partition; the text is encoded where its
-    shard is written. Returns the manifest, which is written to ``folder`` too:
-    ``shard``, ``path``, ``n_docs``, ``n_ids`` and ``start``, the ids of all
+    Documents are dealt to shards by ranges of ``doc_id`` (null first; rows that
+    share an id by a hash of the text, equal rows by their place, so that no id
+    fills a shard), a shard per SHARD bytes of text; the text is encoded where
+    its shard is written. Returns the manifest, which is written to ``folder``
+    too: ``shard``, ``path``, ``n_docs``, ``n_ids`` and ``start``, the ids of all
     earlier shards. An empty table gives an empty manifest.
     """
     spark = docs.sparkSession
     ship(spark)
-    shards = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    rows = docs.select(F.col("doc_id").cast("bigint"), "text")
-    ranges = rows.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "text")
+    size = docs.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("bigint")).first()[0]
+    shards = max(1, -(-(size or 0) // SHARD))
+    order = ["doc_id", "draw", "place"]
+    rows = docs.select(
+        F.col("doc_id").cast("bigint"),
+        "text",
+        F.xxhash64("text").alias("draw"),
+        F.monotonically_increasing_id().alias("place"),
+    )
+    ranges = rows.repartitionByRange(shards, *order).sortWithinPartitions(*order).select("doc_id", "text")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, end, writer = word_ids(tokenizer), end_id.to_bytes(4, "little"), None
@@ -212,8 +224,8 @@ def write_shards(
 
     written = ranges.mapInArrow(write, "shard bigint, file string, n_docs bigint, n_ids bigint")
     written = keep(written)
-    # One row per shard, of which there are as many as shuffle partitions.
-    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    # One row per shard: 3 million for 100 TB of text.
+    before =Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     manifest = written.select(
         "shard",
         F.concat(F.lit(f"{folder}/"), "file").alias("path"),
@@ -247,9 +259,9 @@ def read_shards(manifest: DataFrame) -> DataFrame:
                     if found:
                         yield _batch(found)
 
-    spread = manifest.select("path", "start").repartition(
-        max(1, int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "path"
-    )
+    # A row here is a whole shard of work, so tasks are made by rows, not by bytes.
+    shards = manifest.count()
+    spread = manifest.select("path", "start").repartitionByRange(max(1, min(shards, READERS)), "path")
     return spread.mapInArrow(read, "doc_id bigint, start bigint, n_tokens bigint, ids binary")
 
 

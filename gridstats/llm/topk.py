@@ -25,6 +25,8 @@ from gridstats.sources import keep
 QUERIES, CANDIDATES, DIMENSIONS = 512, 2048, 16
 #: Below this, sums of whole numbers are exact as doubles.
 _EXACT = float(1 << 53)
+#: The largest score; greater ones, and those below its negative, are given as these.
+LONGEST = 2**63 - 1
 
 
 def quantised(vectors: DataFrame, scale: float = 256.0) -> DataFrame:
@@ -77,7 +79,7 @@ def exact_search(query: np.ndarray, tile: np.ndarray, own: list[int]):
     alive = np.delete(np.arange(tile.shape[1]), own)
     whole = [int(q) for q in query]
     score = [sum(q * int(v) for q, v in zip(whole, tile[:, c], strict=True)) for c in alive]
-    return alive, np.array(score, dtype=object)
+    return alive, np.array([min(max(s, -LONGEST), LONGEST) for s in score], dtype=object)
 
 
 def _tile(k: int):
@@ -124,21 +126,23 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: float = 256.0
     non-finite components, and rows without id, take no part. Shorter vectors
     are padded with zeros. A repeated row is a candidate of its own, but not
     for the query of its id; queries that share an id are one, the smallest by
-    bytes. Queries and candidates meet tile by tile, and a tile returns at
-    most k rows per query.
+    bytes. A score beyond a long counts as the longest one of its sign.
+    Queries and candidates meet tile by tile, candidates dealt over the tiles
+    by their place in the written table, and a tile returns at most k rows per
+    query.
     """
     rows = keep(quantised(vectors, scale))
     queries = keep(rows.where(is_query).groupBy("vec_id").agg(F.min("units").alias("units")))
     columns = max(1, -(-rows.count() // CANDIDATES))
     lines = max(1, -(-queries.count() // QUERIES))
-    column = F.pmod(F.xxhash64("vec_id"), F.lit(columns)).cast("int")
+    # A row's place does not change, as the table is written; rows that share an id come apart.
+    column = F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), F.lit(columns)).cast("int")
     line = F.pmod(F.xxhash64("vec_id"), F.lit(lines)).cast("int")
     asked = queries.select(
         "vec_id", "units", line.alias("line"), F.explode(F.sequence(F.lit(0), F.lit(columns - 1))).alias("column")
     )
-    found = rows.select(
-        "vec_id", "units", F.explode(F.sequence(F.lit(0), F.lit(lines - 1))).alias("line"), column.alias("column")
-    )
+    found = rows.select("vec_id", "units", column.alias("column"))
+    found = found.select("*", F.explode(F.sequence(F.lit(0), F.lit(lines - 1))).alias("line"))
     tiles = (
         asked.groupBy("line", "column")
         .cogroup(found.groupBy("line", "column"))

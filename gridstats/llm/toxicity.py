@@ -30,8 +30,8 @@ from gridstats.sources import keep
 FIT_ROWS = 12_000
 #: Lengths of word beginnings that may become entries.
 BEGINNINGS = (4, 5, 6, 7)
-#: Log odds of an entry, toxic texts that must hold it, and their least share, and entries at most.
-LEAST_ODDS, LEAST_TEXTS, LEAST_SHARE, MOST_ENTRIES = 3.0, 6, 0.003, 1000
+#: Log odds of an entry, toxic texts that must hold it, and their least share.
+LEAST_ODDS, LEAST_TEXTS, LEAST_SHARE = 3.0, 6, 0.003
 
 # Letters of other scripts that look like Latin ones.
 HOMOGLYPHS = str.maketrans(
@@ -105,7 +105,7 @@ def features(text: str, automaton) -> tuple[float, float]:
             hits = outside(hits, spared)
         total = sum(weight for _, _, weight in hits)
     words = max(1, text.count(" ") - 1)
-    return math.log1p(total), min(100.0 * total / words, 1000.0)
+    return math.log1p(total), 100.0 * total / words
 
 
 def outside(hits: list[tuple], spared: list[tuple]) -> list[tuple]:
@@ -129,7 +129,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS)
 
     Labels of documents whose ``crc32(doc_id as text) mod 5`` is 0, null ones
     and repeats are not used. Where there are more than ``fit_rows``, those
-    with the smallest hashes of their id are taken, a documented bound.
+    with the smallest hashes of their id are taken, a documented bound. Rows
+    that share an id count once, by the smallest text.
     """
     known = (
         labels.where(~held_out() & F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull())
@@ -140,7 +141,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS)
     share = fit_rows * 1.2 / max(1, known.count())
     near = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < min(1.0, share) * (1 << 30)
     chosen = known.where(near).orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic")
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most fit_rows ids
+    return texts.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).select("text", "toxic")
 
 
 def held_out():
@@ -185,8 +187,8 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Lexicon
         .withColumn("odds", odds)
         .where((F.col("toxic") >= least) & (F.col("odds") >= LEAST_ODDS))
         .orderBy(F.desc("toxic"), F.desc(F.length("entry")), "entry")
-        .limit(20 * MOST_ENTRIES)
     )
+    # All entries that pass: their number is bounded by the sample, whose toxic texts each hold a share of them.
     lexicon = Lexicon(weights=widest([(r["entry"], r["odds"], r["toxic"]) for r in strong.collect()]))
     lexicon.exceptions = exceptions(rows, lexicon, n_toxic, n_clean)
     lexicon.intercept, lexicon.slopes = calibrated(rows, lexicon)
@@ -203,7 +205,7 @@ def widest(ordered: list[tuple[str, float, int]]) -> dict[str, float]:
     met: dict[str, int] = {}
     for entry, weight, texts in ordered:
         beginnings = [entry[: k + 1] for k in range(min(BEGINNINGS), len(entry))]
-        if met.get(entry) == texts or any(b in kept for b in beginnings) or len(kept) >= MOST_ENTRIES:
+        if met.get(entry) == texts or any(b in kept for b in beginnings):
             continue
         kept[entry] = weight
         for beginning in beginnings:
@@ -230,8 +232,7 @@ def exceptions(rows: DataFrame, lexicon: Lexicon, n_toxic: int, n_clean: int) ->
 
     odds = F.log((F.col("toxic") + 0.5) / (n_toxic + 1)) - F.log((F.col("clean") + 0.5) / (n_clean + 1))
     harmless = counts(rows, phrases).where((F.col("clean") >= LEAST_TEXTS) & (odds < 0))
-    top = harmless.orderBy(F.desc("clean"), "entry").limit(MOST_ENTRIES)
-    return {r["entry"] for r in top.collect()}
+    return {r["entry"] for r in harmless.select("entry").collect()}
 
 
 def calibrated(rows: DataFrame, lexicon: Lexicon) -> tuple[float, tuple[float, float]]:

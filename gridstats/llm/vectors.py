@@ -29,6 +29,8 @@ from gridstats.sources import keep
 TABLES, HASHES, PROBES = 10, 2, 2
 #: Rows of a bucket that one block holds, about.
 BLOCK = 1024
+#: Linked pairs of two blocks whose codes are compared at once.
+PAIRS = 1 << 16
 
 
 def as_rows(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
@@ -130,7 +132,10 @@ def group_labels(linked: np.ndarray) -> np.ndarray:
     """Per row of a symmetric link matrix, the smallest row reachable."""
     labels = np.arange(len(linked))
     while True:
-        low = np.minimum(labels, np.where(linked, labels, len(labels)).min(axis=1, initial=len(labels)))
+        low = labels.copy()
+        for start in range(0, len(labels), 256):  # rows at a time: the matrix of labels is eight times the links'
+            some = np.where(linked[start : start + 256], labels, len(labels)).min(axis=1, initial=len(labels))
+            low[start : start + 256] = np.minimum(low[start : start + 256], some)
         low = low[low]
         if (low == labels).all():
             return labels
@@ -150,30 +155,33 @@ def compare(rows: pd.DataFrame, threshold: float) -> pd.DataFrame | None:
     linked &= ids[:, None] != ids[None, :]
     if low != high:
         linked &= block[:, None] != block[None, :]
-    i, j = np.nonzero(np.triu(linked, 1))
+    del cosine
+    i, j = (found.astype(np.int32) for found in np.nonzero(np.triu(linked, 1)))
     if not len(i):
         return None
     every = np.frombuffer(b"".join(rows["packed"]), dtype=np.int64).reshape(len(rows), TABLES, -1)
-    # The first table where the two meet, and there the bucket of the smaller id if it will do.
-    a = np.where(ids[i] < ids[j], i, j)
-    b = i + j - a
-    a_in_b = (every[a][:, :, :1] == every[b]).any(axis=2)  # b goes to a's own bucket
-    b_in_a = (every[b][:, :, :1] == every[a]).any(axis=2)
-    meets = a_in_b | b_in_a
-    first = meets.argmax(axis=1)
-    at = np.arange(len(a))
-    place = np.where(a_in_b[at, first], every[a][at, first, 0], every[b][at, first, 0])
-    mine = (first == table) & (place == bucket)
-    a, b = a[mine], b[mine]
-    if not len(a):
-        return None
     weight = rows["copies"].to_numpy()
     links = np.zeros(len(rows), dtype=np.int64)
-    np.add.at(links, a, weight[b])
-    np.add.at(links, b, weight[a])
-    found = np.zeros_like(linked)
-    found[a, b] = found[b, a] = True
-    root = group_labels(found)
+    linked[:] = False
+    for start in range(0, len(i), PAIRS):
+        some_i, some_j = i[start : start + PAIRS], j[start : start + PAIRS]
+        # The first table where the two meet, and there the bucket of the smaller id if it will do.
+        a = np.where(ids[some_i] < ids[some_j], some_i, some_j)
+        b = some_i + some_j - a
+        of_a, of_b = every[a], every[b]
+        a_in_b = (of_a[:, :, :1] == of_b).any(axis=2)  # b goes to a's own bucket
+        b_in_a = (of_b[:, :, :1] == of_a).any(axis=2)
+        first = (a_in_b | b_in_a).argmax(axis=1)
+        at = np.arange(len(a))
+        place = np.where(a_in_b[at, first], of_a[at, first, 0], of_b[at, first, 0])
+        mine = (first == table) & (place == bucket)
+        a, b = a[mine], b[mine]
+        np.add.at(links, a, weight[b])
+        np.add.at(links, b, weight[a])
+        linked[a, b] = linked[b, a] = True
+    if not links.any():
+        return None
+    root = group_labels(linked)
     some = links > 0
     return pd.DataFrame({"id": ids[some], "links": links[some], "root": ids[root[some]]})
 

@@ -118,3 +118,16 @@ def test_a_block_is_read_alone(spark, documents, vocabulary, words):
         whole = np.concatenate([reader.block(k) for k in range(len(reader.n_ids))])
         assert len(reader.n_ids) > 1
         assert (reader.block(1) == whole[planes.BLOCK : 2 * planes.BLOCK]).all()
+
+
+def test_rows_of_one_id_fill_several_shards(spark, documents, vocabulary, monkeypatch):
+    """The shards follow the bytes of text; neither an id nor equal rows nor rows without id fill one."""
+    monkeypatch.setattr(planes, "SHARD", 4000)
+    path = vocabulary("word_bpe_49k.json")
+    rows = [(7, "same text of some words")] * 900 + [(7, f"text {i}") for i in range(300)] + [(None, None)] * 900 + [(9, "z")]
+    manifest = planes.write_shards(documents(rows).repartition(3), path, planes.new_folder(spark))
+    sizes = [r["n_docs"] for r in manifest.collect()]
+    assert sum(sizes) == len(rows) and len(sizes) >= 5 and max(sizes) < len(rows) / 2
+    found = sorted(planes.read_shards(manifest).collect(), key=lambda r: r["start"])
+    assert [r["doc_id"] for r in found] == [None] * 900 + [7] * 1200 + [9]
+    assert all(a["start"] + a["n_tokens"] == b["start"] for a, b in zip(found, found[1:], strict=False))

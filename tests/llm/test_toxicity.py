@@ -90,3 +90,27 @@ def test_filter_keeps_columns(labelled):
     ids = {r["doc_id"] for r in kept.select("doc_id").collect()}
     assert sum(not marks[i] for i in ids) >= 0.99 * sum(not t for t in marks.values())
     assert sum(marks[i] for i in ids) <= 0.03 * sum(marks.values())
+
+
+def test_repeated_ids_count_once(labelled):
+    docs, labels, _ = labelled
+    assert toxicity.training_rows(docs.unionAll(docs), labels).count() == toxicity.training_rows(docs, labels).count()
+    assert toxicity.fit(docs.unionAll(docs), labels) == toxicity.fit(docs, labels)
+
+
+def test_all_useful_entries_are_kept(documents, spark):
+    """2,000 toxic words, each in eight texts, held out or not; none that is met often enough is left out."""
+    names = ["".join("aeioubcdfg"[int(d)] for d in f"{n:04d}") + "zq" for n in range(2000)]
+    toxic = [(i, " ".join(names[(20 * i + k) % 2000] for k in range(40))) for i in range(400)]
+    clean = [(i, "plain words " * 5) for i in range(1000, 3000)]
+    labels = spark.createDataFrame([(i, 1, int(i < 400), 0) for i, _ in toxic + clean], LABELS)
+    rows = toxicity.training_rows(documents(toxic + clean), labels)
+    n_toxic = rows.where("toxic = 1").count()
+    lexicon = toxicity.fit(documents(toxic + toxic + clean), labels)
+    met = {w for r in rows.where("toxic = 1").collect() for w in r["text"].split()}
+    texts = [set(r["text"].split()) for r in rows.where("toxic = 1").collect()]
+    least = max(toxicity.LEAST_TEXTS, -(-toxicity.LEAST_SHARE * n_toxic // 1))
+    wanted = {w for w in met if sum(w in t for t in texts) >= least}
+    automaton = lexicon.automaton()
+    assert len(wanted) > 1200
+    assert all(toxicity.features(f" {w} ", automaton)[0] > 0 for w in wanted)

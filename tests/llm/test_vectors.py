@@ -119,3 +119,39 @@ def test_top_k_with_repeated_query_rows(spark):
     assert sorted((r["rank"], r["vec_id"], r["score"]) for r in found) == [
         (k + 1, i, -s) for k, (s, i) in enumerate(best)
     ]
+
+
+def test_scores_beyond_a_long(spark):
+    rows = [(0, [1e15, 1.0], 0, 0), (1, [1e15, 2.0], 0, 0), (2, [-1e15, 1.0], 0, 0), (3, [1e15, 9.0], 0, 0), (4, [0.0, 1.0], 0, 0)]
+    found = topk.top_k(spark.createDataFrame(rows, SCHEMA), F.col("vec_id") == 0).collect()
+    assert sorted((r["rank"], r["vec_id"], r["score"]) for r in found) == [
+        (1, 1, 2**63 - 1), (2, 3, 2**63 - 1), (3, 4, 65536), (4, 2, 1 - 2**63)
+    ]
+
+
+def test_near_vectors_in_slices(spark, embeddings, monkeypatch):
+    """A group whose links are many times what is compared at once."""
+    once = sorted(vectors.near_vectors(frame(spark, embeddings)).collect())
+    monkeypatch.setattr(vectors, "PAIRS", 7)
+    assert sorted(vectors.near_vectors(frame(spark, embeddings)).collect()) == once
+
+
+def test_block_of_mutually_near_vectors_stays_small():
+    import tracemalloc
+
+    import pandas as pd
+
+    draw = np.random.default_rng(3)
+    units = draw.normal(size=16) + draw.normal(size=(1024, 16)) * 0.01
+    units /= np.linalg.norm(units, axis=1)[:, None]
+    codes = np.zeros((vectors.TABLES, 1 + vectors.PROBES), np.int64).tobytes()
+    rows = pd.DataFrame({
+        "id": np.arange(1024), "tab": 0, "code": 0, "primary": True, "block": 0, "low": 0, "high": 0,
+        "copies": 1, "unit": [u.tobytes() for u in units], "packed": [codes] * 1024,
+    })
+    tracemalloc.start()
+    found = vectors.compare(rows, 0.95)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (found["links"] == 1023).all() and (found["root"] == 0).all()
+    assert peak < 120 << 20
