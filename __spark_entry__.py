@@ -44,6 +44,7 @@ from gridstats.sources import (  # noqa: E402
     load,
     raw,
     save,
+    scatter_rows,
     shared_folder,
 )
 from oracle import ORACLE  # noqa: E402
@@ -142,6 +143,13 @@ class Session:
         write_text(text.toDF(*[f"  {c} " for c in text.columns]), f"{folder}/{name}.csv")
         return clean(raw(self.spark, folder, name), name)
 
+    def many_files(self, *names: str) -> DataFrame:
+        """First two columns of several cleaned tables, saved as CSV files of one folder."""
+        folder = self.new_folder()
+        for name in names:
+            save(self.cleaned(name), folder, f"{name}.csv", fmt="csv")
+        return scatter_rows(self.spark, folder)
+
     def close(self) -> None:
         """Remove what was kept for this session."""
         forget(self.spark)
@@ -228,6 +236,7 @@ PLANS: dict[str, Callable[[Session], DataFrame]] = {
     "cols_strip": lambda s: s.padded_names("circuits"),
     "src_csv_nulls": lambda s: s.from_csv("qualifying"),
     "src_named": lambda s: s.through_parquet("lap_times"),
+    "src_glob": lambda s: s.many_files("constructor_standings", "driver_standings", "results"),
     # cleaning
     **{f"clean_{name}": lambda s, name=name: s.cleaned(name) for name in SPECS},
     "dst_rows": lambda s: removed_rows(s.tables.as_text("lap_times"), "lap_times"),
@@ -398,7 +407,7 @@ PLANS: dict[str, Callable[[Session], DataFrame]] = {
     "a17_rows": lambda s: s.podiums,
     # features and finish model
     "f_driver_finish": lambda s: features.driver_finish(s.master),
-    "f_driver_qual": lambda s: features.driver_qualifying(s.qualifying()),
+    "f_driver_qual": lambda s: features.driver_qualifying(s.tables.qualifying),
     "f_team_points": lambda s: features.team_points(s.master),
     "f_team_dnf": lambda s: features.team_dnf(s.master),
     "f_circuit_spread": lambda s: features.circuit_spread(s.master),

@@ -5,6 +5,7 @@ from gridstats.sources.files import (
     load,
     raw,
     save,
+    scatter_rows,
     scatter_tables,
     shared_folder,
     strip_column_names,
@@ -23,6 +24,7 @@ __all__ = [
     "load",
     "raw",
     "save",
+    "scatter_rows",
     "scatter_tables",
     "shared_folder",
     "strip_column_names",

@@ -117,6 +117,32 @@ def scatter_tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     return {name: df for name, df in pairs.items() if df is not None}
 
 
+def scatter_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """First two columns of every CSV file below a folder as one long frame, whatever their headers.
+
+    Returns ``name`` (of the file, or of the folder ``<name>.csv`` that holds
+    it), ``x_name``, ``y_name``, ``x`` and ``y`` as text. Cells are mapped by
+    position in one scan of all files; the headers, a row per file, are the
+    files' first rows. Files with fewer than two columns are skipped; a file
+    without rows adds none. The files' number does not matter to the plan.
+    """
+    options = {"recursiveFileLookup": True, "pathGlobFilter": "*.csv", "escape": '"'}
+    pair = spark.read.options(**options).schema("x string, y string")
+    file = F.col("_metadata.file_path").alias("file")
+    cells = pair.csv(folder, header=True, enforceSchema=True, nullValue=r"\N").select(file, "x", "y")
+    # A file's first row has the smallest place among the rows of its first block.
+    lines = pair.csv(folder, header=False).where("_metadata.file_block_start = 0")
+    placed = lines.select(file, F.monotonically_increasing_id().alias("place"), "x", "y")
+    headers = placed.groupBy("file").agg(F.min(F.struct("place", "x", "y")).alias("first"))
+    named = headers.select(
+        "file",
+        F.regexp_extract("file", r"([^/]+)\.csv(?:/[^/]+)?$", 1).alias("name"),
+        F.trim("first.x").alias("x_name"),
+        F.trim("first.y").alias("y_name"),
+    )
+    return cells.join(named.where("y_name is not null"), "file").select("name", "x_name", "y_name", "x", "y")
+
+
 def first_two_columns(df: DataFrame) -> DataFrame | None:
     """The first two columns (the data of a scatter chart); None if there are fewer."""
     if len(df.columns) < 2:

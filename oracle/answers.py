@@ -83,6 +83,18 @@ for _name, _same in [
 ]:
     ORACLE[_name] = ORACLE[_same]
 
+answer(
+    "src_glob",
+    "\nUNION ALL ".join(
+        f"""SELECT '{t}' AS name, '{x}' AS x_name, 'raceId' AS y_name, CAST({x} AS VARCHAR) AS x, CAST(raceId AS VARCHAR) AS y FROM {t}"""
+        for t, x in (
+            ("constructor_standings", "constructorStandingsId"),
+            ("driver_standings", "driverStandingsId"),
+            ("results", "resultId"),
+        )
+    ),
+)
+
 # --- profiles and charts ---------------------------------------------------
 
 _RESULT_TYPES = {

@@ -7,6 +7,7 @@ enters a single race.
 
 import datetime
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -278,6 +279,22 @@ def test_eda(df, rows):
     assert rows(eda.driver_list(df)) == [("alfa",), ("beta",), ("delta",), ("gamma",)]
 
 
+def test_density_equals_the_direct_sum(spark):
+    """Few values exactly; a continuous column within a millionth; one value and no rows without error."""
+    for bound, formula in ((1e-12, "cast(id % 7 * id % 11 as double)"), (1e-6, "pow(pmod(hash(id), 1000003) / 1000003D, 2) * 50")):
+        frame = spark.range(3000).selectExpr(f"{formula} as x")
+        x = np.array([r["x"] for r in frame.collect()])
+        width = x.std(ddof=1) * len(x) ** -0.2
+        found = eda.density(frame, "x", 50).orderBy("point").collect()
+        for r in found:
+            direct = np.exp(-0.5 * ((r["x"] - x) / width) ** 2).sum() / (width * len(x) * np.sqrt(2 * np.pi))
+            assert abs(r["density"] - direct) <= bound
+        assert len(found) == 50
+    same = spark.range(5).selectExpr("2.0 as x")
+    assert {r["density"] for r in eda.density(same, "x").collect()} == {None}
+    assert eda.density(same.limit(0), "x").count() == 0
+
+
 def test_feature_table(spark, df, rows):
     qualifying = df.select("raceId", "driverId", F.col("grid").alias("position"))
     assert rows(features.team_dnf(df)) == [(1, 0.166667), (2, None), (3, 0.333333), (4, None)]

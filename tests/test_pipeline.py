@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from gridstats.functions import seconds_of
 from gridstats.operators.cleaning import clean, removed_rows
 from gridstats.plans import eda, masters, pipeline
-from gridstats.sources import SPECS, first_two_columns, load, raw, save, scatter_tables, table_paths
+from gridstats.sources import SPECS, first_two_columns, load, raw, save, scatter_rows, scatter_tables, table_paths
 from tests import raw_tables
 
 
@@ -113,6 +113,25 @@ def test_folder_listing(spark, root, tmp_path):
     assert {name: df.columns for name, df in pairs.items()} == {"two": ["a", "b"]}
 
 
+def test_many_files_in_one_scan(spark, tmp_path):
+    """Files of different headers, quoted cells, folders of parts, a narrow file and one without rows."""
+    (tmp_path / "two.csv").write_text('a, b,c\n1,2,3\n"x, ""y""",,\n\\N,5\n')
+    (tmp_path / "one.csv").write_text("a\n1\n")
+    (tmp_path / "none.csv").write_text("p,q\n")
+    (tmp_path / "notes.txt").write_text("no,table\n1,2\n")
+    spark.range(4).selectExpr("id as k", "id * 2 as v", "id as w").repartition(3).write.csv(
+        str(tmp_path / "parts.csv"), header=True
+    )
+    found = scatter_rows(spark, str(tmp_path))
+    assert found.columns == ["name", "x_name", "y_name", "x", "y"]
+    assert sorted(map(tuple, found.where("name = 'parts'").collect())) == [
+        ("parts", "k", "v", str(i), str(2 * i)) for i in range(4)
+    ]
+    two = {tuple(r) for r in found.where("name = 'two'").collect()}
+    assert two == {("two", "a", "b", "1", "2"), ("two", "a", "b", 'x, "y"', None), ("two", "a", "b", None, "5")}
+    assert found.where("name not in ('two', 'parts')").count() == 0
+
+
 def test_race_results_master(spark, built, rows):
     master = pipeline.master(spark, built[1])
     assert master.columns == list(dict.fromkeys(master.columns))
