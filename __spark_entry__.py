@@ -41,6 +41,7 @@ from gridstats.sources import (  # noqa: E402
     first_two_columns,
     forget,
     keep,
+    keep_bucketed,
     load,
     raw,
     save,
@@ -60,6 +61,7 @@ except ModuleNotFoundError as missing:
 DRIVER, OTHER = "Supplier#000000001", "Supplier#000000002"
 DRIVER_ID, OTHER_ID, TEAM_ID = 1, 2, 1
 START = 1997
+ENTRY = ["raceId", "driverId"]
 
 
 class Session:
@@ -118,8 +120,22 @@ class Session:
     def laps(self) -> DataFrame:
         return keep(self.laps_plan().select("raceId", "driverId", "circuitId", "milliseconds"))
 
-    def cleaned(self, name: str) -> DataFrame:
-        return clean(self.tables.as_text(name), name)
+    @cached_property
+    def drives(self) -> DataFrame:
+        """Entries with their names, dealt like the totals of laps and stops."""
+        names = ["constructorId", "constructorRef", "driverRef", "position", "positionOrder"]
+        return keep_bucketed(self.master.select(*ENTRY, *names), *ENTRY)
+
+    @cached_property
+    def pit_totals(self) -> DataFrame:
+        return keep_bucketed(performance.pit_totals(self.pits), *ENTRY)
+
+    @cached_property
+    def lap_totals(self) -> DataFrame:
+        return keep_bucketed(laps.lap_totals(self.laps), *ENTRY)
+
+    def cleaned(self, name: str, few_copies: bool = False) -> DataFrame:
+        return clean(self.tables.as_text(name), name, few_copies)
 
     def new_folder(self) -> str:
         """A fresh folder for files that driver and executors share."""
@@ -240,6 +256,8 @@ PLANS: dict[str, Callable[[Session], DataFrame]] = {
     # cleaning
     **{f"clean_{name}": lambda s, name=name: s.cleaned(name) for name in SPECS},
     "dst_rows": lambda s: removed_rows(s.tables.as_text("lap_times"), "lap_times"),
+    "dst_rows_few_copies": lambda s: removed_rows(s.tables.as_text("lap_times"), "lap_times", few_copies=True),
+    "clean_results_few_copies": lambda s: s.cleaned("results", few_copies=True),
     # profiles and charts
     "profile_table": lambda s: eda.profile_table(s.tables.results),
     "profile_before_after": lambda s: eda.profile_before_after(
@@ -272,13 +290,13 @@ PLANS: dict[str, Callable[[Session], DataFrame]] = {
     "a01_constructor_podiums": lambda s: performance.constructor_podiums(s.master),
     "a02_position_gain": lambda s: performance.position_gain(s.master),
     "a02_grid_points": lambda s: performance.grid_points(s.master, DRIVER),
-    "a03_pit_counts": lambda s: performance.pit_counts(s.pits),
-    "a03_pit_corr_filled": lambda s: performance.pit_corr_filled(s.master, s.pits),
-    "a03_pit_corr": lambda s: performance.pit_corr(s.master, s.pits, 1, 20),
-    "a03_pits_by_position": lambda s: performance.pits_by_position(s.master, s.pits),
-    "a03_pits_by_position_filled": lambda s: performance.pits_by_position_filled(s.master, s.pits),
-    "a03_pit_trend": lambda s: performance.pit_trend(s.master, s.pits),
-    "a03_pit_duration": lambda s: performance.pit_duration(s.master, s.pits),
+    "a03_pit_counts": lambda s: performance.pit_counts(s.pit_totals),
+    "a03_pit_corr_filled": lambda s: performance.pit_corr_filled(s.drives, s.pit_totals),
+    "a03_pit_corr": lambda s: performance.pit_corr(s.drives, s.pit_totals, 1, 20),
+    "a03_pits_by_position": lambda s: performance.pits_by_position(s.drives, s.pit_totals),
+    "a03_pits_by_position_filled": lambda s: performance.pits_by_position_filled(s.drives, s.pit_totals),
+    "a03_pit_trend": lambda s: performance.pit_trend(s.drives, s.pit_totals),
+    "a03_pit_duration": lambda s: performance.pit_duration(s.drives, s.pit_totals),
     # A4, A5
     "a04_driver_race_pos": lambda s: rivalry.race_positions(s.master),
     "a04_pair_table": lambda s: rivalry.pair_table(s.master, among=rivalry.busiest(s.master, 20)),
@@ -308,17 +326,17 @@ PLANS: dict[str, Callable[[Session], DataFrame]] = {
     "a08_consistent": lambda s: teams.consistent_drivers(s.master, below=100),
     "a08_fluctuating": lambda s: teams.fluctuating_drivers(s.master),
     # A9
-    "a09_avg_laps": lambda s: laps.average_laps(s.master, s.laps),
-    "a09_efficiency": lambda s: laps.efficiency(s.master, s.laps),
-    "a09_team_eff": lambda s: laps.team_efficiency(s.master, s.laps),
-    "a09_driver_eff": lambda s: laps.driver_efficiency(s.master, s.laps),
-    "a09_team_circuit": lambda s: laps.team_circuits(s.master, s.laps).frame(),
-    "a09_team_circuit_display": lambda s: laps.team_circuit_display(s.master, s.laps),
+    "a09_avg_laps": lambda s: laps.average_laps(s.drives, s.lap_totals),
+    "a09_efficiency": lambda s: laps.efficiency(s.drives, s.lap_totals),
+    "a09_team_eff": lambda s: laps.team_efficiency(s.drives, s.lap_totals),
+    "a09_driver_eff": lambda s: laps.driver_efficiency(s.drives, s.lap_totals),
+    "a09_team_circuit": lambda s: laps.team_circuits(s.drives, s.lap_totals).frame(),
+    "a09_team_circuit_display": lambda s: laps.team_circuit_display(s.drives, s.lap_totals),
     "rs_unstack": lambda s: tracks.circuit_wins(s.master).frame(),
     "rs_unstack_mean": lambda s: tracks.circuit_wins(s.master).by_row(),
     "rs_unstack_chosen": lambda s: tracks.circuit_wins(s.master).dense(rivalry.busiest(s.master, 5)),
     "rs_pivot_agg": lambda s: wide(
-        laps.efficiency(s.master, s.laps),
+        laps.efficiency(s.drives, s.lap_totals),
         "constructorId",
         "circuitId",
         "efficiency_ratio",

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridstats.functions import seconds_of
+from gridstats.operators.duplicates import copies_removed, distinct_rows
 from gridstats.sources.schemas import KINDS, SPECS, TableSpec
 
 
@@ -20,21 +21,27 @@ def with_durations(df: DataFrame, spec: TableSpec) -> DataFrame:
     return spans.withColumns({name: seconds_of(span) for name, span in spec.seconds.items()})
 
 
-def clean(raw: DataFrame, name: str) -> DataFrame:
+def clean(raw: DataFrame, name: str, few_copies: bool = False) -> DataFrame:
     """Cleaned table ``name``.
 
+    With ``few_copies`` only rows that have copies are shuffled, at the price of
+    reading ``raw`` again (``duplicates.distinct_rows``).
+
     Durations follow from the text, so they are added to the rows that remain
     and not carried through the shuffle. Nulls are filled after duplicates are
     removed: a row with no status and a row with the fill text both stay.
     """
     spec = SPECS[name]
-    unique = with_durations(coerce(raw, spec).dropDuplicates(), spec)
+    typed = coerce(raw, spec)
+    unique = with_durations(distinct_rows(typed) if few_copies else typed.dropDuplicates(), spec)
     return unique.fillna(spec.fill_after) if spec.fill_after else unique
 
 
-def removed_rows(raw: DataFrame, name: str) -> DataFrame:
+def removed_rows(raw: DataFrame, name: str, few_copies: bool = False) -> DataFrame:
     """How many rows cleaning drops as duplicates."""
     typed = coerce(raw, SPECS[name])
+    if few_copies:
+        return copies_removed(typed)
     copies = typed.groupBy(*typed.columns).agg(F.count(F.lit(1)).alias("copies"))
     return copies.agg(
         F.coalesce(F.sum("copies"), F.lit(0)).alias("rows_before"),

@@ -11,18 +11,28 @@ from gridstats.operators.quantiles import box_stats
 from gridstats.sources import keep
 
 
-def _driven_laps(df: DataFrame, laps: DataFrame) -> DataFrame:
-    """Lap totals per circuit, race, driver and constructor.
+def lap_totals(laps: DataFrame) -> DataFrame:
+    """Lap totals per circuit, race and driver. Totals are returned as they are.
 
-    Laps are summed per race and driver before they meet the results. A driver
-    with two results in a race counts every lap twice, as the plain join does.
+    The functions of this module take laps or their totals; totals that are
+    dealt like the results (``keep_bucketed``) meet them without a shuffle.
     """
-    totals = laps.groupBy("circuitId", "raceId", "driverId").agg(
+    if "total_ms" in laps.columns:
+        return laps
+    return laps.groupBy("circuitId", "raceId", "driverId").agg(
         F.sum("milliseconds").alias("total_ms"),
         F.count("milliseconds").alias("laps"),
         F.min("milliseconds").alias("fastest_ms"),
     )
-    return totals.join(df.select("raceId", "driverId", "constructorId"), ["raceId", "driverId"])
+
+
+def _driven_laps(df: DataFrame, laps: DataFrame) -> DataFrame:
+    """Lap totals per circuit, race, driver and constructor.
+
+    Laps are summed per race and driver before they meet the results. A driver
+    with two results in a race counts every lap twice, as the plain join does.
+    """
+    return lap_totals(laps).join(df.select("raceId", "driverId", "constructorId"), ["raceId", "driverId"])
 
 
 def average_laps(df: DataFrame, laps: DataFrame) -> DataFrame:

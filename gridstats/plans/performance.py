@@ -89,10 +89,24 @@ def grid_points(df: DataFrame, driver: str) -> DataFrame:
     )
 
 
+def pit_totals(pits: DataFrame) -> DataFrame:
+    """Stops and their mean duration per race and driver. Totals are returned as they are.
+
+    The functions below take stops or their totals; totals that are dealt like
+    the entries (``keep_bucketed``) meet them without a shuffle.
+    """
+    if "pit_stops" in pits.columns:
+        return pits
+    keyed = pits.where(F.col("raceId").isNotNull() & F.col("driverId").isNotNull())
+    counts = [F.count(F.lit(1)).alias("pit_stops")]
+    if "duration" in pits.columns:
+        counts.append(F.avg("duration").alias("duration"))
+    return keyed.groupBy("raceId", "driverId").agg(*counts)
+
+
 def pit_counts(pits: DataFrame) -> DataFrame:
     """Stops per race and driver."""
-    keyed = pits.where(F.col("raceId").isNotNull() & F.col("driverId").isNotNull())
-    return keyed.groupBy("raceId", "driverId").agg(F.count(F.lit(1)).alias("pit_stops"))
+    return pit_totals(pits).select("raceId", "driverId", "pit_stops")
 
 
 def with_pit_counts(df: DataFrame, pits: DataFrame) -> DataFrame:
@@ -157,5 +171,5 @@ def regression(df: DataFrame, x: str, y: str) -> DataFrame:
 
 def pit_duration(df: DataFrame, pits: DataFrame) -> DataFrame:
     """Finishing order of every entry with its mean stop duration."""
-    mean = pits.groupBy("raceId", "driverId").agg(F.avg("duration").alias("duration"))
+    mean = pit_totals(pits).select("raceId", "driverId", "duration")
     return df.select("raceId", "driverId", "positionOrder").join(mean, ["raceId", "driverId"], "left")

@@ -2,6 +2,7 @@ from gridstats.sources.files import (
     first_two_columns,
     forget,
     keep,
+    keep_bucketed,
     load,
     raw,
     save,
@@ -21,6 +22,7 @@ __all__ = [
     "first_two_columns",
     "forget",
     "keep",
+    "keep_bucketed",
     "load",
     "raw",
     "save",

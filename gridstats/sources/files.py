@@ -94,8 +94,28 @@ def keep(df: DataFrame, by: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def keep_bucketed(df: DataFrame, *keys: str) -> DataFrame:
+    """``keep``, dealt by keys: tables dealt alike are joined and grouped on them without another shuffle.
+
+    The buckets, one file each, are as many as shuffle partitions. Adaptive
+    execution cannot split a bucket, so a key must have few rows: sum up first.
+    """
+    spark = df.sparkSession
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"{_bucketed_prefix(spark)}{uuid4().hex}"
+    dealt = df.repartition(buckets, *keys).write.bucketBy(buckets, *keys)
+    dealt.option("path", f"{shared_folder(spark)}/{name}").format("parquet").saveAsTable(name)
+    return spark.table(name)
+
+
+def _bucketed_prefix(spark: SparkSession) -> str:
+    return f"kept_{spark.sparkContext.applicationId}_".replace("-", "_").lower()
+
+
 def forget(spark: SparkSession) -> None:
-    """Remove every table that ``keep`` wrote for this application."""
+    """Remove every table that ``keep`` and ``keep_bucketed`` wrote for this application."""
+    for row in spark.sql(f"SHOW TABLES LIKE '{_bucketed_prefix(spark)}*'").collect():
+        spark.sql(f"DROP TABLE IF EXISTS {row['tableName']}")
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 

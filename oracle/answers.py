@@ -80,6 +80,8 @@ for _name, _same in [
     ("cols_strip", "clean_circuits"),
     ("src_csv_nulls", "clean_qualifying"),
     ("src_named", "clean_lap_times"),
+    ("dst_rows_few_copies", "dst_rows"),
+    ("clean_results_few_copies", "clean_results"),
 ]:
     ORACLE[_name] = ORACLE[_same]
 
