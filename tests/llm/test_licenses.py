@@ -55,6 +55,47 @@ def test_own_labels(documents, text, labels, spans):
     assert [tuple(s) for s in row["spans"]] == spans
 
 
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and
+associated documentation files (the "Software"), to deal in the Software without restriction, including without
+limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software,
+and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"""
+
+
+def found_in(documents, *texts):
+    rows = licenses.scan(documents(list(enumerate(texts)), clashing=True)).collect()
+    return [(r["labels"], r["score"]) for r in sorted(rows, key=lambda r: r["doc_id"])]
+
+
+def test_passages_are_found_whole_changed_and_in_long_texts(documents):
+    changed = MIT.replace("person", "user").replace("furnished", "given")
+    without_key = MIT.replace("merge, publish", "publish, merge").replace("hereby granted", "hereby given")
+    whole, other, long, none = found_in(documents, MIT, changed, "lorem " * 30_000 + MIT + " ipsum" * 30_000, without_key)
+    assert whole == long == ("mit", 1.0)
+    assert other[0] == "mit"
+    assert none[0] == "", "no key phrase is in place"
+
+
+def test_a_changed_passage_has_the_share_of_its_weight(documents):
+    only = tuple(t for t in licenses.PASSAGES if "sublicense" in t.words)
+    changed = MIT.replace("person", "user").replace("furnished", "given")
+    rows = {r["doc_id"]: r for r in licenses.scan(documents([(1, MIT), (2, changed)]), only).collect()}
+    assert rows[1]["score"] == 1.0 and 0.6 <= rows[2]["score"] < 1.0
+    assert [tuple(s) for s in rows[2]["spans"]] == [("mit", 0, len(re.findall(licenses.WORD, MIT)))]
+    cut = " ".join(MIT.split()[35:50])
+    assert licenses.scan(documents([(1, cut)]), only).first()["labels"] == "", "less than the least share"
+
+
+def test_every_template_finds_its_own_words(documents):
+    texts = [t.words.replace("_", "filler") for t in licenses.TEMPLATES]
+    for template, (labels, score) in zip(licenses.TEMPLATES, found_in(documents, *texts), strict=True):
+        assert template.label in labels.split(",") and score == 1.0, template
+
+
+def test_common_licence_words_alone_are_no_licence(documents):
+    text = "free software copy the public work under general conditions and distribute files license notice rights " * 50
+    assert found_in(documents, text) == [("", 0.0)]
+
+
 def test_repeated_rows_missing_ids_and_no_rows(documents):
     docs = documents([(1, "mit license"), (1, "mit license"), (None, "cc by")])
     assert licenses.scan(docs).count() == 3
