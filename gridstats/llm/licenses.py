@@ -216,7 +216,7 @@ def index(docs: DataFrame, templates: tuple[Template, ...]) -> DataFrame:
     plus the word's place in it.
     """
     known = vocabulary(templates)
-    listed = F.array(*[F.lit(w) for w in known])
+    listed = literal(known, "array<string>")
     words = F.regexp_extract_all(lowered("text"), F.lit(f"({WORD})"), F.lit(0))
     split = docs.select(F.col("doc_id").cast("bigint"), words.alias("words"))
     posted = F.transform(
@@ -241,12 +241,12 @@ def weights(indexed: DataFrame, size: int) -> list[float]:
 
 
 def literal(values: list, kind: str) -> Column:
-    """A constant array of any depth."""
+    """A constant array of any depth, as one expression."""
 
-    def nested(value) -> Column:
-        return F.array(*[nested(v) for v in value]) if isinstance(value, list) else F.lit(value)
+    def nested(value) -> str:
+        return f"array({', '.join(map(nested, value))})" if isinstance(value, list) else repr(value)
 
-    return nested(values).cast(kind)
+    return F.expr(f"cast({nested(values)} as {kind})")
 
 
 def scan(
