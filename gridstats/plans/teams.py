@@ -86,8 +86,8 @@ def circuit_rates(df: DataFrame) -> SparseMatrix:
 
 
 def circuit_rate(df: DataFrame) -> DataFrame:
-    """Podium rate for every circuit and team in full: for few teams and circuits only, else ``circuit_rates``."""
-    seen = _seen_circuit_rates(df)
+    """Podium rate for every circuit and team, 0 where the team never raced. ``circuit_rates`` is its sparse form."""
+    seen = keep(_seen_circuit_rates(df))
     return dense_grid(seen, seen.select("circuitId"), seen.select("constructorId"), {"podium_rate": 0.0})
 
 

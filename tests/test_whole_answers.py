@@ -20,3 +20,11 @@ def test_pair_table_has_every_pair_that_met(spark):
     met = finishes.toDF("a", "raceId").join(finishes.toDF("b", "raceId"), "raceId").where("a < b")
     found = {(r["a"], r["b"]) for r in asked(spark, "a04_pair_table").collect()}
     assert found == {tuple(r) for r in met.select("a", "b").distinct().collect()}
+
+
+@pytest.mark.parametrize("name", ["a07_circuit_rate"])
+def test_grids_have_every_cell_and_no_row_of_a_key_alone(spark, name):
+    found = [(r["constructorId"], r["circuitId"]) for r in asked(spark, name).collect()]
+    cells = {(a, b) for a, _ in found for _, b in found}
+    assert len(found) == len(set(found)) == len(cells)
+    assert not any(None in cell for cell in found)
