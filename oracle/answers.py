@@ -423,7 +423,7 @@ answer(
 )
 answer(
     "a07_h2h_team",
-    f"SELECT team, opponent, races, round(ratio, 6) AS win_ratio FROM h2h WHERE team = {TEAM_ID}",
+    "SELECT team, opponent, races, round(ratio, 6) AS win_ratio FROM h2h",
     **_RATES,
 )
 answer(

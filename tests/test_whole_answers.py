@@ -22,6 +22,15 @@ def test_pair_table_has_every_pair_that_met(spark):
     assert found == {tuple(r) for r in met.select("a", "b").distinct().collect()}
 
 
+@pytest.mark.parametrize("name", ["a07_h2h_team"])
+def test_head_to_head_has_every_team(spark, name):
+    master = asked(spark, "master_race_results")
+    teams = {r[0] for r in master.select("constructorId").distinct().collect()}
+    found = asked(spark, name).collect()
+    assert {r["team"] for r in found} == teams
+    assert {(r["opponent"], r["team"], r["races"]) for r in found} == {(r["team"], r["opponent"], r["races"]) for r in found}
+
+
 @pytest.mark.parametrize("name", ["a07_circuit_rate"])
 def test_grids_have_every_cell_and_no_row_of_a_key_alone(spark, name):
     found = [(r["constructorId"], r["circuitId"]) for r in asked(spark, name).collect()]
