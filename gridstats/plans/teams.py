@@ -105,16 +105,23 @@ def circuit_rate_top(df: DataFrame, teams: int = 10, circuits: int = 10) -> Data
     return circuit_rates(df).dense(best, busiest)
 
 
-def team_head_to_head(df: DataFrame) -> DataFrame:
+def team_head_to_head(df: DataFrame, by_circuit: bool = False) -> DataFrame:
     """For ordered team pairs: share of common races in which ``team`` was ahead.
 
     A team's place is its best one. A race without a finish for either still
-    counts as played. Grouping by circuit as well changes nothing, since a race
-    has one circuit.
+    counts as played. ``by_circuit`` finds the best places per circuit and race
+    and counts the circuits too; a race has one circuit, so the shares are the
+    same.
     """
-    keyed = df.where(F.col("raceId").isNotNull() & F.col("constructorId").isNotNull())
-    best = keyed.groupBy("raceId", "constructorId").agg(F.min("position").alias("position"))
-    pairs = pair_sums(best, "raceId", "constructorId", "position")
+    race = ["circuitId", "raceId"] if by_circuit else ["raceId"]
+    keyed = df.dropna(subset=[*race, "constructorId"])
+    best = keyed.groupBy(*race, "constructorId").agg(F.min("position").alias("position"))
+    if by_circuit:
+        found = pair_sums(best, "raceId", "constructorId", "position", by="circuitId")
+        totals = [F.sum(c).alias(c) for c in ("together", "a_ahead", "b_ahead")]
+        pairs = found.groupBy("a", "b").agg(*totals, F.count(F.lit(1)).alias("circuits"))
+    else:
+        pairs = pair_sums(best, "raceId", "constructorId", "position")
 
     def side(team: str, opponent: str, wins: str):
         return F.struct(
@@ -122,6 +129,7 @@ def team_head_to_head(df: DataFrame) -> DataFrame:
             F.col(opponent).alias("opponent"),
             F.col("together").cast("bigint").alias("races"),
             ratio(wins, "together").alias("win_ratio"),
+            *(["circuits"] if by_circuit else []),
         )
 
     return pairs.select(F.inline(F.array(side("a", "b", "a_ahead"), side("b", "a", "b_ahead"))))

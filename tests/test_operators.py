@@ -206,3 +206,12 @@ def test_sparse_matrix_forms_no_combinations(spark):
     assert matrix.frame().count() == 9000
     plan = matrix.frame()._jdf.queryExecution().toString() + matrix.by_row()._jdf.queryExecution().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_pair_sums_split_by_a_column_add_up(spark):
+    df = skewed(spark, 800).groupBy("race", "driver").agg(F.avg("v").alias("v")).withColumn("place", F.col("race") % 3)
+    whole = {(r["a"], r["b"]): (r["together"], r["a_ahead"]) for r in pair_sums(df, "race", "driver", "v").collect()}
+    split = pair_sums(df, "race", "driver", "v", by="place", block=12, chunk=20)
+    found = split.groupBy("a", "b").agg(F.sum("together"), F.sum("a_ahead"), F.max("place")).collect()
+    assert {(r[0], r[1]): (r[2], r[3]) for r in found} == whole
+    assert max(r[4] for r in found) == 2

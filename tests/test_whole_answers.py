@@ -22,7 +22,7 @@ def test_pair_table_has_every_pair_that_met(spark):
     assert found == {tuple(r) for r in met.select("a", "b").distinct().collect()}
 
 
-@pytest.mark.parametrize("name", ["a07_h2h_team"])
+@pytest.mark.parametrize("name", ["a07_h2h_team", "a07_h2h_team_circuit"])
 def test_head_to_head_has_every_team(spark, name):
     master = asked(spark, "master_race_results")
     teams = {r[0] for r in master.select("constructorId").distinct().collect()}
