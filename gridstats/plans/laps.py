@@ -84,7 +84,7 @@ def team_circuits(df: DataFrame, laps: DataFrame) -> SparseMatrix:
 
 
 def team_circuit_efficiency(df: DataFrame, laps: DataFrame) -> DataFrame:
-    """Mean efficiency for every team and circuit in full: for few of them only, else ``team_circuits``."""
+    """Mean efficiency for every team and circuit, 0 where the team never ran. ``team_circuits`` is its sparse form."""
     matrix = team_circuits(df, laps)
     return dense_grid(matrix.cells, matrix.rows, matrix.columns, {"efficiency_ratio": 0.0})
 

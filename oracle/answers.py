@@ -427,7 +427,7 @@ answer(
 )
 answer(
     "a07_h2h_team_circuit",
-    f"""SELECT x.constructorId AS team, y.constructorId AS opponent, count(*) AS races,
+    """SELECT x.constructorId AS team, y.constructorId AS opponent, count(*) AS races,
       round(avg(CASE WHEN x.p < y.p THEN 1.0 ELSE 0.0 END), 6) AS win_ratio, count(DISTINCT x.circuitId) AS circuits
       FROM places x JOIN places y ON x.raceId = y.raceId AND x.circuitId = y.circuitId
       AND x.constructorId <> y.constructorId GROUP BY ALL""",
@@ -496,8 +496,7 @@ for _name, _key, _label, _source in [
     )
 answer(
     "a09_team_circuit",
-    """SELECT constructorId, circuitId, round(e, 6) AS efficiency_ratio FROM cells
-    UNION ALL SELECT DISTINCT constructorId, NULL, 0.0 FROM cells UNION ALL SELECT DISTINCT NULL, circuitId, 0.0 FROM cells""",
+    "SELECT * FROM cell_grid",
     **_LAPS,
 )
 _WINS = {

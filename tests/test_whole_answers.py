@@ -31,7 +31,7 @@ def test_head_to_head_has_every_team(spark, name):
     assert {(r["opponent"], r["team"], r["races"]) for r in found} == {(r["team"], r["opponent"], r["races"]) for r in found}
 
 
-@pytest.mark.parametrize("name", ["a07_circuit_rate"])
+@pytest.mark.parametrize("name", ["a07_circuit_rate", "a09_team_circuit"])
 def test_grids_have_every_cell_and_no_row_of_a_key_alone(spark, name):
     found = [(r["constructorId"], r["circuitId"]) for r in asked(spark, name).collect()]
     cells = {(a, b) for a, _ in found for _, b in found}
