@@ -70,9 +70,13 @@ class RaceTables:
     def _read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.root}/{name}.parquet")
 
-    @property
+    @cached_property
     def lines(self) -> DataFrame:
-        """One row per line item with its race, driver and constructor."""
+        """One row per line item with its race, driver and constructor.
+
+        Kept: entries, laps and stops all start from it, and joining the line
+        items to their orders and parts shuffles more than any later step.
+        """
         items = self._read("lineitem").select(
             "l_orderkey",
             "l_partkey",
@@ -95,7 +99,7 @@ class RaceTables:
             F.col("p_partkey").alias("l_partkey"),
             F.replace("p_brand", F.lit("Brand#"), F.lit("")).cast("bigint").alias("constructorId"),
         )
-        return (
+        return keep(
             items.join(orders.join(homes, "o_custkey"), "l_orderkey")
             .join(brands, "l_partkey")
             .withColumn("raceId", _race_id())
@@ -109,9 +113,10 @@ class RaceTables:
         Line items are summed once per race, driver and brand; the team and
         the race totals are both taken from that smaller table.
         """
-        parts = self.lines.groupBy(
+        sums = self.lines.groupBy(
             "raceId", "year", "round", "circuitId", "driverId", "constructorId"
         ).agg(F.sum("cents").alias("revenue"), F.sum("quantity").alias("quantity"))
+        parts = keep(sums)
         best = F.max(F.struct("revenue", (-F.col("constructorId")).alias("_minus_id")))
         teams = (
             parts.groupBy("driverId", "year", "constructorId")
@@ -270,13 +275,17 @@ class RaceTables:
     def seasons(self) -> DataFrame:
         return self.races.select("year").distinct().withColumn("url", F.concat(F.lit("/season/"), "year"))
 
-    @property
+    @cached_property
     def status(self) -> DataFrame:
-        """The outcomes that occur among the results, one row each."""
+        """The outcomes that occur among the results, one row each.
+
+        Kept: planned by the size of the results, its join would deal all of
+        them to as many tasks as there are outcomes.
+        """
         text = F.lit(None).cast("string")
         for key, name in STATUS.items():
             text = F.when(F.col("statusId") == key, name).otherwise(text)
-        return self.results.select("statusId").distinct().withColumn("status", text)
+        return keep(self.results.select("statusId").distinct().withColumn("status", text))
 
     @property
     def qualifying(self) -> DataFrame:

@@ -1,13 +1,15 @@
 """What is shuffled: copies only, and nothing between tables that are dealt alike."""
 
 import math
+import os
 
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from gridstats.operators.duplicates import copies_removed, distinct_rows, split_rows
 from gridstats.plans import laps, performance
-from gridstats.sources import files, keep_bucketed
+from gridstats.sources import RaceTables, files, keep_bucketed
 
 ENTRY = ["raceId", "driverId"]
 
@@ -106,3 +108,17 @@ def test_kept_buckets_are_forgotten(spark, tmp_path, monkeypatch):
     assert len(names()) == 1 and any((tmp_path / "kept").iterdir())
     files.forget(spark)
     assert not names() and not (tmp_path / "kept").exists()
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
+def test_shared_tables_are_derived_once_and_small_sides_known(spark, monkeypatch):
+    """Lines are joined once for all who read them; outcomes are a table whose size is known; the master is not dealt again."""
+    found = RaceTables(spark, "/root/testdata/sf0.001")
+    assert "Join" not in plan(found.lines) and found.lines is found.lines
+    assert "Exchange" not in plan(found.status)
+    kept = []
+    monkeypatch.setattr(entry, "keep", lambda df, by=None: kept.append((df, by)) or df)
+    session = entry.Session(spark, "/root/testdata/sf0.001")
+    session.tables = found
+    assert session.master.count() == found.results.count()
+    assert [by for _, by in kept] == [None]
