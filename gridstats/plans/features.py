@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gridstats.functions import is_true, ratio
 from gridstats.operators.sequences import earlier_rows, shifted
 from gridstats.plans.performance import on_podium, won
+from gridstats.sources.files import keep
 
 
 def driver_finish(df: DataFrame) -> DataFrame:
@@ -59,14 +60,18 @@ FINISH_FEATURES = [
 
 
 def engineered(df: DataFrame, qualifying: DataFrame) -> DataFrame:
-    """Every entry with the six figures of its driver, team and circuit."""
+    """Every entry with the six figures of its driver, team and circuit.
+
+    The figures are kept, one row per key, so that the joins know how small they
+    are: dealt by team or circuit, all entries would meet in a few tasks.
+    """
     base = df.select("resultId", "raceId", "driverId", "constructorId", "circuitId", "positionOrder")
+    drivers = keep(driver_finish(df).join(driver_qualifying(qualifying), "driverId", "full"))
+    teams = keep(team_points(df).join(team_dnf(df), "constructorId", "full"))
     return (
-        base.join(driver_finish(df), "driverId", "left")
-        .join(driver_qualifying(qualifying), "driverId", "left")
-        .join(team_points(df), "constructorId", "left")
-        .join(team_dnf(df), "constructorId", "left")
-        .join(circuit_spread(df), "circuitId", "left")
+        base.join(drivers, "driverId", "left")
+        .join(teams, "constructorId", "left")
+        .join(keep(circuit_spread(df)), "circuitId", "left")
     )
 
 
