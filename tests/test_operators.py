@@ -215,3 +215,15 @@ def test_pair_sums_split_by_a_column_add_up(spark):
     found = split.groupBy("a", "b").agg(F.sum("together"), F.sum("a_ahead"), F.max("place")).collect()
     assert {(r[0], r[1]): (r[2], r[3]) for r in found} == whole
     assert max(r[4] for r in found) == 2
+
+
+def test_best_pairs_shuffle_no_row_per_block(spark):
+    """Rows are written once and read by block; the plan deals names of blocks only."""
+    table = [(r, d, float((r * 5 + d * 11) % 13)) for r in range(20) for d in range(40)]
+    df = spark.createDataFrame(table, "race bigint, driver bigint, v double")
+    found = best_pairs(df, "race", "driver", "v", pair_scores, 3, block=5)
+    assert "value" not in found._jdf.queryExecution().executedPlan().toString().split("MapInPandas")[-1]
+    every = pair_sums(df, "race", "driver", "v").toPandas()
+    every["key"] = pair_scores(every)
+    best = found.toPandas().assign(key=lambda f: pair_scores(f)).sort_values(["key", "a", "b"]).head(3)
+    assert best[["a", "b"]].to_numpy().tolist() == every.dropna(subset=["key"]).sort_values(["key", "a", "b"]).head(3)[["a", "b"]].to_numpy().tolist()
