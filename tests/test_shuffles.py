@@ -122,3 +122,16 @@ def test_shared_tables_are_derived_once_and_small_sides_known(spark, monkeypatch
     session.tables = found
     assert session.master.count() == found.results.count()
     assert [by for _, by in kept] == [None]
+
+
+def test_cells_of_csv_files_are_not_dealt_by_file(spark, tmp_path):
+    """The headers are few whatever the size of the files that they come from."""
+    spark.range(100_000).selectExpr("id AS k", "id * 2 AS v").write.csv(str(tmp_path / "long.csv"), header=True)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "100000")
+    try:
+        found = files.scatter_rows(spark, str(tmp_path))
+        assert "hashpartitioning(file" not in plan(found)
+        assert found.count() == 100_000
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
