@@ -9,6 +9,7 @@ from __future__ import annotations
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gridstats.functions import NULL_MARKERS
@@ -110,50 +111,49 @@ class RaceTables:
     def entries(self) -> DataFrame:
         """One row per race and driver, with the driver's team of the season.
 
-        Line items are summed once per race, driver and brand; the team and
-        the race totals are both taken from that smaller table.
+        The line items are dealt by driver and season once. Their sums per
+        race, driver and brand, the team (the brand of most revenue in the
+        season) and the race totals all stay where the line items went.
         """
-        sums = self.lines.groupBy(
-            "raceId", "year", "round", "circuitId", "driverId", "constructorId"
-        ).agg(F.sum("cents").alias("revenue"), F.sum("quantity").alias("quantity"))
-        parts = keep(sums)
-        best = F.max(F.struct("revenue", (-F.col("constructorId")).alias("_minus_id")))
-        teams = (
-            parts.groupBy("driverId", "year", "constructorId")
-            .agg(F.sum("revenue").alias("revenue"))
-            .groupBy("driverId", "year")
-            .agg((-best.getField("_minus_id")).alias("constructorId"))
+        season = ["driverId", "year"]
+        dealt = self.lines.dropna(subset=season).repartition(*season)
+        parts = dealt.groupBy("raceId", "year", "round", "circuitId", "driverId", "constructorId").agg(
+            F.sum("cents").alias("revenue"), F.sum("quantity").alias("quantity")
         )
+        brand = F.struct(
+            F.sum("revenue").over(W.partitionBy(*season, "constructorId")).alias("revenue"),
+            (-F.col("constructorId")).alias("_minus_id"),
+        )
+        best = F.max("_brand").over(W.partitionBy(*season))
+        led = parts.withColumn("_brand", brand).withColumn("_team", -best.getField("_minus_id"))
         strength = F.when(F.col("driverId") % FAVOURITE == 0, STRENGTH).otherwise(1)
-        totals = parts.groupBy("raceId", "year", "round", "circuitId", "driverId").agg(
+        totals = led.groupBy("raceId", "year", "round", "circuitId", "driverId", "_team").agg(
             (F.sum("revenue") * strength).alias("revenue"), F.sum("quantity").alias("quantity")
         )
-        return keep(totals.join(teams, ["driverId", "year"]))
+        columns = [*season, "raceId", "round", "circuitId", "revenue", "quantity"]
+        return keep(totals.select(*columns, F.col("_team").alias("constructorId")))
 
     @cached_property
     def _ranked(self) -> DataFrame:
         # Revenues differ, so ranges of revenue split a race. Quantities are small
         # whole numbers with many ties, which are split by ranges of the driver id.
         tied = F.struct((-F.col("quantity")).alias("q"), F.floor(F.col("driverId") / TIE_RANGE).alias("d"))
-        staged = self.entries.withColumns(
-            {"_by_revenue": value_stretch(self.entries, "revenue"), "_by_quantity": tied}
-        )
         placed = numbered(
-            staged,
+            self.entries.withColumn("_by_revenue", value_stretch(self.entries, "revenue")),
             ["raceId"],
             "_by_revenue",
             [F.col("revenue").desc(), F.col("driverId")],
             "positionOrder",
         )
         started = numbered(
-            placed,
+            placed.drop("_by_revenue").withColumn("_by_quantity", tied),
             ["raceId"],
             "_by_quantity",
             [F.col("quantity").desc(), F.col("driverId")],
             "grid",
-            sizes_of=staged,
+            sizes_of=self.entries.withColumn("_by_quantity", tied),
         )
-        return keep(started.drop("_by_revenue", "_by_quantity"))
+        return keep(started.drop("_by_quantity"))
 
     @property
     def results(self) -> DataFrame:

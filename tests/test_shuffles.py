@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from gridstats.operators.duplicates import copies_removed, distinct_rows, split_rows
 from gridstats.plans import laps, performance
-from gridstats.sources import RaceTables, files, keep_bucketed
+from gridstats.sources import RaceTables, files, keep_bucketed, order_tables
 
 ENTRY = ["raceId", "driverId"]
 
@@ -135,3 +135,29 @@ def test_cells_of_csv_files_are_not_dealt_by_file(spark, tmp_path):
         assert found.count() == 100_000
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+LINE = "raceId long, year int, round int, circuitId long, driverId long, constructorId long, line int, cents long, quantity long"
+
+
+def test_line_items_are_dealt_once_for_sums_teams_and_totals(spark, rows, monkeypatch):
+    lines = [
+        (1, 1997, 1, 3, 7, 20, 1, 500, 2),
+        (1, 1997, 1, 3, 7, 10, 2, 500, 3),  # level with 20 in the season: the lower id is the team
+        (2, 1997, 2, 3, 7, None, 1, 100, 1),
+        (3, 1998, 1, 3, 7, 20, 1, None, 4),  # no revenue at all
+        (1, 1997, 1, 3, 50, None, 1, 10, 5),  # counts eight times; the brand is unknown
+        (None, None, None, 3, 7, 10, 1, 9, 9),
+        (1, 1997, 1, 3, None, 10, 1, 9, 9),
+    ]
+    monkeypatch.setattr(order_tables, "keep", lambda df: df)
+    found = RaceTables(spark, "nowhere")
+    found.__dict__["lines"] = spark.createDataFrame(lines, LINE)
+    assert plan(found.entries).count("Exchange") == 1
+    columns = ["driverId", "year", "raceId", "constructorId", "revenue", "quantity"]
+    assert rows(found.entries, *columns) == [
+        (7, 1997, 1, 10, 1000, 5),
+        (7, 1997, 2, 10, 100, 1),
+        (7, 1998, 3, 20, None, 4),
+        (50, 1997, 1, None, 80, 5),
+    ]
