@@ -35,11 +35,23 @@ KEYS = {
 }
 
 
+#: The dimension that grows with the rows: it is joined first, where a shuffle carries only the fact's own columns.
+LARGEST = "drivers"
+
+
 def attach(fact: DataFrame, **dimensions: DataFrame) -> DataFrame:
-    """Left-join each named dimension to the fact table on its key."""
-    for name, dimension in dimensions.items():
-        fact = fact.join(dimension.withColumnsRenamed(RENAMED[name]), KEYS[name], "left")
-    return fact
+    """Left-join each named dimension to the fact table on its key.
+
+    The columns come in the order of the names; the joins begin with LARGEST.
+    """
+    renamed = {name: table.withColumnsRenamed(RENAMED[name]) for name, table in dimensions.items()}
+    columns = fact.columns
+    for name, table in renamed.items():
+        key = KEYS[name]
+        columns = [key, *(c for c in columns + table.columns if c != key)]
+    for name in sorted(renamed, key=lambda name: name != LARGEST):
+        fact = fact.join(renamed[name], KEYS[name], "left")
+    return fact.select(*[f"`{c}`" for c in columns])
 
 
 def race_results(results, races, drivers, constructors, circuits, seasons, status) -> DataFrame:

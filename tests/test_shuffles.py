@@ -2,13 +2,14 @@
 
 import math
 import os
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from gridstats.operators.duplicates import copies_removed, distinct_rows, split_rows
-from gridstats.plans import laps, performance
+from gridstats.plans import laps, masters, performance
 from gridstats.sources import RaceTables, files, keep_bucketed, order_tables
 
 ENTRY = ["raceId", "driverId"]
@@ -161,3 +162,19 @@ def test_line_items_are_dealt_once_for_sums_teams_and_totals(spark, rows, monkey
         (7, 1998, 3, 20, None, 4),
         (50, 1997, 1, None, 80, 5),
     ]
+
+
+def test_the_largest_dimension_is_joined_while_rows_are_narrow(spark, rows, without_broadcast):
+    fact = spark.createDataFrame([(1, 2, 9), (1, 3, 8), (None, 2, 7)], "raceId long, driverId long, lap int")
+    races = spark.createDataFrame([(1, 5, "r")], "raceId long, circuitId long, name string")
+    drivers = spark.createDataFrame([(2, "d")], "driverId long, url string")
+    circuits = spark.createDataFrame([(5, "c")], "circuitId long, name string")
+    found = masters.lap_times(fact.withColumn("time", F.lit("t")), races, drivers, circuits)
+    joined = re.findall(r"Join \[(\w+)#", plan(found))
+    assert joined[-1] == "driverId", "the innermost join is the last one printed"
+    assert found.columns == ["circuitId", "driverId", "raceId", "lap", "lap_time", "race_name", "driver_url", "circuit_name"]
+    assert rows(found) == [
+        (None, 2, None, 7, "t", None, "d", None),
+        (5, 2, 1, 9, "t", "r", "d", "c"),
+        (5, 3, 1, 8, "t", "r", None, "c"),
+    ]
