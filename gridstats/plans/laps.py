@@ -58,19 +58,28 @@ def efficiency(df: DataFrame, laps: DataFrame) -> DataFrame:
     )
 
 
-def _mean_efficiency(df: DataFrame, laps: DataFrame, key: str, name: str, n: int | None) -> DataFrame:
+def _mean_efficiency(
+    df: DataFrame, laps: DataFrame, key: str, name: str, n: int | None, names: DataFrame | None
+) -> DataFrame:
     means = efficiency(df, laps).groupBy(key).agg(F.avg("efficiency_ratio").alias("efficiency_ratio"))
     best = top_k(means, n, "efficiency_ratio", key)  # names are looked up for these only
-    names = df.select(key, name).join(best.select(key), key, "left_semi").distinct()
-    return top_k(best.join(names, key, "left"), None, "efficiency_ratio", key)
+    named = df if names is None else names
+    found = named.select(key, name).join(best.select(key), key, "left_semi").distinct()
+    return top_k(best.join(found, key, "left"), None, "efficiency_ratio", key)
 
 
-def team_efficiency(df: DataFrame, laps: DataFrame, n: int | None = 5) -> DataFrame:
-    return _mean_efficiency(df, laps, "constructorId", "constructorRef", n)
+def team_efficiency(
+    df: DataFrame, laps: DataFrame, n: int | None = 5, names: DataFrame | None = None
+) -> DataFrame:
+    """Teams by mean efficiency. ``names`` are results with the names, if ``df`` has none."""
+    return _mean_efficiency(df, laps, "constructorId", "constructorRef", n, names)
 
 
-def driver_efficiency(df: DataFrame, laps: DataFrame, n: int | None = 5) -> DataFrame:
-    return _mean_efficiency(df, laps, "driverId", "driverRef", n)
+def driver_efficiency(
+    df: DataFrame, laps: DataFrame, n: int | None = 5, names: DataFrame | None = None
+) -> DataFrame:
+    """Drivers by mean efficiency. ``names`` are results with the names, if ``df`` has none."""
+    return _mean_efficiency(df, laps, "driverId", "driverRef", n, names)
 
 
 def team_circuits(df: DataFrame, laps: DataFrame) -> SparseMatrix:

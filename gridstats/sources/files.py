@@ -94,20 +94,30 @@ def keep(df: DataFrame, by: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def keep_bucketed(df: DataFrame, *keys: str) -> DataFrame:
+def deal(df: DataFrame, *keys: str) -> DataFrame:
+    """The rows dealt by keys into the buckets of ``keep_bucketed``; sums by these and other keys stay there."""
+    return df.repartition(_buckets(df.sparkSession), *keys)
+
+
+def keep_bucketed(df: DataFrame, *keys: str, dealt: bool = False) -> DataFrame:
     """``keep``, dealt by keys: tables dealt alike are joined and grouped on them without another shuffle.
 
     The buckets, one file each, are as many as shuffle partitions. Adaptive
     execution cannot split a bucket, so a key must have few rows: sum up first.
+    ``dealt`` says that ``deal`` by the same keys has dealt the rows already.
     """
     spark = df.sparkSession
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     name = f"{_bucketed_prefix(spark)}{uuid4().hex}"
-    dealt = df.repartition(buckets, *keys).write.bucketBy(buckets, *keys)
-    dealt.option("path", f"{shared_folder(spark)}/{name}").format("parquet").saveAsTable(name)
+    rows = df if dealt else deal(df, *keys)
+    written = rows.write.bucketBy(_buckets(spark), *keys)
+    written.option("path", f"{shared_folder(spark)}/{name}").format("parquet").saveAsTable(name)
     return spark.table(name)
 
 
+def _buckets(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def _bucketed_prefix(spark: SparkSession) -> str:
     return f"kept_{spark.sparkContext.applicationId}_".replace("-", "_").lower()
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from gridstats.operators.duplicates import copies_removed, distinct_rows, split_rows
 from gridstats.plans import laps, masters, performance
-from gridstats.sources import RaceTables, files, keep_bucketed, order_tables
+from gridstats.sources import RaceTables, deal, files, keep_bucketed, order_tables
 
 ENTRY = ["raceId", "driverId"]
 
@@ -178,3 +178,27 @@ def test_the_largest_dimension_is_joined_while_rows_are_narrow(spark, rows, with
         (5, 2, 1, 9, "t", "r", "d", "c"),
         (5, 3, 1, 8, "t", "r", None, "c"),
     ]
+
+
+def test_totals_are_shuffled_once_and_need_no_written_master(spark, monkeypatch):
+    results, lap_rows, stop_rows = tables(spark)
+    written = []
+    monkeypatch.setattr(entry, "keep_bucketed", lambda df, *keys, dealt=False: written.append((df, dealt)) or df)
+    monkeypatch.setattr(entry, "keep", lambda df, by=None: pytest.fail("a wide table is written"))
+    session = entry.Session(spark, "nowhere")
+    monkeypatch.setattr(session, "laps_plan", lambda: lap_rows)
+    monkeypatch.setattr(session, "pits_plan", lambda: stop_rows)
+    monkeypatch.setattr(session, "master_plan", lambda: results)
+    for found in (session.lap_totals, session.pit_totals):
+        assert plan(found).count("Exchange") == 1
+    assert session.drives.columns == [*ENTRY, "constructorId", "position", "positionOrder"]
+    assert [dealt for _, dealt in written] == [True, True, False]
+
+
+def test_dealt_rows_are_written_as_one_file_a_bucket(spark, rows):
+    _, lap_rows, _ = tables(spark)
+    once = keep_bucketed(laps.lap_totals(deal(lap_rows, *ENTRY)), *ENTRY, dealt=True)
+    twice = keep_bucketed(laps.lap_totals(lap_rows), *ENTRY)
+    assert rows(once) == rows(twice)
+    assert once.join(twice, ENTRY).count() == once.where("raceId is not null").count()
+    assert len(once.inputFiles()) == len(twice.inputFiles())
