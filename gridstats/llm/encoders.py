@@ -15,6 +15,8 @@ from collections.abc import Iterable
 
 import numpy as np
 
+from gridstats.llm import caches
+
 #: Chunks that a cache remembers before its older half is dropped.
 REMEMBERED = 300_000
 #: Longer chunks are encoded anew each time.
@@ -27,6 +29,7 @@ _UNSAFE = re.compile(r"[^ -&(-~À-ÖØ-öø-ÿ]")
 _LONG = re.compile(r"[^\x00-\xff]")
 _LOOSE_SPACE = re.compile(r" (?=\s|$)")
 _encoders: dict[tuple, object] = {}
+caches.held("encoders", _encoders.clear)
 
 
 class Remembered:
@@ -142,6 +145,7 @@ class TokenIds:
         return [raw[start:stop] for start, stop in zip(starts, stops, strict=True)]
 
     def encode(self, texts: Iterable[str | None]) -> Iterable[bytes]:
+        caches.only("encoders")
         for part in slices(texts):
             special = [any(s in text for s in self.specials) for text in part]
             cut = [[] if odd else self.chunks(text) for text, odd in zip(part, special, strict=True)]

@@ -29,9 +29,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridstats.llm import caches
 from gridstats.llm.components import components
 from gridstats.llm.names import fresh
-from gridstats.shipping import ship
+from gridstats.shipping import ship, small_batches
 from gridstats.sources import keep
 
 SHINGLE = 5
@@ -45,9 +46,10 @@ BLOCK, FAMILY = 1024, 512
 PAIRS = 1 << 15
 #: Classes of ids by which texts are filtered before they are shuffled: the broadcast rows are no more.
 MARKS = 1 << 20
-#: Word hashes that a worker remembers.
-_WORDS = 400_000
+#: Word hashes that a worker remembers, until its task ends.
+_WORDS = 200_000
 _words: dict[bytes, int] = {}
+caches.held("words", _words.clear)
 _EMPTY = np.uint16(0)
 
 
@@ -140,6 +142,7 @@ def sketches(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
+        caches.only("words")
         for batch in batches:
             counts, same, bands = [], [], []
             for text in batch.column("text"):
@@ -157,6 +160,7 @@ def sketches(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
                 pa.ListArray.from_arrays(ends, flat),
             ]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "same", "bands"])
+        caches.only()
 
     rows = docs.select(F.col("doc_id").cast("bigint"), "text")
     return rows.mapInArrow(
@@ -169,10 +173,12 @@ def shingle_sets(docs: DataFrame, ids: DataFrame, width: int = SHINGLE) -> DataF
     ship(docs.sparkSession)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        caches.only("words")
         for batch in batches:
             found = [shingles(words_of(t.as_py()), width).tobytes() for t in batch.column("text")]
             columns = [batch.column("id"), pa.array(found, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["id", "hashes"])
+        caches.only()
 
     # A filter of bounded size in front of the shuffle: few texts without a wanted id pass it.
     mark = F.pmod(F.xxhash64("id"), F.lit(MARKS)).cast("int").alias("mark")
@@ -485,6 +491,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = SHINGLE) ->
     part: its component is null and it is kept. Empty tables give no rows.
     """
     ship(docs.sparkSession)
+    small_batches(docs.sparkSession)
     rows = keep(sketches(docs, width))
     threshold = percent / 100
     nodes = keep(

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridstats.llm.encoders import spaced_ids
-from gridstats.shipping import ship
+from gridstats.shipping import ship, small_batches
 from gridstats.sources import keep
 
 #: Pieces that one task packs together, about.
@@ -50,6 +50,7 @@ def pieces(
     (little-endian unsigned 32-bit).
     """
     ship(docs.sparkSession)
+    small_batches(docs.sparkSession)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, end = spaced_ids(tokenizer), end_id.to_bytes(4, "little")

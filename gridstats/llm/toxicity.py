@@ -23,7 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from gridstats.shipping import ship
+from gridstats.llm import caches
+from gridstats.shipping import ship, small_batches
 from gridstats.sources import keep
 
 #: Labelled texts that the lexicon and the score are fitted on, at most.
@@ -153,6 +154,7 @@ def counts(rows: DataFrame, offer) -> DataFrame:
     """Per entry of ``offer(text)``, the toxic and clean texts that hold it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        caches.only()
         found = {0: Counter(), 1: Counter()}
         for batch in batches:
             for text, toxic in zip(*(batch.column(c).to_pylist() for c in ("text", "toxic")), strict=True):
@@ -175,6 +177,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Lexicon
     every score is 0 or 1, as the labels are (0 without labels).
     """
     ship(docs.sparkSession)
+    small_batches(docs.sparkSession)
     rows = keep(training_rows(docs, labels, fit_rows))
     sizes = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
     n_toxic, n_clean = sizes.get(1, 0), sizes.get(0, 0)
@@ -282,8 +285,10 @@ def scored(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
 
 def _with_scores(docs: DataFrame, lexicon: Lexicon, name: str) -> DataFrame:
     ship(docs.sparkSession)
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        caches.only()
         automaton = lexicon.automaton()
         for batch in batches:
             texts = (t.as_py() for t in batch.column("text"))
@@ -303,6 +308,7 @@ def without_toxic(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS)
 
     @F.arrow_udf("double")
     def scores(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        caches.only()
         automaton = lexicon.automaton()
         for batch in batches:
             found = np.array([features(folded(t.as_py()), automaton) for t in batch]).reshape(-1, 2)

@@ -14,6 +14,9 @@ from zipfile import ZipFile
 
 from pyspark.sql import SparkSession
 
+#: Rows that cross between Spark and Python at once where they hold texts or sets of shingles.
+BATCH_ROWS = 1024
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _shipped: set[str] = set()
 
 
@@ -33,3 +36,13 @@ def ship(spark: SparkSession) -> None:
             out.write(source, str(source.relative_to(package.parent)))
     context.addPyFile(str(archive))
     _shipped.add(context.applicationId)
+
+
+def small_batches(spark: SparkSession) -> None:
+    """From now on, this session's batches for Python hold BATCH_ROWS rows, or fewer if it says so.
+
+    Spark's default of 10,000 texts, or pairs of sets, takes 30 to 60 MB, in the
+    executor's native memory as well as in its worker.
+    """
+    if not 0 < int(spark.conf.get(_BATCH)) <= BATCH_ROWS:
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
