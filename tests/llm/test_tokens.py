@@ -47,6 +47,31 @@ def test_chunks_encoded_as_one_text(name, make, vocabulary):
         assert np.frombuffer(ids, "<u4").tolist() == library.encode(chunk, add_special_tokens=False).ids, chunk
 
 
+@pytest.mark.parametrize(
+    "name, make",
+    [("byte_bpe_50k.json", encoders.spaced_ids), ("word_bpe_49k.json", encoders.word_ids)],
+)
+def test_the_library_gets_each_word_once_in_short_texts(name, make, vocabulary, words):
+    """No marks beside the words, which would be pieces of their own, and no word again for another line after it."""
+    encoders._encoders.clear()
+    encoder = make(vocabulary(name))
+    library, given = encoder.tokenizer, []
+
+    class Noting:
+        def encode_batch_fast(self, texts, **how):
+            given.extend(texts)
+            return library.encode_batch_fast(texts, **how)
+
+    encoder.tokenizer = Noting()
+    some = sorted({f"{w}{k}" for k, w in enumerate(words(600))})
+    texts = ["x " + " ".join(f"{a}\n{b}" for a, b in zip(some, some[k:] + some[:k], strict=True)) for k in range(1, 9)]
+    for text, ids in zip(texts, encoder.encode(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+    assert sum(map(len, given)) <= 2 * sum(len(w) + 1 for w in some) + 10
+    assert max(len(t.split()) for t in given) <= encoders.JOINED
+    encoders._encoders.clear()
+
+
 def test_every_prefix_has_the_count_of_the_library(vocabulary):
     path = vocabulary("piece_bpe_32k.model")
     library = sentencepiece.SentencePieceProcessor(model_file=path)
