@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridstats.llm.encoders import word_ids
-from gridstats.shipping import ship
+from gridstats.shipping import ship, small_batches
 from gridstats.sources import keep, shared_folder
 
 MAGIC = b"BPLANE1\n"
@@ -187,6 +187,7 @@ def write_shards(
     """
     spark = docs.sparkSession
     ship(spark)
+    small_batches(spark)
     size = docs.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("bigint")).first()[0]
     shards = max(1, -(-(size or 0) // SHARD))
     order = ["doc_id", "draw", "place"]

@@ -1,6 +1,6 @@
 import pyarrow as pa
 
-from gridstats.llm import caches, encoders, minhash
+from gridstats.llm import caches, encoders, minhash, planes
 
 
 def test_workers_hold_one_cache_and_small_batches(spark, documents, words, vocabulary):
@@ -22,3 +22,19 @@ def test_workers_hold_one_cache_and_small_batches(spark, documents, words, vocab
     assert minhash._words and not encoders._encoders
     caches.only()
     assert not minhash._words
+
+
+def test_shards_are_written_from_small_batches(spark, documents, words, vocabulary, monkeypatch):
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    rows = documents([(i, " ".join(words(3))) for i in range(3000)])
+    most = []
+    made = rows.__class__.mapInArrow
+
+    def noted(self, *how, **more):
+        most.append(int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")))
+        return made(self, *how, **more)
+
+    monkeypatch.setattr(rows.__class__, "mapInArrow", noted)
+    manifest = planes.write_shards(rows, vocabulary("word_bpe_49k.json"), planes.new_folder(spark))
+    assert sum(r["n_docs"] for r in manifest.collect()) == 3000
+    assert most and max(most) <= 1024
