@@ -227,3 +227,25 @@ def test_best_pairs_shuffle_no_row_per_block(spark):
     every["key"] = pair_scores(every)
     best = found.toPandas().assign(key=lambda f: pair_scores(f)).sort_values(["key", "a", "b"]).head(3)
     assert best[["a", "b"]].to_numpy().tolist() == every.dropna(subset=["key"]).sort_values(["key", "a", "b"]).head(3)[["a", "b"]].to_numpy().tolist()
+
+
+def test_no_row_of_a_pair_is_shuffled(spark):
+    table = [(r, d, float((r * 7 + d * 3) % 11)) for r in range(30) for d in range(40) if (r + d) % 3]
+    df = spark.createDataFrame([*table, (None, 3, 1.0), (None, 4, 3.0), (2, None, 1.0)], "race bigint, driver bigint, v double")
+    found = pair_sums(df, "race", "driver", "v", block=5, chunk=7)
+    above = found._jdf.queryExecution().executedPlan().toString().split("MapInArrow")[0]
+    assert "Exchange" not in above and "Aggregate" not in above
+    assert found.count() == found.select("a", "b").distinct().count() == 40 * 39 / 2
+    few = pair_sums(df, "race", "driver", "v", sums=["sx", "distance"], block=5, chunk=7)
+    assert few.columns == ["a", "b", "n", "sx", "sy", "distance"]
+    assert few.exceptAll(found.select(few.columns)).isEmpty() and few.count() == found.count()
+    assert found.where("a = 3 and b = 4").first()["n"] == 1 + sum((r + 3) % 3 > 0 and (r + 4) % 3 > 0 for r in range(30))
+
+
+def test_best_pairs_by_some_sums_alone(spark):
+    table = [(r, d, float((r * r * 7 + d * 13 + r * d) % 17)) for r in range(30) for d in range(60)]
+    df = spark.createDataFrame(table, "race bigint, driver bigint, v double")
+    some = ["n", "sx", "sy", "sxx", "syy", "sxy"]
+    every, found = (best_pairs(df, "race", "driver", "v", pair_scores, 3, sums=s, block=16).toPandas() for s in (SUMS, some))
+    assert list(found.columns) == ["a", "b", *some]
+    assert found.to_numpy().tolist() == every[found.columns].to_numpy().tolist()
