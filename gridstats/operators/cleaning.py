@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gridstats.functions import seconds_of
 from gridstats.operators.duplicates import copies_removed, distinct_rows
+from gridstats.sources.files import keep
 from gridstats.sources.schemas import KINDS, SPECS, TableSpec
 
 
@@ -25,7 +26,8 @@ def clean(raw: DataFrame, name: str, few_copies: bool = False) -> DataFrame:
     """Cleaned table ``name``.
 
     With ``few_copies`` only rows that have copies are shuffled, at the price of
-    reading ``raw`` again (``duplicates.distinct_rows``).
+    writing the typed rows, which are read several times (``duplicates.distinct_rows``):
+    reading values from text costs more than that.
 
     Durations follow from the text, so they are added to the rows that remain
     and not carried through the shuffle. Nulls are filled after duplicates are
@@ -33,7 +35,7 @@ def clean(raw: DataFrame, name: str, few_copies: bool = False) -> DataFrame:
     """
     spec = SPECS[name]
     typed = coerce(raw, spec)
-    unique = with_durations(distinct_rows(typed) if few_copies else typed.dropDuplicates(), spec)
+    unique = with_durations(distinct_rows(keep(typed)) if few_copies else typed.dropDuplicates(), spec)
     return unique.fillna(spec.fill_after) if spec.fill_after else unique
 
 
@@ -41,7 +43,7 @@ def removed_rows(raw: DataFrame, name: str, few_copies: bool = False) -> DataFra
     """How many rows cleaning drops as duplicates."""
     typed = coerce(raw, SPECS[name])
     if few_copies:
-        return copies_removed(typed)
+        return copies_removed(keep(typed))
     copies = typed.groupBy(*typed.columns).agg(F.count(F.lit(1)).alias("copies"))
     return copies.agg(
         F.coalesce(F.sum("copies"), F.lit(0)).alias("rows_before"),

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from gridstats.operators.cleaning import clean, removed_rows
 from gridstats.operators.duplicates import copies_removed, distinct_rows, split_rows
 from gridstats.plans import laps, masters, performance
 from gridstats.sources import RaceTables, deal, files, keep_bucketed, order_tables
@@ -202,3 +203,14 @@ def test_dealt_rows_are_written_as_one_file_a_bucket(spark, rows):
     assert rows(once) == rows(twice)
     assert once.join(twice, ENTRY).count() == once.where("raceId is not null").count()
     assert len(once.inputFiles()) == len(twice.inputFiles())
+
+
+def test_values_are_read_from_text_once(spark, rows):
+    """The typed rows are written, so that looking for copies does not read their text again and again."""
+    text = [(f" {i % 40}.0", f"t{i % 40}") for i in range(60)] + [(None, "NULL"), ("abc", "NA"), ("12.5", " x "), ("-0", "x")]
+    raw_rows = spark.createDataFrame(text, "statusId string, status string")
+    found = clean(raw_rows, "status", few_copies=True)
+    assert "regexp_extract" in plan(clean(raw_rows, "status")) and "regexp_extract" not in plan(found)
+    assert rows(found) == rows(clean(raw_rows, "status")) and found.count() == 43
+    counted = removed_rows(raw_rows, "status", few_copies=True)
+    assert "regexp_extract" not in plan(counted) and rows(counted) == rows(removed_rows(raw_rows, "status"))
